@@ -5,8 +5,9 @@ from __future__ import annotations
 import math
 import tempfile
 import uuid
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Word separators of the contracts: space and U+0009 to U+000D.
@@ -53,6 +54,11 @@ def shares(amount: float, size: float, least: int = 1) -> int:
     return max(least, math.ceil((amount or 0) / size))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with value computed once a row, wherever the optimizer moves the expression to."""
+    return F.get(F.transform(F.array(value), lambda x: body(x)), F.lit(0))
+
+
 def words_of(text):
     """array<string> of the words between SPACE runs, in built-in functions; [] for none."""
     body = F.btrim(text, F.lit(TRIMMED))

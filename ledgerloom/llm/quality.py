@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import quoted, words_of
+from .common import TRIMMED, let, quoted, words_of
 
 #: Frequent short words of the four languages of the corpus.
 STOP_WORDS = {
@@ -29,7 +29,58 @@ RULES: list[tuple[str, float | None, float | None]] = [
 ]
 
 
-P = "_ledgerloom_"
+def assessed(text: Column, rules: list, stop_words: list[str]) -> Column:
+    """The struct of counts, ratios and verdicts of one text, as a single expression without user functions."""
+    blank = F.lit(TRIMMED)
+    full_lines = F.filter(F.split(text, "\n"), lambda line: F.btrim(line, blank) != "")
+
+    def windows(words: Column) -> Column:
+        """All windows of three words with their place, sorted: equal ones become neighbours."""
+        n = F.size(words) - 2
+        part = lambda first: F.slice(words, F.lit(first), n)
+        zipped = F.arrays_zip(part(1).alias("a"), part(2).alias("b"), part(3).alias("c"), F.sequence(F.lit(0), n - 1).alias("at"))
+        return F.when(n >= 2, F.sort_array(zipped))
+
+    def repeated(sorted_: Column) -> Column:
+        """The places of windows that have an equal neighbour."""
+
+        def equal(x: Column, i: Column) -> Column:
+            y = F.get(sorted_, i)
+            return F.coalesce((x["a"] == y["a"]) & (x["b"] == y["b"]) & (x["c"] == y["c"]), F.lit(False))
+
+        found = F.filter(sorted_, lambda x, i: equal(x, i - 1) | equal(x, i + 1))
+        return F.coalesce(F.transform(found, lambda x: x["at"]), F.array().cast("array<int>"))
+
+    def covered(places: Column) -> Column:
+        one, two = F.transform(places, lambda p: p + 1), F.transform(places, lambda p: p + 2)
+        return F.size(F.array_distinct(F.concat(places, one, two)))
+
+    def counted(words: Column, lines: Column) -> Column:
+        counts = {
+            "n_words": F.size(words),
+            "word_chars": F.length(F.array_join(words, "")),
+            "n_symbols": F.length(text) - F.length(F.translate(text, SYMBOLS, "")),
+            "n_lines": F.size(lines),
+            "n_dup_lines": F.size(lines) - F.size(F.array_distinct(lines)),
+            "n_repeat_words": let(windows(words), lambda s: let(repeated(s), covered)),
+            "n_stop_words": F.size(F.filter(words, lambda w: F.lower(w).isin(stop_words))),
+        }
+        return F.struct(*[v.cast("long").alias(k) for k, v in counts.items()])
+
+    def judged(c: Column) -> Column:
+        over = lambda a, b: F.when(c[b] > 0, c[a] / c[b])
+        ratios = {
+            "mean_word_length": over("word_chars", "n_words"),
+            "symbol_ratio": over("n_symbols", "n_words"),
+            "stop_word_ratio": over("n_stop_words", "n_words"),
+            "dup_line_ratio": over("n_dup_lines", "n_lines"),
+        }
+        failed = (c["n_words"] < 50) | (100 * c["n_repeat_words"] > 50 * c["n_words"])
+        broken = reduce(lambda a, b: a | b, [_breaks(ratios[name], low, high) for name, low, high in rules], F.lit(False))
+        names = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_stop_words")
+        return F.struct(*[c[k].alias(k) for k in names], *[v.alias(k) for k, v in ratios.items()], failed.alias("base_failed"), (~failed & ~broken).alias("kept"))
+
+    return let(words_of(text), lambda words: let(full_lines, lambda lines: let(counted(words, lines), judged)))
 
 
 def measured(docs: DataFrame, rules: list | None = None, stop_words: dict | None = None, text_col: str = "text") -> DataFrame:
@@ -40,49 +91,8 @@ def measured(docs: DataFrame, rules: list | None = None, stop_words: dict | None
     an existing column `quality` is replaced. Every row is judged alone, so ties and repeated rows need no rule.
     """
     every = sorted({w for ws in (stop_words or STOP_WORDS).values() for w in ws})
-    col = lambda name: F.col(P + name)
     text = F.coalesce(F.col(quoted(text_col)).cast("string"), F.lit(""))
-    blank = F.lit(" \t\n\x0b\x0c\r")
-    out = docs.withColumns({P + "text": text, P + "words": words_of(text), P + "lines": F.filter(F.split(text, "\n"), lambda line: F.btrim(line, blank) != "")})
-    n = F.size(col("words"))
-    # windows of three words with their place, sorted: equal ones become neighbours
-    three = F.arrays_zip(
-        F.slice(col("words"), F.lit(1), n - 2).alias("a"),
-        F.slice(col("words"), F.lit(2), n - 2).alias("b"),
-        F.slice(col("words"), F.lit(3), n - 2).alias("c"),
-        F.sequence(F.lit(0), n - 3).alias("at"),
-    )
-    out = out.withColumn(P + "sorted", F.when(n >= 4, F.sort_array(three)))
-
-    def same(x: Column, i: Column) -> Column:
-        y = F.get(col("sorted"), i)
-        return F.coalesce((x["a"] == y["a"]) & (x["b"] == y["b"]) & (x["c"] == y["c"]), F.lit(False))
-
-    again = F.filter(col("sorted"), lambda x, i: same(x, i - 1) | same(x, i + 1))
-    out = out.withColumn(P + "again", F.transform(again, lambda x: x["at"]))
-    one, two = F.transform(col("again"), lambda p: p + 1), F.transform(col("again"), lambda p: p + 2)
-    counts = {
-        "n_words": n,
-        "word_chars": F.length(F.array_join(col("words"), "")),
-        "n_symbols": F.length(col("text")) - F.length(F.translate(col("text"), SYMBOLS, "")),
-        "n_lines": F.size(col("lines")),
-        "n_dup_lines": F.size(col("lines")) - F.size(F.array_distinct(col("lines"))),
-        "n_repeat_words": F.coalesce(F.size(F.array_distinct(F.concat(col("again"), one, two))), F.lit(0)),
-        "n_stop_words": F.size(F.filter(col("words"), lambda w: F.lower(w).isin(every))),
-    }
-    out = out.withColumns({P + k: v.cast("long") for k, v in counts.items()})
-    over = lambda a, b: F.when(col(b) > 0, col(a) / col(b))
-    ratios = {
-        "mean_word_length": over("word_chars", "n_words"),
-        "symbol_ratio": over("n_symbols", "n_words"),
-        "stop_word_ratio": over("n_stop_words", "n_words"),
-        "dup_line_ratio": over("n_dup_lines", "n_lines"),
-    }
-    failed = (col("n_words") < 50) | (100 * col("n_repeat_words") > 50 * col("n_words"))
-    broken = reduce(lambda a, b: a | b, [_breaks(ratios[name], low, high) for name, low, high in rules or RULES], F.lit(False))
-    struct = F.struct(*[col(k).alias(k) for k in counts], *[v.alias(k) for k, v in ratios.items()], failed.alias("base_failed"), (~failed & ~broken).alias("kept"))
-    names = [F.col(quoted(c)) for c in docs.columns if c != "quality"]
-    return out.select(*names, struct.alias("quality"))
+    return docs.withColumn("quality", assessed(text, rules or RULES, every))
 
 
 def _breaks(ratio: Column, low: float | None, high: float | None) -> Column:
