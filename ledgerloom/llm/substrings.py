@@ -14,68 +14,129 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import compress
 
 import numpy as np
 import pandas as pd
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import id_and_text, shares
 
-#: The words of the contract: space and U+0009 to U+000D separate, nothing else does.
-WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 ODD, MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 LAST = 2**63 - 1
 
 
+SEPARATOR = re.compile(rb"[\x20\x09-\x0d]")
+IS_BLANK = np.zeros(256, bool)
+IS_BLANK[[9, 10, 11, 12, 13, 32]] = True
+#: A random number for every byte, and an odd base whose powers have inverses modulo 2**64.
+OF_BYTE = np.random.default_rng(13).integers(1, 2**63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
+STEP = 0x5851F42D4C957F2D
+SEGMENT = 1 << 18
+POWERS: dict[str, np.ndarray] = {}
+
+
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """STEP to the powers 0..n-1, and to the powers 0..-(n-1)."""
+    if len(POWERS.get("up", ())) < n:
+        for name, base in (("up", STEP), ("down", pow(STEP, -1, 2**64))):
+            POWERS[name] = np.cumprod(np.concatenate(([np.uint64(1)], np.full(n + SEGMENT, base, np.uint64))))
+    return POWERS["up"], POWERS["down"]
+
+
 def mixed(h: np.ndarray) -> np.ndarray:
     """Spread the sums below over all 64 bits."""
     h = (h ^ (h >> np.uint64(32))) * MIX
     return (h ^ (h >> np.uint64(29))) * ODD
 
 
+def word_hashes(body: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Where each word of body starts, and its hash; body ends with a separator.
+
+    A word's hash is the sum of its bytes' numbers times powers of STEP, from differences of running sums. Segments
+    of about SEGMENT bytes, cut after a separator, keep the arrays small.
+    """
+    starts, hashes, at = [], [], 0
+    while at < len(body):
+        cut = SEPARATOR.search(body, min(at + SEGMENT, len(body) - 1))
+        end = cut.end() if cut else len(body)
+        a = np.frombuffer(body, np.uint8, end - at, at)
+        blank = IS_BLANK[a]
+        edge = np.flatnonzero(np.diff(blank, prepend=True))
+        begin, stop = edge[::2], edge[1::2]
+        up, down = powers(len(a))
+        total = np.zeros(len(a) + 1, np.uint64)
+        np.cumsum(OF_BYTE[a] * up[: len(a)], out=total[1:])
+        hashes.append(mixed((total[stop] - total[begin]) * down[begin] + (stop - begin).astype(np.uint64)))
+        starts.append(begin + at)
+        at = end
+    if not starts:
+        return np.empty(0, np.int64), np.empty(0, np.uint64)
+    return np.concatenate(starts), np.concatenate(hashes)
+
+
 class Chunk:
     """The words of some documents as hashes, one document after the other."""
 
     def __init__(self, texts: list[str]) -> None:
-        known: dict[bytes, int] = {}
-        ids, sizes = [], []
-        for text in texts:
-            # bytes.split() splits at exactly the six separators
-            words = text.encode("utf-8", "surrogatepass").split()
-            sizes.append(len(words))
-            ids.append(np.fromiter((known.setdefault(w, len(known)) for w in words), np.int64, len(words)))
-        hashes = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in known), np.uint64, len(known))
-        self.sizes = np.array(sizes, np.int64)
-        self.starts = np.concatenate(([0], np.cumsum(self.sizes)[:-1])).astype(np.int64)[: len(sizes)]
-        self.words = hashes[np.concatenate(ids)] if ids else np.empty(0, np.uint64)
-        self.doc = np.repeat(np.arange(len(sizes)), self.sizes)
-        self.place = np.arange(len(self.words)) - self.starts[self.doc] if len(sizes) else np.empty(0, np.int64)
+        raw = [t.encode("utf-8", "surrogatepass") for t in texts]
+        begin, self.words = word_hashes(b"".join(x for r in raw for x in (r, b"\n")))
+        ends = np.cumsum([len(r) + 1 for r in raw])
+        upto = np.searchsorted(begin, ends)
+        self.sizes = np.diff(upto, prepend=0)
+        self.starts = upto - self.sizes
+        self.doc = np.repeat(np.arange(len(raw), dtype=np.int32), self.sizes)
+        self.left = (np.repeat(upto, self.sizes) - np.arange(len(self.words))).astype(np.int32)  # words up to the document's end
 
     def rolling(self, k: int, seed: int) -> np.ndarray:
         """The hash of the k words from each position on; only valid where fits(k) says so."""
-        base = np.uint64((2 * seed + 1) * 0x5851F42D4C957F2D & (2**64 - 1))
+        base = np.uint64((2 * seed + 1) * STEP & (2**64 - 1))
         out = np.zeros(len(self.words), np.uint64)
         n = len(self.words) - k + 1
         if n > 0:
             for i in range(k):
-                out[:n] = out[:n] * base + self.words[i : i + n]
+                out[:n] *= base
+                out[:n] += self.words[i : i + n]
         return mixed(out)
 
     def fits(self, k: int) -> np.ndarray:
-        return self.place + k <= self.sizes[self.doc]
+        return self.left >= k
+
+    def aligned(self, k: int) -> np.ndarray:
+        place = np.arange(len(self.words)) - np.repeat(self.starts, self.sizes)
+        return place % k == 0
 
 
 def member(x: np.ndarray, of: np.ndarray) -> np.ndarray:
-    """Whether each of x is in the sorted array `of`."""
-    if not len(of):
-        return np.zeros(len(x), bool)
-    return of[np.minimum(np.searchsorted(of, x), len(of) - 1)] == x
+    """Whether each of x is in the sorted array `of`; a table of bits spares most of x the search."""
+    out = np.zeros(len(x), bool)
+    if not len(of) or not len(x):
+        return out
+    bits = min(24, max(8, (16 * len(of)).bit_length()))
+    slot = lambda v: (v.astype(np.uint64) * ODD) >> np.uint64(64 - bits)
+    table = np.zeros(1 << bits, bool)
+    table[slot(of)] = True
+    maybe = np.flatnonzero(table[slot(x)])
+    v = x[maybe]
+    out[maybe] = of[np.minimum(np.searchsorted(of, v), len(of) - 1)] == v
+    return out
+
+
+def distinct(x: np.ndarray) -> np.ndarray:
+    """The values of x, sorted; sorting is several times as fast as np.unique, which hashes."""
+    s = np.sort(x)
+    return s[np.concatenate(([True], s[1:] != s[:-1]))] if len(s) else s
+
 
+def twice(x: np.ndarray) -> np.ndarray:
+    """The values that x holds more than once, sorted."""
+    s = np.sort(x)
+    return distinct(s[1:][s[1:] == s[:-1]])
 
-def repeated_words(docs: DataFrame, window: int = 13, block: int = 7, chunk_bytes: int = 16 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, text, drop): drop holds one bit a word (numpy packbits), set for the words that go.
+
+def repeated_words(docs: DataFrame, window: int = 13, block: int = 7, chunk_bytes: int = 8 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, text, n_words, drop): drop is empty, or holds one bit a word (numpy packbits), set for words that go.
 
     A word goes if a window of `window` words that covers it starts in a document with a smaller doc_id too. A null
     text has no words. Rows that repeat a doc_id are judged each against smaller ids only, so equal rows stay; a null
@@ -94,31 +155,17 @@ def repeated_words(docs: DataFrame, window: int = 13, block: int = 7, chunk_byte
         return x["doc_id"].astype("Int64").fillna(LAST).to_numpy(np.int64)
 
     def split(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The bucket of a block's hash, and the 32 bits that stand for it there."""
-        return ((h >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64), h.astype(np.uint32)
-
-    def several(c: Chunk, h: np.ndarray, ok: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The distinct values of h where ok, and those that more than one of the chunk's documents hold."""
-        at = np.flatnonzero(ok)
-        at = at[np.argsort(h[at], kind="stable")]
-        x, d = h[at], c.doc[at]
-        new = np.ones(len(x), bool)
-        new[1:] = x[1:] != x[:-1]
-        begin = np.flatnonzero(new)
-        if not len(begin):
-            return x, x
-        mixed_docs = np.maximum.reduceat(d, begin) != np.minimum.reduceat(d, begin)
-        return x[begin], x[begin][mixed_docs]
+        """The bucket of a block's hash, and the 32 bits that stand for it there; both rise with the hash."""
+        scaled = (h >> np.uint64(20)) * np.uint64(buckets)
+        return (scaled >> np.uint64(44)).astype(np.int64), (scaled >> np.uint64(12)).astype(np.uint32)
 
     def probes(key: tuple, x: pd.DataFrame) -> pd.DataFrame:
         """Per bucket: the chunk's distinct rolling blocks, and of those the ones that stand at an indexed place."""
         c = Chunk(x["text"].tolist())
         h, ok = c.rolling(block, 1), c.fits(block)
-        rolling, _ = several(c, h, ok)
-        index = np.unique(h[ok & (c.place % block == 0)])
+        rolling, index = distinct(h[ok]), distinct(h[ok & c.aligned(block)])
         to, short = split(rolling)
-        order = np.lexsort((short, to))
-        to, short, indexed = to[order], short[order], member(rolling, index)[order]
+        indexed = member(rolling, index)
         cut = np.flatnonzero(np.diff(to, prepend=-1))
         ends = np.append(cut[1:], len(to))
         return pd.DataFrame(
@@ -132,10 +179,9 @@ def repeated_words(docs: DataFrame, window: int = 13, block: int = 7, chunk_byte
 
     def hits(key: tuple, x: pd.DataFrame) -> pd.DataFrame:
         """Per chunk: those of its blocks that are indexed anywhere and stand in another chunk too."""
-        sets = [np.unique(np.frombuffer(v, np.uint32)) for v in x["probes"]]
-        every = np.sort(np.concatenate(sets))
-        shared = np.unique(every[1:][every[1:] == every[:-1]])
-        index = np.unique(np.concatenate([np.frombuffer(v, np.uint32) for v in x["index"]]))
+        sets = [np.frombuffer(v, np.uint32) for v in x["probes"]]
+        shared = twice(np.concatenate(sets))
+        index = distinct(np.concatenate([np.frombuffer(v, np.uint32) for v in x["index"]]))
         shared = shared[member(shared, index)]
         own = [s[member(s, shared)] for s in sets]
         keep = [k for k, s in enumerate(own) if len(s)]
@@ -144,11 +190,10 @@ def repeated_words(docs: DataFrame, window: int = 13, block: int = 7, chunk_byte
     def candidates(c: Chunk, y: pd.DataFrame) -> np.ndarray:
         """Where a full window starts that holds a block found in another document."""
         h, ok = c.rolling(block, 1), c.fits(block)
-        _, inside = several(c, h, ok)
         to, short = split(h)
         code = to.astype(np.uint64) << np.uint64(32) | short.astype(np.uint64)
         known = [np.frombuffer(v, np.uint32).astype(np.uint64) | np.uint64(int(k)) << np.uint64(32) for k, v in zip(y["bucket"], y["hits"], strict=True)]
-        hit = ok & (member(h, inside) | member(code, np.sort(np.concatenate(known)) if known else np.empty(0, np.uint64)))
+        hit = ok & (member(h, twice(h[ok])) | member(code, np.sort(np.concatenate(known)) if known else np.empty(0, np.uint64)))
         ahead = np.concatenate(([0], np.cumsum(hit)))
         at = np.flatnonzero(c.fits(window))
         return at[ahead[at + window - block + 1] > ahead[at]]
@@ -205,12 +250,13 @@ def repeated_words(docs: DataFrame, window: int = 13, block: int = 7, chunk_byte
 
     def judged(key: tuple, x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
         c, own = Chunk(x["text"].tolist()), ids(x)
-        # without a look at the hits: a window that another document holds is among the chunk's own or the owners' keys
-        at = np.flatnonzero(c.fits(window))
-        k = keyed(c, at)
         kind = [("h", "<u8"), ("g", "<u4")]
         far = np.concatenate([np.frombuffer(v, kind) for v in y["keys"]]) if len(y) else np.empty(0, kind)
         far_doc = np.concatenate([np.frombuffer(v, np.int64) for v in y["docs"]]) if len(y) else np.empty(0, np.int64)
+        # a window that another document holds is twice in the chunk, or among the owners' keys
+        h, fits = c.rolling(window, 2), c.fits(window)
+        at = np.flatnonzero(fits & (member(h, twice(h[fits])) | member(h, np.sort(far["h"]))))
+        k = keyed(c, at)
         mine = own[c.doc[at]]
         every, least = np.concatenate([k, far]), np.concatenate([mine, far_doc])
         order = np.lexsort((least, every["g"], every["h"]))
@@ -225,18 +271,25 @@ def repeated_words(docs: DataFrame, window: int = 13, block: int = 7, chunk_byte
         np.add.at(cover, taken, 1)
         np.add.at(cover, taken + window, -1)
         drop = np.cumsum(cover)[:-1] > 0
-        bits = [np.packbits(drop[a : a + n]).tobytes() for a, n in zip(c.starts, c.sizes, strict=True)]
-        return pd.DataFrame({"doc_id": x["doc_id"].astype("Int64"), "text": x["text"], "drop": bits})
+        some = np.add.reduceat(np.append(drop, False), c.starts) * (c.sizes > 0) if len(c.sizes) else c.sizes
+        bits = [np.packbits(drop[a : a + n]).tobytes() if has else b"" for a, n, has in zip(c.starts, c.sizes, some, strict=True)]
+        return pd.DataFrame({"doc_id": x["doc_id"].astype("Int64"), "text": x["text"], "n_words": c.sizes, "drop": bits})
 
     first = dealt.groupBy("chunk").applyInPandas(probes, "bucket long, chunk long, probes binary, index binary")
     found = first.groupBy("bucket").applyInPandas(hits, "chunk long, bucket long, hits binary")
     second = dealt.groupBy("chunk").cogroup(found.groupBy("chunk")).applyInPandas(windows, "bucket long, chunk long, keys binary, docs binary")
     owned = second.groupBy("bucket").applyInPandas(owners, "chunk long, keys binary, docs binary")
-    return dealt.groupBy("chunk").cogroup(owned.groupBy("chunk")).applyInPandas(judged, "doc_id long, text string, drop binary")
+    return dealt.groupBy("chunk").cogroup(owned.groupBy("chunk")).applyInPandas(judged, "doc_id long, text string, n_words long, drop binary")
 
 
-def dropped(bits: bytes, n: int) -> np.ndarray:
-    return np.unpackbits(np.frombuffer(bits, np.uint8), count=n).astype(bool)
+def left_over(text: str, bits: bytes) -> tuple[str, int]:
+    """The words that stay, joined by single spaces, and the number of those that go."""
+    # bytes.split() splits at exactly the six separators
+    words = text.encode("utf-8", "surrogatepass").split()
+    if not bits:
+        return b" ".join(words).decode("utf-8", "surrogatepass"), 0
+    stay = ~np.unpackbits(np.frombuffer(bits, np.uint8), count=len(words)).astype(bool)
+    return b" ".join(compress(words, stay.tolist())).decode("utf-8", "surrogatepass"), len(words) - int(stay.sum())
 
 
 def deduplicated(docs: DataFrame, window: int = 13, block: int = 7, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -244,14 +297,8 @@ def deduplicated(docs: DataFrame, window: int = 13, block: int = 7, id_col: str
 
     def rest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in batches:
-            n, gone, texts = [], [], []
-            for text, bits in zip(x["text"], x["drop"], strict=True):
-                words = WORDS.findall(text)
-                drop = dropped(bits, len(words))
-                n.append(len(words))
-                gone.append(int(drop.sum()))
-                texts.append(" ".join(w for w, d in zip(words, drop.tolist(), strict=True) if not d) if gone[-1] else " ".join(words))
-            yield pd.DataFrame({"doc_id": x["doc_id"].astype("Int64"), "n_words": n, "n_removed": gone, "text": texts})
+            texts, gone = zip(*map(left_over, x["text"], x["drop"]), strict=True) if len(x) else ((), ())
+            yield pd.DataFrame({"doc_id": x["doc_id"].astype("Int64"), "n_words": x["n_words"], "n_removed": list(gone), "text": list(texts)})
 
     return repeated_words(docs, window, block, id_col=id_col, text_col=text_col).mapInPandas(rest, "doc_id long, n_words long, n_removed long, text string")
 
@@ -271,16 +318,9 @@ def without_repeats(docs: DataFrame, window: int = 13, block: int = 7, n_chars:
 
     def rest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in batches:
-            texts = []
-            for text, bits in zip(x["text"], x["drop"], strict=True):
-                if any(bits):
-                    words = WORDS.findall(text)
-                    text = " ".join(w for w, d in zip(words, dropped(bits, len(words)).tolist(), strict=True) if not d)
-                    texts.append(text)
-                else:
-                    texts.append(None)
-            out = pd.DataFrame({"cut_id": x["doc_id"].astype("Int64"), "cut_hash": x["hash"], "cut_text": texts})
-            yield out[out["cut_text"].notna()]
+            x = x[x["drop"].map(len) > 0]
+            texts = [left_over(text, bits)[0] for text, bits in zip(x["text"], x["drop"], strict=True)]
+            yield pd.DataFrame({"cut_id": x["doc_id"].astype("Int64"), "cut_hash": x["hash"], "cut_text": texts})
 
     changed = cut.withColumn("hash", F.xxhash64("text")).mapInPandas(rest, "cut_id long, cut_hash long, cut_text string")
     # only changed texts travel, and a row is known by its id and its old text
