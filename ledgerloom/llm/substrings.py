@@ -13,6 +13,7 @@ bits beside their bucket, which only ever adds candidates; windows are decided b
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 from itertools import compress
 
@@ -129,13 +130,23 @@ def distinct(x: np.ndarray) -> np.ndarray:
     return s[np.concatenate(([True], s[1:] != s[:-1]))] if len(s) else s
 
 
+def squeezed(x: np.ndarray) -> bytes:
+    """Rising 32-bit values as compressed bytes: differences, byte plane by byte plane."""
+    return zlib.compress(np.diff(x, prepend=np.uint32(0)).view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
+
+
+def unsqueezed(body: bytes) -> np.ndarray:
+    planes = np.frombuffer(zlib.decompress(body), np.uint8).reshape(4, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).view(np.uint32).ravel(), dtype=np.uint32)
+
+
 def twice(x: np.ndarray) -> np.ndarray:
     """The values that x holds more than once, sorted."""
     s = np.sort(x)
     return distinct(s[1:][s[1:] == s[:-1]])
 
 
-def repeated_words(docs: DataFrame, window: int = 13, block: int = 7, chunk_bytes: int = 8 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def repeated_words(docs: DataFrame, window: int = 13, block: int = 7, chunk_bytes: int = 5 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, text, n_words, drop): drop is empty, or holds one bit a word (numpy packbits), set for words that go.
 
     A word goes if a window of `window` words that covers it starts in a document with a smaller doc_id too. A null
@@ -172,27 +183,27 @@ def repeated_words(docs: DataFrame, window: int = 13, block: int = 7, chunk_byte
             {
                 "bucket": to[cut],
                 "chunk": int(key[0]),
-                "probes": [short[a:b].tobytes() for a, b in zip(cut, ends, strict=True)],
-                "index": [short[a:b][indexed[a:b]].tobytes() for a, b in zip(cut, ends, strict=True)],
+                "probes": [squeezed(short[a:b]) for a, b in zip(cut, ends, strict=True)],
+                "index": [squeezed(short[a:b][indexed[a:b]]) for a, b in zip(cut, ends, strict=True)],
             }
         )
 
     def hits(key: tuple, x: pd.DataFrame) -> pd.DataFrame:
         """Per chunk: those of its blocks that are indexed anywhere and stand in another chunk too."""
-        sets = [np.frombuffer(v, np.uint32) for v in x["probes"]]
+        sets = [unsqueezed(v) for v in x["probes"]]
         shared = twice(np.concatenate(sets))
-        index = distinct(np.concatenate([np.frombuffer(v, np.uint32) for v in x["index"]]))
+        index = distinct(np.concatenate([unsqueezed(v) for v in x["index"]]))
         shared = shared[member(shared, index)]
         own = [s[member(s, shared)] for s in sets]
         keep = [k for k, s in enumerate(own) if len(s)]
-        return pd.DataFrame({"chunk": x["chunk"].iloc[keep].to_numpy(np.int64), "bucket": int(key[0]), "hits": [own[k].tobytes() for k in keep]})
+        return pd.DataFrame({"chunk": x["chunk"].iloc[keep].to_numpy(np.int64), "bucket": int(key[0]), "hits": [squeezed(own[k]) for k in keep]})
 
     def candidates(c: Chunk, y: pd.DataFrame) -> np.ndarray:
         """Where a full window starts that holds a block found in another document."""
         h, ok = c.rolling(block, 1), c.fits(block)
         to, short = split(h)
         code = to.astype(np.uint64) << np.uint64(32) | short.astype(np.uint64)
-        known = [np.frombuffer(v, np.uint32).astype(np.uint64) | np.uint64(int(k)) << np.uint64(32) for k, v in zip(y["bucket"], y["hits"], strict=True)]
+        known = [unsqueezed(v).astype(np.uint64) | np.uint64(int(k)) << np.uint64(32) for k, v in zip(y["bucket"], y["hits"], strict=True)]
         hit = ok & (member(h, twice(h[ok])) | member(code, np.sort(np.concatenate(known)) if known else np.empty(0, np.uint64)))
         ahead = np.concatenate(([0], np.cumsum(hit)))
         at = np.flatnonzero(c.fits(window))
