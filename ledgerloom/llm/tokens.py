@@ -11,6 +11,7 @@ import os
 import re
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,11 +21,16 @@ from pyspark.sql import functions as F
 
 from .common import id_and_text, shares, shared_folder, stored
 
-#: Blank runs with the word after them. Both tokenizers cut between a character that is not blank and a blank, so the
-#: parts can be encoded one by one; texts with other blanks than these six are encoded whole.
-PART = re.compile(r"[ \t\n\r\f\v]*[^ \t\n\r\f\v]+|[ \t\n\r\f\v]+")
-OTHER_BLANKS = re.compile("[\x1c-\x1f\x85\xa0 ᠎ -​    　﻿]")
-KNOWN_PARTS = 500_000
+#: Parts that can be encoded one by one. All tokenizers here cut between a character that is not blank and a blank,
+#: and between a letter or digit and ASCII punctuation; apostrophes and what is not listed stay with their neighbours.
+#: Texts with other blanks than these six are encoded whole.
+_BLANK, _MARK, _LETTER = r" \t\n\r\f\v", re.escape("!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"), "A-Za-z0-9À-ÖØ-öø-ÿ"
+_BODY = f"(?:[{_LETTER}]++(?=[{_MARK}{_BLANK}]|\\Z)|[{_MARK}]++(?=[{_LETTER}{_BLANK}]|\\Z)|[^{_BLANK}]+)"
+PART, BARE_PART = re.compile(f"[{_BLANK}]*{_BODY}|[{_BLANK}]+"), re.compile(_BODY)
+OTHER_BLANKS = re.compile("[\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200b\u2028\u2029\u202f\u205f\u3000\ufeff]")
+#: Without these bytes in its UTF-8 a text has none of them.
+_SIGNS = b"\x1c\x1d\x1e\x1f\xc2\xe1\xe2\xe3\xef"
+KNOWN_PARTS = 1_200_000
 
 
 class Encoder:
@@ -36,23 +42,32 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.width, self.known = width, {}
+        self.code, self.known = {"<u2": "H", "<u4": "I"}[width], {}
+        # where blanks give no ids, parts are kept without them
+        self.parts = BARE_PART if self.plain([" a", "\n"]) == [*self.plain(["a"]), b""] else PART
 
     def plain(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.width).tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        return [array(self.code, e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def cut(self, text: str) -> list[str] | None:
+        raw = text.encode("utf-8", "surrogatepass")
+        if len(raw.translate(None, _SIGNS)) != len(raw) and OTHER_BLANKS.search(text):
+            return None
+        return self.parts.findall(text)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian integers of the given width."""
         known, out = self.known, []
         for at in range(0, len(texts), 256):
-            parts = [None if OTHER_BLANKS.search(t) else PART.findall(t) for t in texts[at : at + 256]]
-            fresh = {p for ps in parts if ps for p in ps}.difference(known)
+            some = texts[at : at + 256]
+            parts = [self.cut(t) for t in some]
+            fresh = set().union(*(p for p in parts if p)).difference(known)
             if len(known) + len(fresh) > KNOWN_PARTS:
                 known.clear()
-                fresh = {p for ps in parts if ps for p in ps}
+                fresh = set().union(*(p for p in parts if p))
             fresh = list(fresh)
             known.update(zip(fresh, self.plain(fresh), strict=True))
-            out += [self.plain([t])[0] if ps is None else b"".join(map(known.__getitem__, ps)) for t, ps in zip(texts[at : at + 256], parts, strict=True)]
+            out += [self.plain([t])[0] if ps is None else b"".join(map(known.__getitem__, ps)) for t, ps in zip(some, parts, strict=True)]
         return out
 
 
