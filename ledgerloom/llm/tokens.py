@@ -99,29 +99,30 @@ def token_table(docs: DataFrame, path: str, end_id: int, id_col: str = "doc_id",
 
 # ---------------------------------------------------------------- the binary format
 
-#: For every control byte: the lengths of its four values, and the sum of them.
-_LENGTHS = np.array([[(c >> (2 * k) & 3) + 1 for k in range(4)] for c in range(256)], np.int64)
+#: For every control byte: the lengths of its four values.
+_LENGTHS = np.array([[(c >> (2 * k) & 3) + 1 for k in range(4)] for c in range(256)], np.uint8)
 
 
 def pack_values(values: np.ndarray) -> tuple[bytes, bytes]:
     """Control bytes and data bytes of unsigned 32-bit values."""
     v = values.astype("<u4")
-    size = 1 + (v > 0xFF).astype(np.int64) + (v > 0xFFFF) + (v > 0xFFFFFF)
-    padded = np.zeros(-(-len(v) // 4) * 4, np.uint8)
-    padded[: len(v)] = size - 1
-    control = (padded.reshape(-1, 4) << np.array([0, 2, 4, 6], np.uint8)).sum(1, dtype=np.uint8)
-    data = v.view(np.uint8).reshape(-1, 4)[np.arange(4) < size[:, None]]
+    longest = max(1, -(-int(v.max(initial=0)).bit_length() // 8))
+    more = np.zeros(-(-len(v) // 4) * 4, np.uint8)
+    for k in range(1, longest):
+        more[: len(v)] += v >= np.uint32(1 << (8 * k))
+    control = (more.reshape(-1, 4) << np.array([0, 2, 4, 6], np.uint8)).sum(1, dtype=np.uint8)
+    data = v.view(np.uint8).reshape(-1, 4)[:, :longest][np.arange(longest, dtype=np.uint8) <= more[: len(v), None]]
     return control.tobytes(), data.tobytes()
 
 
 def unpack_values(control: bytes, data: bytes, n: int) -> np.ndarray:
     """The n values that pack_values stored."""
     size = _LENGTHS[np.frombuffer(control, np.uint8)].ravel()[:n]
-    start = np.cumsum(size) - size
-    body = np.frombuffer(data + b"\0\0\0", np.uint8)
-    out = np.zeros(n, np.uint32)
-    for k in range(4):
-        has = size > k
+    start = np.cumsum(size, dtype=np.int64) - size
+    body = np.frombuffer(data, np.uint8)
+    out = body[start].astype(np.uint32)
+    for k in range(1, int(size.max(initial=1))):
+        has = np.flatnonzero(size > k)
         out[has] |= body[start[has] + k].astype(np.uint32) << np.uint32(8 * k)
     return out
 
@@ -163,12 +164,8 @@ def written(docs: DataFrame, path: str, end_id: int, file_tokens: int = 8_000_00
     def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros(1 << 16, np.int64)
         for x in batches:
-            for b in x["ids"]:
-                ids = np.frombuffer(b, "<u2")
-                if len(ids) > 4096:
-                    total += np.bincount(ids, minlength=1 << 16)
-                else:
-                    np.add.at(total, ids, 1)
+            for at in range(0, len(x), 1024):
+                total += np.bincount(np.frombuffer(b"".join(x["ids"].iloc[at : at + 1024]), "<u2"), minlength=1 << 16)
         has = np.flatnonzero(total)
         yield pd.DataFrame({"id": has, "n": total[has]})
 
