@@ -30,6 +30,9 @@ PART, BARE_PART = re.compile(f"[{_BLANK}]*{_BODY}|[{_BLANK}]+"), re.compile(_BOD
 OTHER_BLANKS = re.compile("[\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200b\u2028\u2029\u202f\u205f\u3000\ufeff]")
 #: Without these bytes in its UTF-8 a text has none of them.
 _SIGNS = b"\x1c\x1d\x1e\x1f\xc2\xe1\xe2\xe3\xef"
+#: What ASCII and letters from À to ÿ are made of: texts without combining marks and other capitals.
+_LATIN = bytes(range(192)) + b"\xc3"
+_LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 KNOWN_PARTS = 1_200_000
 
 
@@ -44,6 +47,8 @@ class Encoder:
         self.tokenizer.encode_special_tokens = True
         self.code, self.known = {"<u2": "H", "<u4": "I"}[width], {}
         # where blanks give no ids, parts are kept without them
+        # where A-Z count as a-z, parts are kept in lower case
+        self.fold = self.plain(["AbZ É"]) == self.plain(["abz é"])
         self.parts = BARE_PART if self.plain([" a", "\n"]) == [*self.plain(["a"]), b""] else PART
 
     def plain(self, texts: list[str]) -> list[bytes]:
@@ -53,6 +58,8 @@ class Encoder:
         raw = text.encode("utf-8", "surrogatepass")
         if len(raw.translate(None, _SIGNS)) != len(raw) and OTHER_BLANKS.search(text):
             return None
+        if self.fold and not raw.translate(None, _LATIN):
+            text = raw.translate(_LOWER).decode()
         return self.parts.findall(text)
 
     def encode(self, texts: list[str]) -> list[bytes]:
