@@ -21,10 +21,13 @@ from pyspark.sql import functions as F
 from .common import id_and_text
 
 SPACE = "▁"
-#: Pieces hold the space mark only at their start, so a text can be cut before every run of marks.
+#: Pieces hold the space mark only at their start, so a text can be cut before every run of marks. Where no piece has
+#: a letter or digit before one of CLOSED, or anything beside a line feed, it can be cut there too.
 WORD = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
+CLOSED, LETTER = ",.;:!?|*$%&\n", "A-Za-z0-9À-ÖØ-öø-ÿ"
+SHORT_WORD = re.compile(f"{SPACE}*(?:[{LETTER}]++(?=[{re.escape(CLOSED)}{SPACE}]|\\Z)|[^{SPACE}\n]+)|{SPACE}+|\n")
 BASE = np.uint64(0x9E3779B97F4A7C15)
-KNOWN_WORDS = 300_000
+KNOWN_WORDS = 800_000
 
 
 class Pieces:
@@ -41,6 +44,10 @@ class Pieces:
         self.scores = np.array(scores, np.float64)
         if len(np.unique(self.keys)) != len(self.keys):
             raise ValueError("two pieces share a hash")
+        pairs = {pair for i in usable for pair in zip(pieces[i], pieces[i][1:], strict=False)}
+        crossed = any("\n" in pair or (b in CLOSED and re.match(f"[{LETTER}]", a)) for pair in pairs for a, b in [pair])
+        self.word = WORD if crossed else SHORT_WORD
+        self.written = [bytes([self.of_byte[i]]) if i in self.of_byte else p.replace(SPACE, " ").encode() for i, p in enumerate(pieces)]
         self.least = float(self.scores[self.ids].min(initial=0.0)) - 10.0
 
     @staticmethod
@@ -141,14 +148,14 @@ def merges(words: list[str], n: int, model: Pieces) -> list[list[int]]:
         has = before.any(1)
         left = n - 1 - before[:, ::-1].argmax(1)
         score[live[has], left[has]] = pair(live[has], left[has])
-    out = []
-    for r, word in enumerate(words):
-        ids = []
-        start = np.flatnonzero(alive[r])
-        end = nxt[r, start]
-        for a, b, i in zip(start, end, model.look(pre[r, end] - pre[r, start] * power[end - start]), strict=True):
-            ids += [int(i)] if i >= 0 else fallback(word[a:b], model)
-        out.append(ids)
+    r, start = np.nonzero(alive)
+    end = nxt[r, start]
+    ids = model.look(pre[r, end] - pre[r, start] * power[end - start])
+    flat, cuts = ids.tolist(), np.searchsorted(r, np.arange(len(words) + 1)).tolist()
+    out = [flat[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+    for w in np.unique(r[ids < 0]).tolist():  # words with characters that no piece has
+        at = slice(cuts[w], cuts[w + 1])
+        out[w] = [y for a, b, i in zip(start[at], end[at], flat[at], strict=True) for y in ([i] if i >= 0 else fallback(words[w][a:b], model))]
     return out
 
 
@@ -162,7 +169,7 @@ class Codec:
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text; an empty text has none."""
-        parts = [WORD.findall((SPACE if self.prefix and t else "") + t.replace(" ", SPACE)) for t in texts]
+        parts = [self.model.word.findall((SPACE if self.prefix and t else "") + t.replace(" ", SPACE)) for t in texts]
         fresh = {p for ps in parts for p in ps}.difference(self.known)
         if len(self.known) + len(fresh) > KNOWN_WORDS:
             self.known.clear()
@@ -180,17 +187,7 @@ class Codec:
 
     def decode(self, ids: np.ndarray) -> str:
         """The text of ids: bytes are put together, the mark is a space, and the prefix goes."""
-        m, out, raw = self.model, [], bytearray()
-        for i in ids.tolist():
-            if i in m.of_byte:
-                raw.append(m.of_byte[i])
-                continue
-            if raw:
-                out.append(raw.decode("utf-8", "replace"))
-                raw.clear()
-            out.append(m.pieces[i])
-        out.append(raw.decode("utf-8", "replace"))
-        text = "".join(out).replace(SPACE, " ")
+        text = b"".join(map(self.model.written.__getitem__, ids.tolist())).decode("utf-8", "replace")
         return text[1:] if self.prefix and text.startswith(" ") else text
 
 
