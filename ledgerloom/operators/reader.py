@@ -195,13 +195,16 @@ def to_hub(docs: DataFrame, spoke: Spoke, xml: str = "xml", strict: bool = True)
     schema = top.schema()
     assert isinstance(schema, T.StructType)
     schema = T.StructType([*schema.fields, T.StructField("_corrupt_record", T.StringType())])
-    parsed = docs.withColumn("_parsed", F.from_xml(F.coalesce(F.col(xml), F.lit("")), schema, OPTIONS))
-    p = F.col("_parsed")
-    hub, notes, twice = read_scope(spoke, None, p, top, None, strict)
-    bad = p.isNull() | p["_corrupt_record"].isNotNull()
-    made = parsed.withColumn("_read", F.struct(hub.alias("hub"), notes.alias("notes"), twice.alias("twice"), bad.alias("bad")))
-    r = F.col("_read")
-    status = F.when(r["bad"], "malformed").when(r["twice"], "repeated").otherwise("ok")
+    parsed = F.from_xml(F.coalesce(F.col(xml), F.lit("")), schema, OPTIONS)
+
+    def judged(p: Column) -> Column:
+        hub, notes, twice = read_scope(spoke, None, p, top, None, strict)
+        bad = p.isNull() | p["_corrupt_record"].isNotNull()
+        status = F.when(bad, "malformed").when(twice, "repeated").otherwise("ok")
+        ok = ~bad & ~twice
+        return F.struct(F.when(ok, hub).alias("hub"), F.when(ok, notes).otherwise(X.diagnostics([])).alias("diagnostics"), status.alias("status"))
+
+    # The parsed text is a lambda's variable: however a filter on the status is moved, a document is parsed once for it.
+    read = F.get(F.transform(F.array(parsed), lambda p: judged(p)), F.lit(0))
     names = [F.col(f"`{c}`") for c in docs.columns if c not in ("hub", "diagnostics", "status")]
-    ok = ~r["bad"] & ~r["twice"]
-    return made.select(*names, F.when(ok, r["hub"]).alias("hub"), F.when(ok, r["notes"]).otherwise(X.diagnostics([])).alias("diagnostics"), status.alias("status"))
+    return docs.withColumn("_read", read).select(*names, F.col("_read.hub").alias("hub"), F.col("_read.diagnostics").alias("diagnostics"), F.col("_read.status").alias("status"))

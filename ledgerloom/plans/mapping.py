@@ -83,6 +83,14 @@ class Spoke:
             at = self.nodes[at].scope
         return "/".join(reversed(keys))
 
+    def only(self, keys: set[str]) -> Spoke:
+        """The same format with the nodes of these canonical keys and of what they need: the collections around them,
+        fallbacks, and whatever is required. Elements that are left out are not even parsed."""
+        keep = {k for k, n in self.nodes.items() if n.canonical_key in keys or n.clone_of in keys or n.required or n.constant is not None}
+        while more := {x for k in keep for x in [self.nodes[k].scope, *self.nodes[k].fallbacks] if x} - keep:
+            keep |= more
+        return Spoke(self.meta, {k: n for k, n in self.nodes.items() if k in keep})
+
     def keyed(self) -> list[Node]:
         return [n for _, n in sorted(self.nodes.items()) if n.canonical_key and not n.clone_of]
 
