@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import math
 import tempfile
 import uuid
@@ -49,6 +51,12 @@ def stored(df: DataFrame, what: str, partition_by: str | None = None) -> DataFra
     return spark.read.schema(df.schema).parquet(path)
 
 
+def trim() -> None:
+    """Give memory that this worker has freed back to the system; Spark keeps its workers."""
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def shares(amount: float, size: float, least: int = 1) -> int:
     """How many shares of about `size` make up `amount`."""
     return max(least, math.ceil((amount or 0) / size))

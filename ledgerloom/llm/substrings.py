@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_and_text, shares
+from .common import id_and_text, shares, trim
 
 ODD, MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 LAST = 2**63 - 1
@@ -284,6 +284,7 @@ def repeated_words(docs: DataFrame, window: int = 13, block: int = 7, chunk_byte
         drop = np.cumsum(cover)[:-1] > 0
         some = np.add.reduceat(np.append(drop, False), c.starts) * (c.sizes > 0) if len(c.sizes) else c.sizes
         bits = [np.packbits(drop[a : a + n]).tobytes() if has else b"" for a, n, has in zip(c.starts, c.sizes, some, strict=True)]
+        trim()
         return pd.DataFrame({"doc_id": x["doc_id"].astype("Int64"), "text": x["text"], "n_words": c.sizes, "drop": bits})
 
     first = dealt.groupBy("chunk").applyInPandas(probes, "bucket long, chunk long, probes binary, index binary")

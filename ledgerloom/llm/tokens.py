@@ -7,9 +7,11 @@ value, four values a byte. Reading looks every control byte up in a table of 256
 
 from __future__ import annotations
 
+import gc
 import os
 import re
 import struct
+import threading
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -19,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import id_and_text, shares, shared_folder, stored
+from .common import id_and_text, shared_folder, shares, stored, trim
 
 #: Parts that can be encoded one by one. All tokenizers here cut between a character that is not blank and a blank,
 #: and between a letter or digit and ASCII punctuation; apostrophes and what is not listed stay with their neighbours.
@@ -33,11 +35,14 @@ _SIGNS = b"\x1c\x1d\x1e\x1f\xc2\xe1\xe2\xe3\xef"
 #: What ASCII and letters from À to ÿ are made of: texts without combining marks and other capitals.
 _LATIN = bytes(range(192)) + b"\xc3"
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
-KNOWN_PARTS = 1_200_000
+KNOWN_PARTS, IDLE_S = 1_000_000, 3
 
 
 class Encoder:
-    """The tokenizers library with a memory of the parts seen; the memory is bounded and only saves time."""
+    """The tokenizers library with a memory of the parts seen; the memory is bounded and only saves time.
+
+    Spark keeps its workers, so one that has encoded nothing for IDLE_S seconds gives the memory back.
+    """
 
     def __init__(self, path: str, width: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -46,6 +51,7 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.code, self.known = {"<u2": "H", "<u4": "I"}[width], {}
+        self.lock, self.timer = threading.Lock(), None
         # where blanks give no ids, parts are kept without them
         # where A-Z count as a-z, parts are kept in lower case
         self.fold = self.plain(["AbZ É"]) == self.plain(["abz é"])
@@ -64,6 +70,22 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian integers of the given width."""
+        with self.lock:
+            if self.timer:
+                self.timer.cancel()
+            out = self.encode_parts(texts)
+            self.timer = threading.Timer(IDLE_S, self.forget)
+            self.timer.daemon = True
+            self.timer.start()
+        return out
+
+    def forget(self) -> None:
+        with self.lock:
+            self.known.clear()
+            gc.collect()
+            trim()
+
+    def encode_parts(self, texts: list[str]) -> list[bytes]:
         known, out = self.known, []
         for at in range(0, len(texts), 256):
             some = texts[at : at + 256]
