@@ -26,7 +26,7 @@ def spokes(spark: SparkSession, c: Compiled) -> DataFrame:
 def matrix(spark: SparkSession, c: Compiled) -> DataFrame:
     """(field, one boolean a format)."""
     ids = [s.id for s in c.spokes]
-    has = coverage(spark, c).groupBy("field").pivot("spoke", ids).agg(F.count("*") > 0)
+    has = coverage(spark, c).groupBy("field").pivot("spoke", ids).agg(F.count(F.lit(1)) > 0)
     names = [F.coalesce(F.col(f"`{i}`"), F.lit(False)).alias(i.split(":")[0].replace("-", "_")) for i in ids]
     return fields(spark, c).select("field").join(has, "field", "left").select("field", *names)
 
