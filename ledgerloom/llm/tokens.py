@@ -15,6 +15,7 @@ import threading
 import zlib
 from array import array
 from collections.abc import Iterator
+from operator import itemgetter
 
 import numpy as np
 import pandas as pd
@@ -96,10 +97,15 @@ class Encoder:
                 fresh = set().union(*(p for p in parts if p))
             fresh = list(fresh)
             known.update(zip(fresh, self.plain(fresh), strict=True))
-            out += [self.plain([t])[0] if ps is None else b"".join(map(known.__getitem__, ps)) for t, ps in zip(some, parts, strict=True)]
+            out += [self.plain([t])[0] if ps is None else joined(known, ps) for t, ps in zip(some, parts, strict=True)]
         return out
 
 
+def joined(known: dict[str, bytes], parts: list[str]) -> bytes:
+    """The ids of the parts in turn, looked up in one call."""
+    return b"".join(itemgetter(*parts)(known)) if len(parts) > 1 else b"".join(map(known.__getitem__, parts))
+
+
 _ENCODERS: dict[tuple[str, str], Encoder] = {}
 
 
