@@ -53,3 +53,23 @@ class Engine:
             own = self.transform(found.where(F.col("spoke") == s.id), s.id, target, xml).drop("hub")
             parts.append(own)
         return reduce(DataFrame.unionByName, parts)
+
+    def replies(self, docs: DataFrame, target: str, source: str | None = None, xml: str = "xml") -> DataFrame:
+        """docs with http_status, body and warnings: what a service would answer to each document.
+
+        200 and the new document, with its diagnostics in one line; 400 where the format can't be told or the document
+        can't be read; 422 and the diagnostics where there are errors. Without a source, formats are detected.
+        """
+        notes = lambda sep: F.array_join(F.transform("diagnostics", lambda d: F.format_string("%s [%s] %s: %s", d["severity"], d["code"], d["source_node"], d["message"])), sep)
+        done = self.transform(docs, source, target, xml) if source else self.transform_mixed(docs, target, xml)
+        read = F.col("status") == "ok"
+        status = F.when(F.col("accepted"), 200).when(read, 422).otherwise(400)
+        failed = F.concat(F.lit("transformation failed with errors:\n"), notes("\n"))
+        unread = F.concat(F.lit("source deserialization failed: the document is "), F.col("status"))
+        names = [F.col(f"`{c}`") for c in docs.columns]
+        out = done.select(*names, status.alias("http_status"), F.when(F.col("accepted"), F.col("xml_out")).when(read, failed).otherwise(unread).alias("body"), F.when(F.col("accepted"), notes("; ")).otherwise("").alias("warnings"))
+        if source:
+            return out
+        lost = self.detect(docs, xml).where(F.col("spoke").isin("unknown", "ambiguous"))
+        text = F.when(F.col("spoke") == "ambiguous", "source format is ambiguous").otherwise("could not detect the source format")
+        return out.unionByName(lost.select(*names, F.lit(400).alias("http_status"), text.alias("body"), F.lit("").alias("warnings")))

@@ -53,18 +53,19 @@ def conversions(spark: SparkSession, c: Compiled) -> DataFrame:
     """(source, target, state, n_missing, n_dropped, detail) for all pairs of formats.
 
     missing: required by the target, not covered by the source; dropped: covered by the source, not by the target.
+    error: the target requires something, and the source has none of it. The detail tells three fields of what counts.
     """
     rows = [(s.id, s.covered(), s.required()) for s in c.spokes]
     one = spark.createDataFrame(rows, "source string, covered array<string>, required array<string>")
     targets = F.array(*[F.struct(F.lit(t.id).alias("target"), F.array(*[F.lit(x) for x in t.covered()]).alias("has"), F.array(*[F.lit(x) for x in t.required()]).cast("array<string>").alias("needs")) for t in c.spokes])
     pair = one.withColumn("t", F.explode(targets)).select("source", "covered", "t.*")
     pair = pair.withColumns({"missing": F.array_sort(F.array_except("needs", "covered")), "dropped": F.array_sort(F.array_except("covered", "has"))})
-    none = F.size(F.array_intersect("covered", "has")) == 0
+    none = (F.size("needs") > 0) & (F.size("missing") == F.size("needs"))
     state = F.when(none, "error").when(F.size("missing") > 0, "partial").when(F.size("dropped") > 0, "lossful").otherwise("lossless")
 
     def told(name: str, head: str):
-        more = F.when(F.size(name) > 3, F.concat(F.lit(" (+"), F.size(name) - 3, F.lit(" more)"))).otherwise("")
-        return F.when(F.size(name) > 0, F.concat(F.lit(head), F.array_join(F.slice(name, 1, 3), ", "), more))
+        more = F.when(F.size(name) > 3, F.concat(F.lit(", (+"), F.size(name) - 3, F.lit(" more)"))).otherwise("")
+        return F.concat(F.lit(head), F.array_join(F.slice(name, 1, 3), ", "), more)
 
-    detail = F.coalesce(F.nullif(F.concat_ws("; ", told("missing", "missing "), told("dropped", "drops ")), F.lit("")), F.lit("—"))
+    detail = F.when(F.size("missing") > 0, told("missing", "missing required ")).when(F.size("dropped") > 0, told("dropped", "drops ")).otherwise("—")
     return pair.select("source", "target", state.alias("state"), F.size("missing").cast("long").alias("n_missing"), F.size("dropped").cast("long").alias("n_dropped"), detail.alias("detail"))
