@@ -19,7 +19,8 @@ ORACLE_SQL = None
 
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that pass the quality rules."""
-    return quality.measured(docs).where("quality.kept").drop("quality")
+    own = "_ledgerloom_quality"
+    return quality.measured(docs, to=own).where(F.col(own)["kept"]).drop(own)
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -83,16 +83,16 @@ def assessed(text: Column, rules: list, stop_words: list[str]) -> Column:
     return let(words_of(text), lambda words: let(full_lines, lambda lines: let(counted(words, lines), judged)))
 
 
-def measured(docs: DataFrame, rules: list | None = None, stop_words: dict | None = None, text_col: str = "text") -> DataFrame:
-    """docs with one more column, `quality`: a struct of counts, ratios, base_failed and kept.
+def measured(docs: DataFrame, rules: list | None = None, stop_words: dict | None = None, text_col: str = "text", to: str = "quality") -> DataFrame:
+    """docs with one more column, named `to`: a struct of counts, ratios, base_failed and kept.
 
     A null text has no words. base_failed: under 50 words, or over half of them in three-word windows that the text
     repeats. kept: not base_failed and no rule of the table broken. Rows and other columns of docs stay as they are;
-    an existing column `quality` is replaced. Every row is judged alone, so ties and repeated rows need no rule.
+    an existing column of the name `to` is replaced. Every row is judged alone, so ties and repeated rows need no rule.
     """
     every = sorted({w for ws in (stop_words or STOP_WORDS).values() for w in ws})
     text = F.coalesce(F.col(quoted(text_col)).cast("string"), F.lit(""))
-    return docs.withColumn("quality", assessed(text, rules or RULES, every))
+    return docs.withColumn(to, assessed(text, rules or RULES, every))
 
 
 def _breaks(ratio: Column, low: float | None, high: float | None) -> Column:

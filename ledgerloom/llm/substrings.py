@@ -327,25 +327,26 @@ def without_repeats(docs: DataFrame, window: int = 13, block: int = 7, n_chars:
     single spaces, and n_chars, where there is such a column, its new length. A document that loses all its words goes.
     """
     cut = repeated_words(docs, window, block)
+    own_id, own_hash, left = "_ledgerloom_id", "_ledgerloom_hash", "_ledgerloom_left"
 
     def rest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in batches:
             x = x[x["drop"].map(len) > 0]
             texts = [left_over(text, bits)[0] for text, bits in zip(x["text"], x["drop"], strict=True)]
-            yield pd.DataFrame({"cut_id": x["doc_id"].astype("Int64"), "cut_hash": x["hash"], "cut_text": texts})
+            yield pd.DataFrame({own_id: x["doc_id"].astype("Int64"), own_hash: x["hash"], left: texts})
 
-    changed = cut.withColumn("hash", F.xxhash64("text")).mapInPandas(rest, "cut_id long, cut_hash long, cut_text string")
+    changed = cut.withColumn("hash", F.xxhash64("text")).mapInPandas(rest, f"{own_id} long, {own_hash} long, {left} string")
     # only changed texts travel, and a row is known by its id and its old text
-    once = changed.dropDuplicates(["cut_id", "cut_hash"])
+    once = changed.dropDuplicates([own_id, own_hash])
     text = F.coalesce(docs["text"].cast("string"), F.lit(""))
-    joined = docs.join(once, docs["doc_id"].cast("long").eqNullSafe(F.col("cut_id")) & (F.xxhash64(text) == F.col("cut_hash")), "left")
-    joined = joined.where(F.col("cut_text").isNull() | (F.col("cut_text") != ""))
+    joined = docs.join(once, docs["doc_id"].cast("long").eqNullSafe(F.col(own_id)) & (F.xxhash64(text) == F.col(own_hash)), "left")
+    joined = joined.where(F.col(left).isNull() | (F.col(left) != ""))
     columns = []
     for c in docs.columns:
         if c == "text":
-            columns.append(F.coalesce("cut_text", docs["text"]).alias(c))
+            columns.append(F.coalesce(left, docs["text"]).alias(c))
         elif c == n_chars:
-            columns.append(F.when(F.col("cut_text").isNull(), docs[c]).otherwise(F.length("cut_text")).cast(docs.schema[c].dataType).alias(c))
+            columns.append(F.when(F.col(left).isNull(), docs[c]).otherwise(F.length(left)).cast(docs.schema[c].dataType).alias(c))
         else:
             columns.append(docs[c])
     return joined.select(*columns)
