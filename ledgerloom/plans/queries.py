@@ -240,10 +240,17 @@ def quality_by_month(spark, sf_dir):
     return ok(read(spark, sf_dir)).select("month", F.explode("diagnostics").alias("d")).groupBy("month", F.col("d.code").alias("code")).agg(F.count("*").alias("n"))
 
 
-@query(" SELECT k AS doc_id, 0 AS position, 'error [REQUIRED_MISSING] Invoice.ID: required value is missing' AS line FROM h WHERE good AND invoice IS NULL AND k % 13 <> 0 AND k % 23 <> 0 AND k % 29 <> 0 AND k IN (SELECT l_orderkey FROM lineitem)")
+@query(""" , t AS (SELECT k AS doc_id, list_filter([
+        CASE WHEN k % 23 = 0 THEN '[TYPE_INVALID] Invoice.DocumentCurrencyCode: `EURO` is not a valid currency code' END,
+        CASE WHEN invoice IS NULL THEN '[REQUIRED_MISSING] Invoice.ID: required value is missing' END,
+        CASE WHEN k % 13 = 0 THEN '[TYPE_INVALID] Invoice.IssueDate: `' || strftime(d, '%Y:%m:%d') || '` is not a valid date' END,
+        CASE WHEN k % 29 = 0 THEN '[TYPE_INVALID] Invoice.LegalMonetaryTotal.PayableAmount: `' || replace(amount, '.', ',') || '` is not a valid decimal' END,
+        CASE WHEN k NOT IN (SELECT l_orderkey FROM lineitem) THEN '[MIN_ITEMS] Invoice.InvoiceLine: collection `InvoiceLines` has 0 items, expected at least 1' END], lambda x: x IS NOT NULL) AS told
+        FROM h WHERE good)
+    SELECT doc_id, unnest(range(len(told)))::INTEGER AS position, 'error ' || unnest(told) AS line FROM t""")
 def diagnostic_text(spark, sf_dir):
-    only = ok(read(spark, sf_dir)).where(F.size("diagnostics") == 1)
-    return diagnostic_lines(only).where("line LIKE '%REQUIRED%'")
+    """Every diagnostic of every document as a line of text."""
+    return diagnostic_lines(ok(read(spark, sf_dir)))
 
 
 @query("WITH x AS (SELECT c_custkey, c_mktsegment AS s FROM customer) SELECT c_custkey, lower(s) AS low, s AS up, nullif(s, 'BUILDING') AS other FROM x")
