@@ -26,7 +26,7 @@ from .common import id_and_text, shared_folder, shares, stored, trim
 
 #: Parts that can be encoded one by one. All tokenizers here cut between a character that is not blank and a blank,
 #: and between a letter or digit and ASCII punctuation; apostrophes and what is not listed stay with their neighbours.
-#: Texts with other blanks than these six are encoded whole.
+#: Texts with other blanks than these six, or with added tokens of the tokenizer, are encoded whole.
 _BLANK, _MARK, _LETTER = r" \t\n\r\f\v", re.escape("!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"), "A-Za-z0-9À-ÖØ-öø-ÿ"
 _BODY = f"(?:[{_LETTER}]++(?=[{_MARK}{_BLANK}]|\\Z)|[{_MARK}]++(?=[{_LETTER}{_BLANK}]|\\Z)|[^{_BLANK}]+)"
 PART, BARE_PART = re.compile(f"[{_BLANK}]*{_BODY}|[{_BLANK}]+"), re.compile(_BODY)
@@ -50,18 +50,26 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        added = self.tokenizer.get_added_tokens_decoder().values()
+        self.added = [t.content for t in added]
+        # such tokens are looked for in the normalized text, which is not at hand here: every text is encoded whole
+        self.loose = self.tokenizer.normalizer is not None and any(t.normalized for t in added)
         self.code, self.known = {"<u2": "H", "<u4": "I"}[width], {}
         self.lock, self.timer = threading.Lock(), None
         # where blanks give no ids, parts are kept without them
-        # where A-Z count as a-z, parts are kept in lower case
-        self.fold = self.plain(["AbZ É"]) == self.plain(["abz é"])
+        # where A-Z count as a-z, parts are kept in lower case, unless that could make an added token that is always matched
+        self.fold = all(t.special for t in added) and self.plain(["AbZ É"]) == self.plain(["abz é"])
         self.parts = BARE_PART if self.plain([" a", "\n"]) == [*self.plain(["a"]), b""] else PART
 
-    def plain(self, texts: list[str]) -> list[bytes]:
+    def plain(self, texts: list[str], whole: bool = False) -> list[bytes]:
+        """The library's ids of whole texts; or of parts, which hold no added token but can look like one when folded."""
+        self.tokenizer.encode_special_tokens = not whole
         return [array(self.code, e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def cut(self, text: str) -> list[str] | None:
+        """The parts of a text; None where it is to be encoded whole."""
+        if self.loose or any(a in text for a in self.added):
+            return None
         raw = text.encode("utf-8", "surrogatepass")
         if not raw.translate(None, _LATIN):
             return self.parts.findall(raw.translate(_LOWER).decode() if self.fold else text)
@@ -97,7 +105,7 @@ class Encoder:
                 fresh = set().union(*(p for p in parts if p))
             fresh = list(fresh)
             known.update(zip(fresh, self.plain(fresh), strict=True))
-            out += [self.plain([t])[0] if ps is None else joined(known, ps) for t, ps in zip(some, parts, strict=True)]
+            out += [self.plain([t], True)[0] if ps is None else joined(known, ps) for t, ps in zip(some, parts, strict=True)]
         return out
 
 

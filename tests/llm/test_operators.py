@@ -170,6 +170,37 @@ def test_tokens(spark, docs, name, end):
     assert max(fill.values()) <= 2048 and len(fill) == -(-sum(fill.values()) // 2048)
 
 
+ADDED = ["one <|endoftext|> two", "<|endoftext|>", "a<|startoftext|>  <|endoftext|>\nB", "'<|ENDOFTEXT|> One<|EndOfText|>", "漢<|endoftext|>é\u00a0x <|startoftext|>", "no <|endoftext |> " * 3]
+
+
+@pytest.mark.parametrize(("name", "end"), [("word_bpe_49k.json", 2), ("byte_bpe_50k.json", 1)])
+def test_added_tokens_are_matched_as_the_library_does(spark, name, end):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(tokenizer(name))
+    ids = [np.array([*t.encode(x, add_special_tokens=False).ids, end], "<u4") for x in ADDED]
+    assert t.token_to_id("<|endoftext|>") in ids[0]
+    docs = spark.createDataFrame(list(enumerate(ADDED)), "doc_id long, text string")
+    rows = tokens.read_back(spark, *tokens.written(docs, tokenizer(name), end)).collect()
+    assert {(r.doc_id, r.n_tokens, r.ids_crc32) for r in rows} == {(k, len(x), zlib.crc32(x.tobytes())) for k, x in enumerate(ids)}
+    rows = tokens.packed(docs, tokenizer(name), end).collect()
+    assert {r.doc_id for r in rows} == set(range(len(ADDED)))
+    for r in rows:
+        assert r.doc_tokens == len(ids[r.doc_id]) and r.ids_crc32 == zlib.crc32(ids[r.doc_id][r.start : r.start + r.length].tobytes())
+
+
+def test_tokens_added_to_a_tokenizer_are_matched_whatever_their_kind(tmp_path):
+    from tokenizers import AddedToken, Tokenizer
+
+    for k, kind in enumerate([{"normalized": True}, {"normalized": False}, {"lstrip": True, "rstrip": True}, {"single_word": True}]):
+        t = Tokenizer.from_file(tokenizer("word_bpe_49k.json"))
+        t.add_tokens([AddedToken("Some Thing", **kind)])
+        t.save(file := f"{tmp_path}/{k}.json")
+        texts = [*ADDED, "a some thing b", "Some Thing", "awesome thing, Some  Thing Some Thing."]
+        want = [np.array(t.encode(x, add_special_tokens=False).ids, "<u4").tobytes() for x in texts]
+        assert tokens.Encoder(file, "<u4").encode(texts) == want
+
+
 def test_byte_coding():
     v = np.array([0, 1, 255, 256, 65535, 65536, 1 << 24, 2**32 - 1, 7], np.uint32)
     for n in range(len(v) + 1):
