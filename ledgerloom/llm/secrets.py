@@ -3,7 +3,8 @@
 Two first-order Markov models, one of random strings and one of ordinary identifiers, are trained from labelled
 samples. A candidate string's score is the sum over its adjacent characters of the logarithm of the two models'
 likelihood ratio; the table of these ratios (one number for each pair of alphabet characters, so of fixed size) is a
-constant of the Spark expression.
+constant of the Spark expression. A candidate that is not a secret as a whole can hold some, as in NAME=value: its
+stretches of high sums are judged by the same two limits.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from functools import cache
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import quoted
+from .common import let, quoted
 
 #: The kinds of the contract in their order, with what a match needs besides.
 ASSIGN = r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -25,9 +26,14 @@ HEX = r"[0-9a-f]{16,}"
 KINDS = ["assign", "access", "hex", "markov"]
 
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-="
-CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
+CANDIDATE = r"[A-Za-z0-9+/_=-]{16,}"
 #: A candidate is a secret if its ratio exceeds this many nats in all, and this many for each pair.
 LEAST_TOTAL, LEAST_MEAN = 10.0, 0.35
+#: A stretch of a candidate ends at "=" and where its sum falls so many nats below its highest; it is widened up to one of
+#: "=/_-" or the candidate's ends, padding of "=" included, and then has this many characters at least.
+DROP, LEAST_LENGTH = 8.0, 16
+BEFORE, AFTER = r"(?<![A-Za-z0-9+])[A-Za-z0-9+]*+$", r"^[A-Za-z0-9+]*+(?:={1,2}$)?"
+PAIRS = "array<struct<a:int,b:int>>"
 
 #: Parts that ordinary identifiers and words are made of.
 WORDS = """account address amount array average balance base batch block buffer build cache call category change channel check
@@ -85,19 +91,76 @@ def default_table() -> tuple[float, ...]:
     return tuple(trained(labelled_samples()))
 
 
-def ratio(token: Column, table: list[float], alphabet: str = ALPHABET) -> Column:
-    """The log-likelihood ratio of a string of alphabet characters; 0 for fewer than two."""
+def pair_scores(token: Column, table: list[float], alphabet: str = ALPHABET) -> Column:
+    """array<struct<score, cut>>: the log-likelihood ratio of each pair of adjacent characters; cut: one of them is "="."""
     k = len(alphabet)
     constant = F.split(F.lit(",".join(f"{x:.6f}" for x in table)), ",").cast("array<double>")
+    equals = alphabet.find("=")
     codes = F.transform(F.split(token, ""), lambda c: F.instr(F.lit(alphabet), c) - 1)
     pairs = F.greatest(F.length(token) - 1, F.lit(0))
-    return F.aggregate(
+    return F.transform(
         F.arrays_zip(F.slice(codes, F.lit(1), pairs).alias("a"), F.slice(codes, F.lit(2), pairs).alias("b")),
-        F.lit(0.0),
-        lambda acc, p: acc + F.coalesce(F.get(constant, p["a"] * k + p["b"]), F.lit(0.0)),
+        lambda p: F.struct(F.coalesce(F.get(constant, p["a"] * k + p["b"]), F.lit(0.0)).alias("score"), ((p["a"] == equals) | (p["b"] == equals)).alias("cut")),
     )
 
 
+def enough(total: Column, pairs: Column) -> Column:
+    return (total > LEAST_TOTAL) & (total > LEAST_MEAN * pairs)
+
+
+def stretches(scores: Column, token: Column) -> Column:
+    """array<struct<a, b>>: the places of the stretches of token that are secrets, in one pass over its pairs' scores."""
+    none = F.array().cast(PAIRS)
+    start = F.struct(F.lit(0).alias("at"), F.lit(0.0).alias("sum"), F.lit(0.0).alias("peak"), F.lit(0).alias("a"), F.lit(0).alias("b"), none.alias("out"))
+
+    def closed(acc: Column) -> Column:
+        one = F.array(F.struct(acc["a"].alias("a"), acc["b"].alias("b")))
+        return F.when(enough(acc["peak"], acc["b"] - acc["a"] - 1), F.concat(acc["out"], one)).otherwise(acc["out"])
+
+    def add(acc: Column, p: Column) -> Column:
+        total, after = acc["sum"] + p["score"], acc["at"] + 1
+        shut, up = p["cut"] | (total <= 0) | (total < acc["peak"] - DROP), total > acc["peak"]
+        return F.struct(
+            after.alias("at"),
+            F.when(shut, 0.0).otherwise(total).alias("sum"),
+            F.when(shut, 0.0).otherwise(F.greatest(total, acc["peak"])).alias("peak"),
+            F.when(shut, after).otherwise(acc["a"]).alias("a"),
+            F.when(shut, after).when(up, acc["at"] + 2).otherwise(acc["b"]).alias("b"),
+            F.when(shut, closed(acc)).otherwise(acc["out"]).alias("out"),
+        )
+
+    def widened(m: Column) -> Column:
+        left = F.length(F.regexp_extract(F.substring(token, F.lit(1), m["a"]), BEFORE, 0))
+        right = F.length(F.regexp_extract(F.substring(token, m["b"] + 1, F.length(token)), AFTER, 0))
+        return F.struct((m["a"] - left).alias("a"), (m["b"] + right).alias("b"))
+
+    def merged(out: Column, m: Column) -> Column:
+        last = F.get(out, F.size(out) - 1)
+        joint = F.array(F.struct(last["a"].alias("a"), F.greatest(last["b"], m["b"]).alias("b")))
+        return F.when(m["a"] <= last["b"], F.concat(F.slice(out, F.lit(1), F.size(out) - 1), joint)).otherwise(F.concat(out, F.array(m)))
+
+    every = F.aggregate(F.transform(F.aggregate(scores, start, add, closed), widened), none, merged)
+    return F.filter(every, lambda m: m["b"] - m["a"] >= LEAST_LENGTH)
+
+
+def outside(spans: Column, base: Column) -> Column:
+    """The parts of each of spans (a, b) that none of base, sorted by start, covers."""
+    none = F.array().cast(PAIRS)
+
+    def parts(m: Column) -> Column:
+        def add(acc: Column, b: Column) -> Column:
+            gap = F.array(F.struct(acc["at"].alias("a"), b["start"].alias("b")))
+            return F.struct(F.greatest(acc["at"], b["end"]).alias("at"), F.when(b["start"] > acc["at"], F.concat(acc["out"], gap)).otherwise(acc["out"]).alias("out"))
+
+        def rest(acc: Column) -> Column:
+            return F.when(acc["at"] < m["b"], F.concat(acc["out"], F.array(F.struct(acc["at"].alias("a"), m["b"].alias("b"))))).otherwise(acc["out"])
+
+        over = F.filter(base, lambda b: (b["start"] < m["b"]) & (m["a"] < b["end"]))
+        return F.aggregate(over, F.struct(m["a"].alias("at"), none.alias("out")), add, rest)
+
+    return F.flatten(F.transform(spans, parts))
+
+
 def places(text: Column, pattern: str, kind: int) -> Column:
     """array<struct<start, kind, end, hit>> of all leftmost non-overlapping matches, in code points.
 
@@ -122,8 +185,8 @@ def with_spans(docs: DataFrame, to: str = "spans", table: list[float] | None = N
     """docs with one more column: array<struct<start, kind, end>> sorted by start, then kind, then end.
 
     kind counts KINDS from 0; ends are exclusive, in code points of the whole text. A null or empty text has no
-    spans. A Markov span that overlaps one of the fixed patterns is not repeated. Every row is scanned alone; an
-    existing column of the name `to` is replaced.
+    spans. Of a Markov span that overlaps a fixed pattern's, only the parts outside are given. Every row is scanned
+    alone; an existing column of the name `to` is replaced.
     """
     table = list(table or default_table())
     text = F.coalesce(F.col(quoted(text_col)).cast("string"), F.lit(""))
@@ -135,11 +198,17 @@ def with_spans(docs: DataFrame, to: str = "spans", table: list[float] | None = N
     out = out.withColumn(t + "base", F.concat(F.col(t + "0"), F.coalesce(F.col(t + "1"), empty), F.col(t + "2")))
 
     def strange(m: Column) -> Column:
-        score = ratio(m["hit"], table)
-        taken = F.exists(F.col(t + "base"), lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"]))
-        return ~taken & (score > LEAST_TOTAL) & (score > LEAST_MEAN * (F.length(m["hit"]) - 1))
+        base = F.sort_array(F.filter(F.col(t + "base"), lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"])))
+
+        def judged(scores: Column) -> Column:
+            total = F.aggregate(scores, F.lit(0.0), lambda acc, p: acc + p["score"])
+            whole = F.array(F.struct(m["start"].alias("a"), m["end"].alias("b")))
+            some = F.transform(stretches(scores, m["hit"]), lambda s: F.struct((m["start"] + s["a"]).alias("a"), (m["start"] + s["b"]).alias("b")))
+            return F.when((F.size(base) == 0) & enough(total, F.size(scores)), whole).otherwise(outside(some, base))
+
+        return F.transform(let(pair_scores(m["hit"], table), judged), lambda s: F.struct(s["a"].alias("start"), F.lit(3).alias("kind"), s["b"].alias("end"), m["hit"].alias("hit")))
 
-    every = F.concat(F.col(t + "base"), F.filter(F.col(t + "3"), strange))
+    every = F.concat(F.col(t + "base"), F.flatten(F.transform(F.col(t + "3"), strange)))
     spans = F.transform(F.sort_array(every), lambda m: F.struct(m["start"].alias("start"), m["kind"].alias("kind"), m["end"].alias("end")))
     names = [F.col(quoted(c)) for c in docs.columns if c != to]
     return out.select(*names, spans.alias(to))

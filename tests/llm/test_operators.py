@@ -108,6 +108,27 @@ def test_secrets(docs):
     assert text[10] == "[SECRET]' [SECRET] [SECRET]" and text[3] is None and text[12] == TEXTS[12][1]
 
 
+def test_secrets_glued_to_names_are_found(spark):
+    r = __import__("random").Random(3)
+    names, rows = ["", "DATABASE_CONNECTION_KEY=", "client_secret_value=", "config/prod/service/", "session_value_"], []
+    for name in names:
+        rows += [(name, "".join(r.choices(secrets.ALPHABET[:62], k=n))) for n in (16, 18, 24, 32) for _ in range(25)]
+    df = spark.createDataFrame([(k, f"x {a}{b} y") for k, (a, b) in enumerate(rows)], "doc_id long, text string")
+    left = {x.doc_id: x.text for x in secrets.redacted(df).collect()}
+    assert [np.mean([b not in left[k] and b[3:-3] not in left[k] for k, (a, b) in enumerate(rows) if a == name]) > 0.95 for name in names] == [True] * 5
+    assert np.mean([left[k] == f"x {a}[SECRET] y" for k, (a, b) in enumerate(rows) if a == names[1] and len(b) < 24]) > 0.8
+    plain = spark.createDataFrame([(1, "database_connection_key=default_service_value/config/error-handle"), (2, "service_value_" * 300), (3, "Straßenverkehrsordnungsamt")], "doc_id long, text string")
+    assert [x.spans for x in secrets.secrets(plain).collect()] == [""] * 3
+
+
+def test_what_a_fixed_pattern_leaves_of_a_random_run_is_found(spark):
+    run = "Zq7Xv0Kp3Lm9Rt5Wb2Yd8Nf4" + "0123456789abcdef0" + "Qx6Hs1Gv"
+    df = spark.createDataFrame([(1, f"x {run} y"), (2, f"k token={run[:24]} z")], "doc_id long, text string")
+    got = {x.doc_id: x.spans for x in secrets.secrets(df).collect()}
+    assert got == {1: "markov:2:24,hex:24:43,markov:43:51", 2: "assign:2:32"}
+    assert {x.text for x in secrets.redacted(df).collect()} == {"x [SECRET][SECRET][SECRET] y", "k [SECRET] z"}
+
+
 def test_markov_models_on_held_out_samples(spark):
     held = secrets.labelled_samples(seed=99, n=150)
     df = spark.createDataFrame([(k, f"x {s} y") for k, (s, _) in enumerate(held)], "doc_id long, text string")
