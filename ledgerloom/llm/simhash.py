@@ -13,7 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import id_and_text, shares, stored
@@ -45,15 +45,27 @@ def fingerprint(text: str, shingle: int = 4) -> int:
     return int(np.packbits(2 * ones > len(h), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, shingle: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp): fp is the fingerprint's 64 bits as a signed long. A null text has no words."""
+def fingerprints(docs: DataFrame, shingle: int = 4, id_col: str = "doc_id", text_col: str = "text", keyed: bool = False) -> DataFrame:
+    """(doc_id, fp): fp is the fingerprint's 64 bits as a signed long. A null text has no words. keyed: and the text's key."""
 
     def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in batches:
             fp = np.array([fingerprint(t, shingle) for t in x["text"]], dtype=np.uint64).view(np.int64)
-            yield pd.DataFrame({"doc_id": x["doc_id"].astype("Int64"), "fp": fp})
+            yield pd.DataFrame({"doc_id": x["doc_id"].astype("Int64"), "fp": fp} | ({"key": x["key"]} if keyed else {}))
 
-    return id_and_text(docs, id_col, text_col).mapInPandas(of, "doc_id long, fp long")
+    rows = id_and_text(docs, id_col, text_col)
+    return (rows.withColumn("key", text_key("text")) if keyed else rows).mapInPandas(of, "doc_id long, fp long" + (", key string" if keyed else ""))
+
+
+def text_key(name: str) -> Column:
+    """By this a row's text is known again; a null text counts as an empty one."""
+    return F.sha2(F.coalesce(F.col(name), F.lit("")), 256)
+
+
+def rooted(prints: DataFrame, owner: DataFrame, radius: int) -> DataFrame:
+    """owner (fp, first) with the fp that names each one's group as root, stored."""
+    roots = smallest_reachable(links(prints, radius))
+    return stored(owner.join(roots, owner.fp == roots.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root")), "placed")
 
 
 def linked(a: np.ndarray, b: np.ndarray, radius: int, same: bool, tile: int = 256) -> np.ndarray:
@@ -135,9 +147,7 @@ def near_duplicates(docs: DataFrame, radius: int = 4, shingle: int = 4, id_col:
     component_id is null unless a row with an id is reachable. An empty table gives an empty result.
     """
     prints = stored(fingerprints(docs, shingle, id_col, text_col), "prints")
-    roots = smallest_reachable(links(prints, radius))
-    owner = prints.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    placed = stored(owner.join(roots, owner.fp == roots.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root")), "placed")
+    placed = rooted(prints, prints.groupBy("fp").agg(F.min("doc_id").alias("first")), radius)
     component = placed.groupBy("root").agg(F.min("first").alias("component_id"))
     named = placed.join(component, "root").select("fp", "component_id")
     return prints.join(named, "fp", "left").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
@@ -146,12 +156,17 @@ def near_duplicates(docs: DataFrame, radius: int = 4, shingle: int = 4, id_col:
 def one_of_each(docs: DataFrame, radius: int = 4, shingle: int = 4) -> DataFrame:
     """docs, with one row of each group of near-duplicates: that of the smallest doc_id.
 
-    Rows equal in doc_id and text count once. Rows with a null doc_id stay only where no row with an id is near.
+    Of rows equal in doc_id, the one whose text has the smallest hash stays; of rows equal in text too, any one. A row
+    with a null doc_id stays only where no row with an id is near, and then one of its group.
     """
     from pyspark.sql import Window
 
-    keep = near_duplicates(docs, radius, shingle).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_ledgerloom_kept")).distinct()
-    once = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text")
-    kept = docs.join(keep, docs["doc_id"].eqNullSafe(keep["_ledgerloom_kept"]), "left_semi")
-    before = F.lag(F.struct("text")).over(once)
-    return kept.withColumn("_ledgerloom_same", before.isNotNull() & before.eqNullSafe(F.struct("text"))).where(~F.col("_ledgerloom_same")).drop("_ledgerloom_same")
+    t = "_ledgerloom_"
+    prints = stored(fingerprints(docs, shingle, keyed=True), "prints")
+    row = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("doc_id"), F.col("key").alias("key"))
+    placed = rooted(prints, prints.groupBy("fp").agg(F.min(row).alias("first")), radius)
+    keep = placed.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.doc_id").alias(t + "kept"), F.col("first.key").alias(t + "of"))
+    known = docs.withColumns({t + "id": F.col("doc_id").cast("long"), t + "key": text_key("text")})
+    kept = known.join(keep, known[t + "id"].eqNullSafe(keep[t + "kept"]) & (known[t + "key"] == keep[t + "of"]), "left_semi")
+    once = Window.partitionBy(t + "id", t + "key").orderBy(t + "key")
+    return kept.withColumn(t + "n", F.row_number().over(once)).where(F.col(t + "n") == 1).drop(t + "id", t + "key", t + "n")

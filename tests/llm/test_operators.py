@@ -78,6 +78,19 @@ def test_simhash(docs):
     assert len(kept) == len(set(kept)) and 8 not in kept
 
 
+def test_one_of_each_keeps_one_row_of_a_group_with_and_without_ids(spark):
+    a, b, c, d = (" ".join(f"{w}{k}" for k in range(300)) for w in "abcd")
+    near = b.replace("b299", "other")
+    assert bin(brute_print(b) ^ brute_print(near)).count("1") <= 4
+    rows = [(None, a), (None, b), (None, near), (None, b), (1, c), (None, c), (None, c.replace("c299", "other")), (5, d), (5, a + " x " + c), (4, d), (7, None), (7, ""), (None, None)]
+    df = spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id long, text string, fp int")
+    out = simhash.one_of_each(df)
+    assert out.columns == df.columns
+    got = Counter((r.doc_id, r.text or "") for r in out.collect())
+    bs = [k for k in got if k in {(None, b), (None, near)}]
+    assert len(bs) == 1 and got == Counter([(None, a), bs[0], (1, c), (4, d), (5, a + " x " + c), (7, "")])
+
+
 def test_substrings(docs):
     got = substrings.digest(substrings.deduplicated(docs)).collect()
     assert len(got) == len(TEXTS)
