@@ -62,8 +62,8 @@ def licenses(docs: DataFrame, phrases: list = PHRASES, sentences: list = SENTENC
     n_base counts all places where the words of a phrase stand consecutively; first_word and last_word are the
     smallest and the largest of their starts, null without any. labels adds those of spans that hold LEAST_SHARE of a
     sentence; score is the greatest share, 1 where a phrase stands. A null text is empty and has no words. One row per
-    row of docs, but rows equal in doc_id and text are merged into one and counted once. A null doc_id is an id like
-    any other. An empty table gives an empty result.
+    row of docs; rows equal in doc_id and text are worked on as one. A null doc_id is an id like any other. An empty
+    table gives an empty result.
     """
     spark = docs.sparkSession
     words = F.array_remove(F.split(F.lower(F.coalesce(F.col(quoted(text_col)).cast("string"), F.lit(""))), NOT_WORD), "")
@@ -76,7 +76,7 @@ def licenses(docs: DataFrame, phrases: list = PHRASES, sentences: list = SENTENC
     hit = hit.where(F.col("w2").isNull() | F.col("h").isNotNull())
     # one row per document, template and diagonal; the row without template is the document's last
     vote = hit.groupBy("doc_id", "key", "template", "label", "base", "pairs", F.when(F.col("h").isNotNull(), F.col("at") - F.col("tpos")).alias("diagonal")).agg(
-        F.bit_or(F.expr("shiftleft(1L, tpos)")).alias("seen"), F.max(F.coalesce(F.col("at") + 1, F.lit(0))).alias("last")
+        F.bit_or(F.expr("shiftleft(1L, tpos)")).alias("seen"), F.max(F.coalesce(F.col("at") + 1, F.lit(0))).alias("last"), F.count("*").alias("rows")
     )
     along = Window.partitionBy("doc_id", "key", "template").orderBy("diagonal")
     far = F.coalesce(F.col("diagonal") - F.lag("diagonal").over(along) > NEIGHBOURS, F.lit(False))
@@ -85,6 +85,7 @@ def licenses(docs: DataFrame, phrases: list = PHRASES, sentences: list = SENTENC
     span = vote.groupBy("doc_id", "key", "template", "label", "base", "pairs", "span").agg(
         F.bit_or("seen").alias("seen"),
         F.max("last").alias("last"),
+        F.max("rows").alias("rows"),
         F.count(F.when(whole & F.col("base"), 1)).alias("places"),
         F.min(F.when(whole & F.col("base"), F.col("diagonal"))).alias("first"),
         F.max(F.when(whole & F.col("base"), F.col("diagonal"))).alias("final"),
@@ -103,6 +104,9 @@ def licenses(docs: DataFrame, phrases: list = PHRASES, sentences: list = SENTENC
             joined(F.when(F.col("base") & (F.col("places") > 0), F.col("label"))).alias("base_labels"),
             joined(found).alias("labels"),
             F.coalesce(F.max("share"), F.lit(0.0)).alias("score"),
+            # every row of docs has one last row
+            F.max(F.when(F.col("template").isNull(), F.col("rows"))).alias("rows"),
         )
-        .drop("key")
+        .withColumn("rows", F.explode(F.sequence(F.lit(1), "rows")))
+        .drop("key", "rows")
     )

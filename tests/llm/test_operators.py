@@ -178,6 +178,14 @@ def test_embeddings_recall(spark):
     assert all(got[k].n_links == 0 and got[k].kept and got[k].component_id == k for k in (900, 901, 902, 903))
 
 
+def test_licenses_give_a_row_per_row(spark, docs):
+    text = "under the MIT License, MIT License"
+    more = docs.unionByName(spark.createDataFrame([(i, t, "x", 1) for i, t in [(20, text)] * 3 + [(None, None)] * 2 + [(21, "one"), (21, "one"), (20, "other")]], docs.schema))
+    got = [(r.doc_id, r.n_words, r.n_base) for r in licenses.licenses(more).collect()]
+    assert Counter(r[0] for r in got) == Counter([i for i, _ in TEXTS] + [20] * 4 + [None] * 2 + [21] * 2)
+    assert Counter(r for r in got if r[0] == 20) == {(20, 6, 2): 3, (20, 1, 0): 1}
+
+
 @pytest.mark.parametrize(("name", "end"), [("word_bpe_49k.json", 2), ("byte_bpe_50k.json", 1)])
 def test_tokens(spark, docs, name, end):
     from tokenizers import Tokenizer
