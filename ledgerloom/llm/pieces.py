@@ -35,6 +35,7 @@ class Pieces:
 
     def __init__(self, pieces: list[str], scores: list[float], kind: str, unknown: int, bytes_: dict[int, int] | None = None, skip: set[int] = frozenset()) -> None:
         self.pieces, self.kind, self.unknown, self.bytes = pieces, kind, unknown, bytes_ or {}
+        self.library = None
         self.of_byte = {i: b for b, i in self.bytes.items()}
         usable = [i for i in range(len(pieces)) if i not in skip and i not in self.of_byte and pieces[i]]
         self.longest = max((len(pieces[i]) for i in usable), default=1)
@@ -65,14 +66,59 @@ class Pieces:
 
     @classmethod
     def load(cls, path: str) -> Pieces:
-        """From a model file, by the sentencepiece library."""
+        """From a model file, by the sentencepiece library; the file says which kind it is of.
+
+        Unigram models are normalized and decoded by the library; only unigram and BPE models are supported.
+        """
         import sentencepiece
 
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
         n = sp.get_piece_size()
         made = {int(sp.id_to_piece(i)[3:-1], 16): i for i in range(n) if sp.is_byte(i)}
         skip = {i for i in range(n) if sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i)}
-        return cls([sp.id_to_piece(i) for i in range(n)], [sp.get_score(i) for i in range(n)], "bpe", sp.unk_id(), made, skip)
+        kind, own = described(path)
+        if kind not in ("unigram", "bpe") or (kind == "unigram" and own):
+            raise ValueError(f"only unigram models without user-defined pieces and bpe models are supported: {path} ({kind})")
+        model = cls([sp.id_to_piece(i) for i in range(n)], [sp.get_score(i) for i in range(n)], kind, sp.unk_id(), made, skip)
+        if kind == "unigram":
+            # the library adds up single-precision scores from the text's start, which decides between equal sums
+            model.library, model.word, model.scores = sp, re.compile("(?s:.+)"), model.scores.astype(np.float32)
+        return model
+
+
+def fields(body: bytes) -> Iterator[tuple[int, int | bytes]]:
+    """(number, value) of the fields of a protocol buffer's message."""
+    at = 0
+
+    def number() -> int:
+        nonlocal at
+        value = shift = 0
+        while True:
+            value |= (body[at] & 127) << shift
+            shift, at = shift + 7, at + 1
+            if body[at - 1] < 128:
+                return value
+
+    while at < len(body):
+        tag = number()
+        if tag & 7 == 0:
+            yield tag >> 3, number()
+        else:
+            size = {1: 8, 5: 4}[tag & 7] if tag & 7 != 2 else number()
+            yield tag >> 3, body[at : at + size]
+            at += size
+
+
+def described(path: str) -> tuple[str, bool]:
+    """The kind of a model file, and if it has user-defined pieces."""
+    kind, own = 1, False
+    with open(path, "rb") as f:
+        for k, v in fields(f.read()):
+            if k == 2:
+                kind = dict(fields(v)).get(3, 1)
+            elif k == 1:
+                own = own or dict(fields(v)).get(3) == 4
+    return {1: "unigram", 2: "bpe", 3: "word", 4: "char"}.get(kind, str(kind)), own
 
 
 def spread(codes: np.ndarray) -> np.ndarray:
@@ -97,12 +143,12 @@ def viterbi(words: list[str], n: int, model: Pieces) -> list[list[int]]:
     cost more than any piece and come out as the unknown id."""
     pre, power = prefixes(words, n)
     rows = np.arange(len(words))
-    best, back, took = np.full((len(words), n + 1), -np.inf), np.zeros((len(words), n + 1), np.int64), np.zeros((len(words), n + 1), np.int64)
+    best, back, took = np.full((len(words), n + 1), -np.inf, model.scores.dtype), np.zeros((len(words), n + 1), np.int64), np.zeros((len(words), n + 1), np.int64)
     best[:, 0] = 0
     for end in range(1, n + 1):
         starts = np.arange(max(0, end - model.longest), end)
         ids = model.look(pre[:, [end]] - pre[:, starts] * power[end - starts])
-        cost = np.where(ids >= 0, model.scores[ids], -np.inf)
+        cost = np.where(ids >= 0, model.scores[ids], model.scores.dtype.type(-np.inf))
         cost[:, -1] = np.where(ids[:, -1] >= 0, cost[:, -1], model.least)
         total = best[:, starts] + cost
         pick = total.argmax(1)
@@ -112,7 +158,8 @@ def viterbi(words: list[str], n: int, model: Pieces) -> list[list[int]]:
     for r in range(len(words)):
         at = n
         while at:
-            out[r].append(int(took[r, at]))
+            one = int(took[r, at])
+            out[r] += fallback(words[r][at - 1], model)[::-1] if one == model.unknown else [one]
             at = int(back[r, at])
         out[r].reverse()
     return out
@@ -169,7 +216,11 @@ class Codec:
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text; an empty text has none."""
-        parts = [self.model.word.findall((SPACE if self.prefix and t else "") + t.replace(" ", SPACE)) for t in texts]
+        if self.model.library:
+            self.known.clear()  # whole texts
+            parts = [self.model.word.findall(self.model.library.normalize(t)) for t in texts]
+        else:
+            parts = [self.model.word.findall((SPACE if self.prefix and t else "") + t.replace(" ", SPACE)) for t in texts]
         fresh = {p for ps in parts for p in ps}.difference(self.known)
         if len(self.known) + len(fresh) > KNOWN_WORDS:
             self.known.clear()
@@ -183,10 +234,15 @@ class Codec:
             for at in range(0, len(words), step):
                 part = words[at : at + step]
                 self.known.update(zip(part, (np.array(x, "<u4").tobytes() for x in solve(part, n, self.model)), strict=True))
-        return [np.frombuffer(b"".join(map(self.known.__getitem__, ps)), "<u4") for ps in parts]
+        out = [np.frombuffer(b"".join(map(self.known.__getitem__, ps)), "<u4") for ps in parts]
+        if self.model.library:  # it gives one id for unknown characters in a row
+            out = [x[~((x == self.model.unknown) & (np.concatenate(([-1], x[:-1].astype(np.int64))) == self.model.unknown))] for x in out]
+        return out
 
     def decode(self, ids: np.ndarray) -> str:
         """The text of ids: bytes are put together, the mark is a space, and the prefix goes."""
+        if self.model.library:
+            return self.model.library.decode(ids.tolist())
         text = b"".join(map(self.model.written.__getitem__, ids.tolist())).decode("utf-8", "replace")
         return text[1:] if self.prefix and text.startswith(" ") else text
 

@@ -271,6 +271,23 @@ def test_viterbi_is_the_best_segmentation():
         assert sum(score[names[i]] for i in got) == pytest.approx(best(w)[0]) and "".join(names[i] for i in got) == w
 
 
+@pytest.mark.parametrize("extra", [{}, {"byte_fallback": True}])
+def test_unigram_model_files_are_solved_by_viterbi(spark, docs, sf_dir, tmp_path, extra):
+    import sentencepiece
+
+    some = [r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").orderBy("doc_id").limit(60).collect() if r.text]
+    make = sentencepiece.SentencePieceTrainer.train
+    make(sentence_iterator=iter([x for t in some for x in t.split("\n")]), model_prefix=f"{tmp_path}/u", model_type="unigram", vocab_size=600, hard_vocab_limit=False, minloglevel=2, **extra)
+    sp = sentencepiece.SentencePieceProcessor(model_file=f"{tmp_path}/u.model")
+    texts = {i: x or "" for i, x in TEXTS} | {1000 + k: t[:2000] for k, t in enumerate(some)} | {2000: "漢字 漢, ﬁne\u00a0 ½ 漢", 2001: "漢"}
+    more = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    for r in pieces.encoded(more, f"{tmp_path}/u.model").collect():
+        assert list(r.ids) == sp.encode(texts[r.doc_id]) and r.decoded == sp.decode(list(r.ids)), r.doc_id
+    make(sentence_iterator=iter(some[:9]), model_prefix=f"{tmp_path}/c", model_type="char", vocab_size=50, minloglevel=2)
+    with pytest.raises(ValueError, match="unigram"):
+        pieces.Pieces.load(f"{tmp_path}/c.model")
+
+
 def test_chat(spark):
     rows = [(1, 1, "user", "hi"), (2, 1, "user", "hi"), (2, 2, "bot", "yo"), (3, 1, "user", "hi"), (3, 2, "bot", "yo"), (4, 1, None, None), (5, 1, "user", "<|im_end|>x")]
     df = spark.createDataFrame([(*r, "extra") for r in rows], "conv_id long, turn long, role string, text string, h string")
