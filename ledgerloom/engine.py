@@ -9,8 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.operators.detect import detected
-from ledgerloom.operators.reader import to_hub
-from ledgerloom.operators.writer import from_hub
+from ledgerloom.operators.reader import STATUS, VALUE, flat, quoted, to_fields, to_hub, to_items
+from ledgerloom.operators.writer import from_hub, labels, written
 from ledgerloom.plans.mapping import HERE, compile_all
 
 
@@ -36,14 +36,29 @@ class Engine:
     def to_hub(self, docs: DataFrame, spoke: str, xml: str = "xml", strict: bool = True) -> DataFrame:
         return to_hub(docs, self.compiled[spoke], xml, strict)
 
+    def fields(self, docs: DataFrame, spoke: str, keys: list[str] | None = None, xml: str = "xml", strict: bool = True, parse: set[str] | None = None) -> DataFrame:
+        """The record's fields as columns, see to_fields. parse: keys that documents are parsed for, instead of all; the
+        status and the diagnostics then speak of these only."""
+        return to_fields(docs, self.compiled[spoke].only(parse, required=False) if parse else self.compiled[spoke], keys, xml, strict)
+
+    def items(self, docs: DataFrame, spoke: str, collection: str, keys: list[str] | None = None, xml: str = "xml", strict: bool = True) -> DataFrame:
+        """A row per element of a collection, see to_items."""
+        return to_items(docs, self.compiled[spoke], collection, keys, xml, strict)
+
     def from_hub(self, docs: DataFrame, spoke: str) -> DataFrame:
         return from_hub(docs, self.compiled[spoke])
 
     def transform(self, docs: DataFrame, source: str, target: str, xml: str = "xml", strict: bool = True) -> DataFrame:
-        """docs with xml_out, diagnostics (reading before writing), status and accepted: whether no error was told."""
-        out = self.from_hub(self.to_hub(docs, source, xml, strict), target)
-        notes = F.concat("diagnostics", "write_diagnostics")
-        return out.withColumn("diagnostics", notes).drop("write_diagnostics").withColumn("accepted", (F.col("status") == "ok") & ~has_error(F.col("diagnostics")))
+        """docs with hub, status, xml_out, diagnostics (reading before writing), and accepted: whether no error was told."""
+        read, fields = flat(docs, self.compiled[source], xml, strict)
+        hub, ok = {f: F.col(VALUE + f) for f in fields}, F.col(STATUS) == "ok"
+        record = F.when(ok, F.struct(*[c.alias(f) for f, c in hub.items()])).alias("hub")
+        made = {"hub", "diagnostics", "status", "xml_out", "accepted"}
+        names = [c for c in docs.columns if c not in made]
+        columns = labels(read.select(record).schema["hub"].dataType)
+        out = written(read.select("*", record), self.compiled[target], hub, columns, ok, [*names, "hub", STATUS, "_diagnostics"], "xml_out", "_told")
+        out = out.select(*[F.col(quoted(c)) for c in names], "hub", F.concat("_diagnostics", "_told").alias("diagnostics"), F.col(STATUS).alias("status"), "xml_out")
+        return out.withColumn("accepted", (F.col("status") == "ok") & ~has_error(F.col("diagnostics")))
 
     def transform_mixed(self, docs: DataFrame, target: str, xml: str = "xml") -> DataFrame:
         """Documents of any format to one; those without a format are left to detect(). One scan for each plan."""

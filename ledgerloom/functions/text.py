@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -20,13 +24,38 @@ SPOKEN = {"currency": "currency code", "unit_code": "unit code", "date": "date",
 DIAGNOSTIC = "struct<severity:string,code:string,source_node:string,canonical_key:string,source_path:string,collection_index:int,fallback_chain:array<string>,message:string>"
 
 
+#: The characters with the Unicode property White_Space.
+WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
 def trim(c: Column) -> Column:
     """Without white space of any script at both ends."""
-    return F.regexp_replace(c, r"(?U)^\s+|\s+\z", "")
+    return F.btrim(c, F.lit(WHITE))
 
 
 NORMALISERS = {"trim": trim, "uppercase": F.upper, "lowercase": F.lower, "empty_as_missing": lambda c: F.nullif(c, F.lit(""))}
-ADAPTERS = {"uppercase_currency": F.upper}
+
+
+@dataclass(frozen=True)
+class Adapter:
+    """A named conversion of a text; failure gives the reason why a text can't be converted, null where it can."""
+
+    apply: Callable[[Column], Column]
+    failure: Callable[[Column], Column] | None = None
+
+
+#: All that mapping files may name; register() adds to it.
+ADAPTERS: dict[str, Adapter] = {}
+
+
+def register(name: str, apply: Callable[[Column], Column], failure: Callable[[Column], Column] | None = None) -> None:
+    """Offer an adapter to mapping files that are compiled from now on. Both functions build columns of built-in functions."""
+    if name in ADAPTERS:
+        raise ValueError(f"adapter {name} is registered already")
+    ADAPTERS[name] = Adapter(apply, failure)
+
+
+register("uppercase_currency", F.upper)
 
 
 def normalise(c: Column, ops: list[str]) -> Column:
@@ -54,8 +83,15 @@ def render(c: Column, kind: str) -> Column:
     return c.cast("string") if kind == "boolean" else c
 
 
-def diagnostic(when: Column, severity: str, code: str, node: str, key: str | None, path: str | None, message: Column | str, index: Column | None = None, fallbacks: list[str] | None = None) -> Column:
-    """One entry where `when` holds, else null."""
+@dataclass(frozen=True)
+class Told:
+    """A diagnostic that is told of a row where `when` holds."""
+
+    when: Column
+    entry: Column
+
+
+def diagnostic(when: Column, severity: str, code: str, node: str, key: str | None, path: str | None, message: Column | str, index: Column | None = None, fallbacks: list[str] | None = None) -> Told:
     text = lambda x: F.lit(x).cast("string")
     entry = F.struct(
         text(severity).alias("severity"),
@@ -67,9 +103,13 @@ def diagnostic(when: Column, severity: str, code: str, node: str, key: str | Non
         (F.array(*[F.lit(x) for x in fallbacks or []])).cast("array<string>").alias("fallback_chain"),
         (F.lit(message) if isinstance(message, str) else message).alias("message"),
     )
-    return F.when(when, entry)
+    return Told(when, entry)
 
 
-def diagnostics(entries: list[Column]) -> Column:
-    """The entries that are there, in their order."""
-    return F.array_compact(F.array(*entries)) if entries else F.array().cast(f"array<{DIAGNOSTIC}>")
+def diagnostics(entries: list[Told]) -> Column:
+    """The entries that are told, in their order. Most rows have none, and for them only the conditions are looked at."""
+    none = F.array().cast(f"array<{DIAGNOSTIC}>")
+    if not entries:
+        return none
+    some = reduce(lambda a, b: a | b, [t.when for t in entries])
+    return F.when(some, F.array_compact(F.array(*[F.when(t.when, t.entry) for t in entries]))).otherwise(none)

@@ -5,6 +5,8 @@ Every element is parsed as an array, so that one that is repeated against its ma
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -86,11 +88,11 @@ def element_at(top: Element, path: tuple[str, ...]) -> Element:
     return top
 
 
-def read_scalar(n: Node, spoke: Spoke, base: Column, top: Element, index: Column | None) -> tuple[Column, list[Column]]:
+def read_scalar(n: Node, spoke: Spoke, base: Column, top: Element, index: Column | None) -> tuple[Column, list[X.Told]]:
     """The value and its possible diagnostics, in the order in which they are told."""
     key, path = n.canonical_key or n.clone_of, shown(n, spoke)
     tell = lambda when, severity, code, message, p=None, chain=None: X.diagnostic(when, severity, code, n.id, key, p, message, index, chain)
-    out: list[Column] = []
+    out: list[X.Told] = []
     if n.multiple:
         items = F.coalesce(F.filter(F.transform(leaf(base, top, below(spoke, n), True), lambda v: X.normalise(v, n.normalize)), lambda v: v.isNotNull()), F.array().cast("array<string>"))
         count = F.size(items)
@@ -104,7 +106,7 @@ def read_scalar(n: Node, spoke: Spoke, base: Column, top: Element, index: Column
             out.append(tell(count > 1, "error", "MULTIPLE_VALUES", F.concat(F.lit("found "), count, F.lit(f" values for single-valued `{key}`")), path))
     else:
         raw = X.normalise(leaf(base, top, below(spoke, n)), n.normalize)
-    for k, f in enumerate(n.fallbacks):
+    for f in n.fallbacks:
         other = spoke.nodes[f]
         before = raw
         value = X.normalise(leaf(base, top, below(spoke, other)), other.normalize)
@@ -113,28 +115,52 @@ def read_scalar(n: Node, spoke: Spoke, base: Column, top: Element, index: Column
     if n.required:
         out.append(tell(raw.isNull(), "error", "REQUIRED_MISSING", "required value is missing", path))
     if n.adapter:
-        raw = X.ADAPTERS[n.adapter](raw)
+        given, adapter = raw, X.ADAPTERS[n.adapter]
+        raw = adapter.apply(given)
+        if adapter.failure is not None:
+            why = adapter.failure(given)
+            out.append(tell(given.isNotNull() & why.isNotNull(), "error", "ADAPTER_FAILED", F.concat(F.lit(f"adapter `{n.adapter}` failed: "), why)))
+            raw = F.when(why.isNull(), raw)
     if n.type in X.SHAPES:
         out.append(tell(raw.isNotNull() & ~X.valid(raw, n.type), "error", "TYPE_INVALID", F.concat(F.lit("`"), raw, F.lit(f"` is not a valid {X.SPOKEN[n.type]}"))))
     return X.decode(raw, n.type), out
 
 
-def read_scope(spoke: Spoke, scope: str | None, base: Column, top: Element, index: Column | None, strict: bool) -> tuple[Column, Column, Column]:
-    """The record of one scope, its diagnostics, and whether an element is repeated that must not be."""
-    fields: list[Column] = []
-    told: list[Column] = []
-    nested: list[Column] = []
-    twice = F.lit(False)
+def keyed_scalars(spoke: Spoke, scope: str | None) -> list[Node]:
+    return [n for n in spoke.inside(scope) if n.type != "collection" and n.canonical_key and not n.clone_of]
+
+
+def keyed_collections(spoke: Spoke, scope: str | None) -> list[Node]:
+    return [n for n in spoke.inside(scope) if n.type == "collection" and n.canonical_key]
+
+
+# The record of a scope, its diagnostics, and whether an element is repeated that must not be, are made apart from each
+# other, so that a plan computes only those that are asked for.
+
+
+def read_values(spoke: Spoke, scope: str | None, base: Column, top: Element, wanted: set[str] | None = None) -> dict[str, Column]:
+    """The fields of one scope by name. wanted: the ids of nodes whose values are asked for, else all."""
+    asked = lambda n: wanted is None or n.id in wanted
+    fields = {snake(n.canonical_key): read_scalar(n, spoke, base, top, None)[0] for n in keyed_scalars(spoke, scope) if asked(n)}
+    for n in keyed_collections(spoke, scope):
+        if asked(n):
+            raw, inner = elements(spoke, n, base, top)
+            fields[snake(n.canonical_key)] = F.transform(raw, _one(lambda e, n=n, inner=inner: as_struct(read_values(spoke, n.id, e, inner, wanted))))
+    return fields
+
+
+def as_struct(fields: dict[str, Column]) -> Column:
+    return F.struct(*[c.alias(name) for name, c in fields.items()])
+
+
+def read_notes(spoke: Spoke, scope: str | None, base: Column, top: Element, index: Column | None) -> Column:
+    """The diagnostics of one scope: of scalars, of copies, then of collections."""
+    told: list[X.Told] = []
     values: dict[str, Column] = {}
-    nodes = spoke.inside(scope)
-    for n in nodes:
-        if n.type == "collection" or not n.canonical_key or n.clone_of:
-            continue
-        value, entries = read_scalar(n, spoke, base, top, index)
-        values[n.canonical_key] = value
-        fields.append(value.alias(snake(n.canonical_key)))
+    for n in keyed_scalars(spoke, scope):
+        values[n.canonical_key], entries = read_scalar(n, spoke, base, top, index)
         told += entries
-    for n in nodes:
+    for n in spoke.inside(scope):
         if n.clone_of:
             copy, entries = read_scalar(n, spoke, base, top, index)
             message = F.concat(F.lit("copy value `"), X.render(copy, n.type), F.lit(f"` does not match the canonical `{n.clone_of}` value"))
@@ -142,37 +168,62 @@ def read_scope(spoke: Spoke, scope: str | None, base: Column, top: Element, inde
             if n.type == "decimal":
                 same = copy.cast("decimal(38,18)").eqNullSafe(values[n.clone_of].cast("decimal(38,18)"))
             told += [*entries, X.diagnostic(copy.isNotNull() & ~same, "warning", "CLONE_MISMATCH", n.id, n.clone_of, shown(n, spoke), message, index)]
-    for n in nodes:
-        if n.type != "collection" or not n.canonical_key:
-            continue
-        steps, holder, at = below(spoke, n), base, top
-        for step in steps[:-1]:
-            holder, at = F.get(holder[step], F.lit(0)), at.children[step]
-        inner = at.children[steps[-1]]
-        raw = F.coalesce(holder[steps[-1]], F.array().cast(T.ArrayType(inner.schema())))
+    parts = [X.diagnostics(told)]
+    for n in keyed_collections(spoke, scope):
+        raw, inner = elements(spoke, n, base, top)
         if n.least:
             message = F.concat(F.lit(f"collection `{n.canonical_key}` has "), F.size(raw), F.lit(f" items, expected at least {n.least}"))
-            nested.append(X.diagnostics([X.diagnostic(F.size(raw) < n.least, "error", "MIN_ITEMS", n.id, n.canonical_key, shown(n, spoke), message)]))
+            parts.append(X.diagnostics([X.diagnostic(F.size(raw) < n.least, "error", "MIN_ITEMS", n.id, n.canonical_key, shown(n, spoke), message)]))
+        if speaks(spoke, n.id):
+            parts.append(F.flatten(F.transform(raw, _two(lambda e, i, n=n, inner=inner: read_notes(spoke, n.id, e, inner, i)))))
+    return F.concat(*parts) if len(parts) > 1 else parts[0]
+
+
+def speaks(spoke: Spoke, scope: str) -> bool:
+    """Whether reading the items of a collection can tell a diagnostic at all."""
+    return any(
+        n.clone_of or n.required or n.fallbacks or n.adapter or n.least or n.multiple in ("first", "error") or n.type in X.SHAPES or (n.type == "collection" and speaks(spoke, n.id))
+        for n in spoke.inside(scope)
+        if n.canonical_key or n.clone_of
+    )
+
+
+def read_twice(spoke: Spoke, scope: str | None, base: Column, top: Element) -> list[Column]:
+    """Whether each element that may stand only once is repeated, in this scope and in the items of its collections."""
+    out = repeats(base, top)
+    for n in keyed_collections(spoke, scope):
+        raw, inner = elements(spoke, n, base, top)
+        if single(inner):
+            out.append(F.exists(raw, _one(lambda e, n=n, inner=inner: any_of(read_twice(spoke, n.id, e, inner)))))
+    return out
+
+
+def single(e: Element) -> bool:
+    """Whether e holds an element, at any depth, that may stand only once."""
+    return any(not c.many or single(c) for c in e.children.values())
 
-        def item(e: Column, i: Column, n: Node = n, inner: Element = inner) -> Column:
-            value, notes, again = read_scope(spoke, n.id, e, inner, i, strict)
-            return F.struct(value.alias("value"), notes.alias("notes"), again.alias("twice"))
 
-        items = F.transform(raw, _two(item))
-        fields.append(F.transform(items, lambda x: x["value"]).alias(snake(n.canonical_key)))
-        nested.append(F.flatten(F.transform(items, lambda x: x["notes"])))
-        twice = twice | F.exists(items, lambda x: x["twice"])
-    if strict:
-        for again in repeats(base, top):
-            twice = twice | again
-    notes = F.concat(X.diagnostics(told), *nested) if nested else X.diagnostics(told)
-    return F.struct(*fields), notes, F.coalesce(twice, F.lit(False))
+def any_of(conditions: list[Column]) -> Column:
+    return reduce(lambda a, b: a | b, conditions) if conditions else F.lit(False)
+
+
+def _one(f):
+    return lambda e: f(e)
 
 
 def _two(f):
     return lambda e, i: f(e, i)
 
 
+def elements(spoke: Spoke, n: Node, base: Column, top: Element) -> tuple[Column, Element]:
+    """The array of a collection's elements, empty where there are none, and what an element holds."""
+    steps, holder, at = below(spoke, n), base, top
+    for step in steps[:-1]:
+        holder, at = F.get(holder[step], F.lit(0)), at.children[step]
+    inner = at.children[steps[-1]]
+    return F.coalesce(holder[steps[-1]], F.array().cast(T.ArrayType(inner.schema()))), inner
+
+
 def repeats(base: Column, top: Element) -> list[Column]:
     """Whether each element that may stand only once is repeated; collections look after their own items."""
     out = []
@@ -185,26 +236,77 @@ def repeats(base: Column, top: Element) -> list[Column]:
     return out
 
 
-def to_hub(docs: DataFrame, spoke: Spoke, xml: str = "xml", strict: bool = True) -> DataFrame:
-    """docs with hub, diagnostics and status in place of the parsed text.
+#: The parsed document, and what is said of it, beside the columns of docs.
+PARSED, STATUS, VALUE = "_parsed", "_status", "_value_"
 
-    status: ok; malformed where the text is no XML; repeated where an element stands twice against its mapping. The
-    record is null unless ok. With strict=False the first of repeated elements is taken.
+
+def parsed(docs: DataFrame, spoke: Spoke, xml: str = "xml", strict: bool = True, only: Column | None = None) -> tuple[DataFrame, Element]:
+    """docs with PARSED, a struct of the mapped elements, and STATUS; `only` holds for the rows that are parsed at all.
+
+    The parse is a generator's output: filters on other columns pass below it, and those on the status stay above, so
+    that a document is parsed once, however often the parse is asked for.
     """
     top = Element.of(spoke)
     schema = top.schema()
     assert isinstance(schema, T.StructType)
     schema = T.StructType([*schema.fields, T.StructField("_corrupt_record", T.StringType())])
-    parsed = F.from_xml(F.coalesce(F.col(xml), F.lit("")), schema, OPTIONS)
-
-    def judged(p: Column) -> Column:
-        hub, notes, twice = read_scope(spoke, None, p, top, None, strict)
-        bad = p.isNull() | p["_corrupt_record"].isNotNull()
-        status = F.when(bad, "malformed").when(twice, "repeated").otherwise("ok")
-        ok = ~bad & ~twice
-        return F.struct(F.when(ok, hub).alias("hub"), F.when(ok, notes).otherwise(X.diagnostics([])).alias("diagnostics"), status.alias("status"))
-
-    # The parsed text is a lambda's variable: however a filter on the status is moved, a document is parsed once for it.
-    read = F.get(F.transform(F.array(parsed), lambda p: judged(p)), F.lit(0))
-    names = [F.col(f"`{c}`") for c in docs.columns if c not in ("hub", "diagnostics", "status")]
-    return docs.withColumn("_read", read).select(*names, F.col("_read.hub").alias("hub"), F.col("_read.diagnostics").alias("diagnostics"), F.col("_read.status").alias("status"))
+    tree = F.from_xml(F.coalesce(F.col(quoted(xml)), F.lit("")), schema, OPTIONS)
+    if only is not None:
+        tree = F.when(only, tree)
+    out = docs.select("*", F.explode_outer(F.array(tree)).alias(PARSED))
+    p = F.col(PARSED)
+    twice = any_of(read_twice(spoke, None, p, top)) if strict else F.lit(False)
+    status = F.when(p.isNull() | p["_corrupt_record"].isNotNull(), "malformed").when(F.coalesce(twice, F.lit(False)), "repeated").otherwise("ok")
+    return out.withColumn(STATUS, status), top
+
+
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def flat(docs: DataFrame, spoke: Spoke, xml: str = "xml", strict: bool = True, wanted: set[str] | None = None) -> tuple[DataFrame, list[str]]:
+    """docs with STATUS, _diagnostics and a column VALUE + name for each field of the record; and the names."""
+    out, top = parsed(docs, spoke, xml, strict)
+    values = read_values(spoke, None, F.col(PARSED), top, wanted)
+    ok = F.col(STATUS) == "ok"
+    fields = [F.when(ok, c).alias(VALUE + name) for name, c in values.items()]
+    notes = F.when(ok, read_notes(spoke, None, F.col(PARSED), top, None)).otherwise(X.diagnostics([])).alias("_diagnostics")
+    return out.select(*[F.col(quoted(c)) for c in docs.columns], STATUS, notes, *fields), list(values)
+
+
+def to_hub(docs: DataFrame, spoke: Spoke, xml: str = "xml", strict: bool = True) -> DataFrame:
+    """docs with hub, diagnostics and status in place of the parsed text.
+
+    status: ok; malformed where the text is no XML; repeated where an element stands twice against its mapping. The
+    record is null unless ok. With strict=False the first of repeated elements is taken.
+    """
+    names = [F.col(quoted(c)) for c in docs.columns if c not in ("hub", "diagnostics", "status")]
+    out, fields = flat(docs, spoke, xml, strict)
+    hub = F.when(F.col(STATUS) == "ok", F.struct(*[F.col(VALUE + f).alias(f) for f in fields]))
+    return out.select(*names, hub.alias("hub"), F.col("_diagnostics").alias("diagnostics"), F.col(STATUS).alias("status"))
+
+
+def to_fields(docs: DataFrame, spoke: Spoke, keys: list[str] | None = None, xml: str = "xml", strict: bool = True) -> DataFrame:
+    """docs with status, diagnostics and the record's fields as columns of their own: those of keys (labels as
+    `InvoiceLines/LineId` choose parts of a collection), else all. What is not selected of them is not computed.
+
+    The fields are null and the diagnostics empty unless the status is ok. Columns of docs go where a field has their name.
+    """
+    wanted = None if keys is None else spoke.chosen(keys)
+    out, fields = flat(docs, spoke, xml, strict, wanted)
+    kept = [F.col(quoted(c)) for c in docs.columns if c not in {"status", "diagnostics", *fields}]
+    return out.select(*kept, F.col(STATUS).alias("status"), F.col("_diagnostics").alias("diagnostics"), *[F.col(VALUE + f).alias(f) for f in fields])
+
+
+def to_items(docs: DataFrame, spoke: Spoke, collection: str, keys: list[str] | None = None, xml: str = "xml", strict: bool = True) -> DataFrame:
+    """A row per element of a collection at the top of the documents that are ok: docs' columns, position from 0, and
+    the item's fields. keys as in to_fields, below the collection."""
+    node = next(n for n in spoke.inside(None) if n.type == "collection" and n.canonical_key == collection)
+    wanted = None if keys is None else spoke.chosen([f"{collection}/{k}" for k in keys])
+    out, top = parsed(docs, spoke, xml, strict)
+    raw, inner = elements(spoke, node, F.col(PARSED), top)
+    names = [F.col(quoted(c)) for c in docs.columns]
+    rows = out.where(F.col(STATUS) == "ok").select(*names, F.posexplode_outer(raw).alias("_at", "_item")).where(F.col("_at").isNotNull())
+    fields = read_values(spoke, node.id, F.col("_item"), inner, wanted)
+    kept = [F.col(quoted(c)) for c in docs.columns if c not in {"position", *fields}]
+    return rows.select(*kept, F.col("_at").alias("position"), *[c.alias(name) for name, c in fields.items()])

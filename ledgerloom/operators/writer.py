@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import text as X
-from ledgerloom.operators.reader import below, shown
+from ledgerloom.operators.reader import below, quoted, shown
 from ledgerloom.plans.mapping import Node, Spoke, snake, xml_snake
 
 
@@ -35,11 +35,11 @@ def put(tree: dict, steps: tuple[str, ...], value: Column) -> None:
     tree["_VALUE"] = value
 
 
-def write_scope(spoke: Spoke, scope: str | None, hub: Column, has: set[str], prefix: str, index: Column | None) -> tuple[Column, list[Column], list[Column]]:
+def write_scope(spoke: Spoke, scope: str | None, hub: Column | dict[str, Column], has: set[str], prefix: str, index: Column | None) -> tuple[Column, list[X.Told], list[Column]]:
     """The element of one scope, its diagnostics, and those of its collections. has: labels the record has."""
     tree: dict = {}
     constants: list[tuple[tuple[str, ...], Column]] = []
-    told: list[Column] = []
+    told: list[X.Told] = []
     nested: list[Column] = []
     nodes = spoke.inside(scope)
     for n in nodes:
@@ -60,14 +60,17 @@ def write_scope(spoke: Spoke, scope: str | None, hub: Column, has: set[str], pre
             continue
         if prefix + n.canonical_key in has:
 
-            def item(e: Column, i: Column, n: Node = n) -> Column:
-                value, notes, more = write_scope(spoke, n.id, e, has, f"{prefix}{n.canonical_key}/", i)
-                own = X.diagnostics(notes)
-                return F.struct(value.alias("value"), (F.concat(own, *more) if more else own).alias("notes"))
+            def element(e: Column, i: Column, n: Node = n) -> Column:
+                return write_scope(spoke, n.id, e, has, f"{prefix}{n.canonical_key}/", i)[0]
 
-            made = F.transform(hub[snake(n.canonical_key)], _two(item))
-            items = F.filter(F.transform(made, lambda x: x["value"]), lambda x: x.isNotNull())
-            nested.append(F.coalesce(F.flatten(F.transform(made, lambda x: x["notes"])), X.diagnostics([])))
+            def notes(e: Column, i: Column, n: Node = n) -> Column:
+                _, own, more = write_scope(spoke, n.id, e, has, f"{prefix}{n.canonical_key}/", i)
+                return F.concat(X.diagnostics(own), *more) if more else X.diagnostics(own)
+
+            values = hub[snake(n.canonical_key)]
+            items = F.filter(F.transform(values, _two(element)), lambda x: x.isNotNull())
+            if told_of(spoke, n.id):
+                nested.append(F.coalesce(F.flatten(F.transform(values, _two(notes))), X.diagnostics([])))
             count = F.coalesce(F.size(items), F.lit(0))
             place = tree
             for step in below(spoke, n)[:-1]:
@@ -95,6 +98,11 @@ def _two(f):
     return lambda e, i: f(e, i)
 
 
+def told_of(spoke: Spoke, scope: str) -> bool:
+    """Whether writing the items of a collection can tell a diagnostic at all."""
+    return any((n.required and not n.clone_of and n.constant is None) or n.least or (n.type == "collection" and told_of(spoke, n.id)) for n in spoke.inside(scope))
+
+
 def labels(schema, prefix: str = "") -> set[str]:
     """The column paths of a record's schema, in snake case."""
     out = set()
@@ -108,11 +116,18 @@ def labels(schema, prefix: str = "") -> set[str]:
 
 def from_hub(docs: DataFrame, spoke: Spoke, hub: str = "hub", to: str = "xml_out") -> DataFrame:
     """docs with one more column of XML text, and write_diagnostics; both null or empty where the record is null."""
-    columns = labels(docs.schema[hub].dataType)
+    h = F.col(quoted(hub))
+    names = [c for c in docs.columns if c not in (to, "write_diagnostics")]
+    return written(docs, spoke, h, labels(docs.schema[hub].dataType), h.isNotNull(), names, to, "write_diagnostics")
+
+
+def written(docs: DataFrame, spoke: Spoke, hub: Column | dict[str, Column], columns: set[str], there: Column, names: list[str], to: str, notes_to: str) -> DataFrame:
+    """The columns `names` of docs, the XML text and the diagnostics, where `there` holds.
+
+    columns: the paths of the record's fields. A document is only rendered, and its notes only made, if they are selected.
+    """
     has = {name for name in map(spoke.label, spoke.keyed()) if "/".join(snake(k) for k in name.split("/")) in columns}
-    element, told, nested = write_scope(spoke, None, F.col(hub), has, "", None)
+    element, told, nested = write_scope(spoke, None, hub, has, "", None)
     notes = F.concat(X.diagnostics(told), *nested) if nested else X.diagnostics(told)
-    out = docs.withColumns({"_element": element, "_notes": notes})
-    xml = F.when(F.col(hub).isNotNull(), F.to_xml("_element", {"rowTag": spoke.root, "indent": "", "attributePrefix": "_", "valueTag": "_VALUE"}))
-    names = [F.col(f"`{c}`") for c in docs.columns if c not in (to, "write_diagnostics")]
-    return out.select(*names, xml.alias(to), F.when(F.col(hub).isNotNull(), F.col("_notes")).otherwise(X.diagnostics([])).alias("write_diagnostics"))
+    xml = F.when(there, F.to_xml(element, {"rowTag": spoke.root, "indent": "", "attributePrefix": "_", "valueTag": "_VALUE"}))
+    return docs.select(*[F.col(quoted(c)) for c in names], xml.alias(to), F.when(there, notes).otherwise(X.diagnostics([])).alias(notes_to))

@@ -7,11 +7,12 @@ import tomllib
 from dataclasses import dataclass, field
 from pathlib import Path
 
+from ledgerloom.functions.text import ADAPTERS, NORMALISERS
+
 HERE = Path(__file__).resolve().parents[1] / "mappings"
 TYPES = ("string", "identifier", "date", "datetime", "decimal", "currency", "unit_code", "boolean", "collection")
 META = {"doc_format", "format_version", "mapping_version", "canonical_model", "root", "source_model", "detect", "inherits", "disabled", "description"}
 NODE = {"xml", "type", "canonical_key", "required", "fallbacks", "description", "min_items", "multiple", "join_with", "normalize", "adapter", "constant", "clone_of", "disabled"}
-ADAPTERS = ("uppercase_currency",)
 #: Literals that a constant may be, by type; other types take any text that is not blank.
 LITERALS = {"decimal": r"[+-]?\d+(\.\d+)?", "date": r"\d{4}-\d{2}-\d{2}", "datetime": r"\d{4}-\d{2}-\d{2}T.+", "currency": r"[A-Z]{3}", "boolean": r"true|false", "unit_code": r"[0-9A-Za-z]{1,3}"}
 
@@ -83,14 +84,26 @@ class Spoke:
             at = self.nodes[at].scope
         return "/".join(reversed(keys))
 
-    def only(self, keys: set[str]) -> Spoke:
+    def only(self, keys: set[str], required: bool = True) -> Spoke:
         """The same format with the nodes of these canonical keys and of what they need: the collections around them,
-        fallbacks, and whatever is required. Elements that are left out are not even parsed."""
-        keep = {k for k, n in self.nodes.items() if n.canonical_key in keys or n.clone_of in keys or n.required or n.constant is not None}
+        fallbacks, and whatever is required, unless that is not asked for. Elements that are left out are not even parsed."""
+        keep = {k for k, n in self.nodes.items() if n.canonical_key in keys or n.clone_of in keys or (required and (n.required or n.constant is not None))}
         while more := {x for k in keep for x in [self.nodes[k].scope, *self.nodes[k].fallbacks] if x} - keep:
             keep |= more
         return Spoke(self.meta, {k: n for k, n in self.nodes.items() if k in keep})
 
+    def chosen(self, keys: list[str]) -> set[str]:
+        """The ids of the nodes with these labels, and of the collections around them; a collection alone stands for all in it."""
+        ids: set[str] = set()
+        for k in keys:
+            found = {n.id for n in self.keyed() if self.label(n) == k or self.label(n).startswith(k + "/")}
+            if not found:
+                raise KeyError(f"{self.id} has no {k}")
+            ids |= found
+        while more := {self.nodes[i].scope for i in ids if self.nodes[i].scope} - ids:
+            ids |= more
+        return ids
+
     def keyed(self) -> list[Node]:
         return [n for _, n in sorted(self.nodes.items()) if n.canonical_key and not n.clone_of]
 

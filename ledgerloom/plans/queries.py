@@ -64,8 +64,14 @@ def footprints() -> str:
     return f"WITH c AS (SELECT * FROM (VALUES {', '.join(rows)}) AS t(spoke, field, required)) "
 
 
-def read(spark: SparkSession, sf_dir: str, spoke: str = "ubl-invoice") -> DataFrame:
-    return engine().to_hub(from_orders(spark, sf_dir), spoke)
+def read(spark: SparkSession, sf_dir: str, *keys: str, spoke: str = "ubl-invoice") -> DataFrame:
+    """The invoices made from orders, with status, diagnostics, and these keys as columns."""
+    return engine().fields(from_orders(spark, sf_dir), spoke, list(keys))
+
+
+def items(spark: SparkSession, sf_dir: str, collection: str, *keys: str) -> DataFrame:
+    """A row per element of a collection of the invoices that can be read."""
+    return engine().items(from_orders(spark, sf_dir), "ubl-invoice", collection, list(keys))
 
 
 def ok(df: DataFrame) -> DataFrame:
@@ -75,41 +81,40 @@ def ok(df: DataFrame) -> DataFrame:
 @query(" SELECT k AS doc_id, invoice, issued, CASE WHEN k % 23 <> 0 THEN code END AS currency FROM h WHERE good")
 def read_header(spark, sf_dir):
     """Root scalars: trimmed, upper-cased, checked."""
-    return ok(read(spark, sf_dir)).select("doc_id", F.col("hub.invoice_number").alias("invoice"), F.col("hub.issue_date").alias("issued"), F.col("hub.document_currency").alias("currency"))
+    rows = ok(read(spark, sf_dir, "InvoiceNumber", "IssueDate", "DocumentCurrency"))
+    return rows.select("doc_id", F.col("invoice_number").alias("invoice"), F.col("issue_date").alias("issued"), F.col("document_currency").alias("currency"))
 
 
 @query(" SELECT k AS doc_id, CASE WHEN k % 29 <> 0 THEN amount END AS amount, tag AS currency FROM h WHERE good")
 def read_attribute(spark, sf_dir):
     """An element's text and its attribute; decimals keep their digits."""
-    return ok(read(spark, sf_dir)).select("doc_id", F.col("hub.payable_amount").alias("amount"), F.col("hub.payable_amount_currency").alias("currency"))
+    return ok(read(spark, sf_dir, "PayableAmount", "PayableAmountCurrency")).select("doc_id", F.col("payable_amount").alias("amount"), F.col("payable_amount_currency").alias("currency"))
 
 
 @query(" SELECT k AS doc_id, CAST(i - 1 AS INTEGER) AS line, CAST(i AS VARCHAR) AS line_id, CAST(CAST(l_quantity AS DECIMAL(18, 2)) AS VARCHAR) AS quantity, 'part-' || l_partkey AS item FROM h JOIN l ON k = l_orderkey WHERE good")
 def read_lines(spark, sf_dir):
     """A collection's items in their order."""
-    rows = ok(read(spark, sf_dir)).select("doc_id", F.posexplode("hub.invoice_lines").alias("line", "x"))
-    return rows.select("doc_id", "line", F.col("x.line_id").alias("line_id"), F.col("x.quantity").alias("quantity"), F.col("x.item_name").alias("item"))
+    return items(spark, sf_dir, "InvoiceLines", "LineId", "Quantity", "ItemName").select("doc_id", F.col("position").alias("line"), "line_id", "quantity", F.col("item_name").alias("item"))
 
 
 @query(" SELECT k AS doc_id, CAST(i AS VARCHAR) AS line_id, CAST(CAST(l_discount AS DECIMAL(18, 2)) AS VARCHAR) AS amount, false AS is_charge FROM h JOIN l ON k = l_orderkey WHERE good AND l_discount > 0")
 def read_nested_lines(spark, sf_dir):
     """A collection within a collection."""
-    rows = ok(read(spark, sf_dir)).select("doc_id", F.explode("hub.invoice_lines").alias("x")).select("doc_id", "x.line_id", F.explode("x.line_allowance_charges").alias("a"))
+    rows = items(spark, sf_dir, "InvoiceLines", "LineId", "LineAllowanceCharges").select("doc_id", "line_id", F.explode("line_allowance_charges").alias("a"))
     return rows.select("doc_id", "line_id", F.col("a.line_allowance_charge_amount").alias("amount"), F.col("a.line_charge_indicator").alias("is_charge"))
 
 
 @query(" SELECT k AS doc_id, CAST(CAST(round(l_tax * 100) AS INTEGER) AS VARCHAR) AS rate, 'S' AS category FROM h JOIN l ON k = l_orderkey WHERE good GROUP BY ALL")
 def collection_in_container(spark, sf_dir):
-    rows = ok(read(spark, sf_dir)).select("doc_id", F.explode("hub.vat_breakdown").alias("v"))
-    return rows.select("doc_id", F.col("v.vat_category_rate").alias("rate"), F.col("v.vat_category_code").alias("category"))
+    return items(spark, sf_dir, "VatBreakdown", "VatCategoryRate", "VatCategoryCode").select("doc_id", F.col("vat_category_rate").alias("rate"), F.col("vat_category_code").alias("category"))
 
 
 @query(" SELECT k AS doc_id, count(l_orderkey) AS n_lines, CAST(coalesce(sum(CAST(l_extendedprice AS DECIMAL(18, 2))), 0) AS DOUBLE) AS total FROM h LEFT JOIN l ON k = l_orderkey WHERE good GROUP BY k")
 def line_totals(spark, sf_dir):
     """Folded within the record: no shuffle."""
-    lines = F.col("hub.invoice_lines")
+    lines = F.col("invoice_lines")
     total = F.aggregate(lines, F.lit(0).cast("decimal(28,2)"), lambda acc, x: (acc + x["line_net_amount"].cast("decimal(18,2)")).cast("decimal(28,2)"))
-    return ok(read(spark, sf_dir)).select("doc_id", F.size(lines).cast("long").alias("n_lines"), total.cast("double").alias("total"))
+    return ok(read(spark, sf_dir, "InvoiceLines/LineNetAmount")).select("doc_id", F.size(lines).cast("long").alias("n_lines"), total.cast("double").alias("total"))
 
 
 def told(spark, sf_dir, code: str) -> DataFrame:
@@ -137,7 +142,7 @@ def diag_min_items(spark, sf_dir):
 
 @query(" SELECT k AS doc_id, CASE WHEN k % 4 > 0 THEN array_to_string(['note 1', 'note 2', 'note 3'][1:(k % 4)::INTEGER], chr(10)) END AS note FROM h WHERE good")
 def multi_join(spark, sf_dir):
-    return ok(read(spark, sf_dir)).select("doc_id", F.col("hub.invoice_note").alias("note"))
+    return ok(read(spark, sf_dir, "InvoiceNote")).select("doc_id", F.col("invoice_note").alias("note"))
 
 
 @query(" SELECT CASE WHEN k % 31 = 0 THEN 'malformed' WHEN good THEN 'ok' ELSE 'repeated' END AS status, count(*) AS n FROM h GROUP BY 1")
@@ -170,23 +175,23 @@ def transform_roundtrip(spark, sf_dir):
     """UBL to a cross-industry document, written, and read again."""
     out = ok(engine().transform(from_orders(spark, sf_dir), "ubl-invoice", "facturx-invoice")).select("doc_id", "xml_out")
     # a record without any value has no document; these all have lines or amounts
-    back = engine().to_hub(out, "facturx-invoice", "xml_out")
-    return back.select("doc_id", F.col("hub.invoice_number").alias("invoice"), F.col("hub.issue_date").alias("issued"), F.col("hub.payable_amount").alias("amount"), F.size("hub.invoice_lines").cast("long").alias("n_lines"))
+    back = engine().fields(out, "facturx-invoice", ["InvoiceNumber", "IssueDate", "PayableAmount", "InvoiceLines/LineId"], "xml_out")
+    return back.select("doc_id", F.col("invoice_number").alias("invoice"), F.col("issue_date").alias("issued"), F.col("payable_amount").alias("amount"), F.size("invoice_lines").cast("long").alias("n_lines"))
 
 
 @query(" SELECT k AS doc_id, invoice, CASE WHEN k % 29 <> 0 THEN amount END AS amount, NULL::VARCHAR AS note FROM h WHERE good")
 def transform_to_fatturapa(spark, sf_dir):
     """Only what the target covers survives."""
     out = ok(engine().transform(from_orders(spark, sf_dir), "ubl-invoice", "fatturapa")).select("doc_id", "xml_out")
-    back = engine().to_hub(out, "fatturapa", "xml_out")
+    back = engine().fields(out, "fatturapa", ["InvoiceNumber", "PayableAmount"], "xml_out")
     note = F.nullif(F.regexp_extract("xml_out", "<Note>([^<]*)</Note>", 1), F.lit(""))
-    return back.select("doc_id", F.col("hub.invoice_number").alias("invoice"), F.col("hub.payable_amount").alias("amount"), note.alias("note"))
+    return back.select("doc_id", F.col("invoice_number").alias("invoice"), F.col("payable_amount").alias("amount"), note.alias("note"))
 
 
 @query(" SELECT k AS doc_id, invoice IS NOT NULL AS has_number, k % 4 > 0 AS has_note, k IN (SELECT l_orderkey FROM lineitem) AS has_line, false AS has_supplier FROM h WHERE good")
 def write_prunes_empty(spark, sf_dir):
     """Elements without any value are not written."""
-    out = ok(engine().from_hub(read(spark, sf_dir), "ubl-invoice"))
+    out = ok(engine().from_hub(engine().to_hub(from_orders(spark, sf_dir), "ubl-invoice"), "ubl-invoice"))
     has = lambda name: F.contains("xml_out", F.lit(f"<{name}>"))
     top = F.regexp_replace("xml_out", "(?s)<InvoiceLine>.*?</InvoiceLine>|<TaxTotal>.*?</TaxTotal>", "")
     return out.select("doc_id", F.contains(top, F.lit("<ID>")).alias("has_number"), has("Note").alias("has_note"), has("InvoiceLine").alias("has_line"), has("AccountingSupplierParty").alias("has_supplier"))
