@@ -9,7 +9,10 @@ from ledgerloom.functions.text import trim
 from ledgerloom.plans.mapping import Spoke
 
 ROOT = r"(?s)\A(?:\s|\x{FEFF}|<\?.*?\?>|<!--.*?-->|<!DOCTYPE[^>\[]*(?:\[.*?\])?[^>]*>)*<(?:[^\s<>/:!?]+:)?([^\s<>/:!?]+)"
-CUSTOMIZATION = r"<(?:[^\s<>/:!?]+:)?CustomizationID(?:\s[^>]*)?>\s*([^<]*[^\s<])"
+#: What no text is read from; it is replaced by GAP, which parts texts as it did.
+UNREAD, GAP = r"(?s)<!--.*?-->|<!\[CDATA\[.*?\]\]>|<\?.*?\?>", "<!>"
+#: The first text after the start of such an element, past what is empty.
+CUSTOMIZATION = r"<(?:[^\s<>/:!?]+:)?CustomizationID(?:\s(?:[^>]*[^>/])?)?>(?:\s|<!>|<[^\s<>/!?][^<>]*/>)*([^<]*[^\s<])"
 
 
 def root_name(xml: Column) -> Column:
@@ -18,8 +21,10 @@ def root_name(xml: Column) -> Column:
 
 
 def customization(xml: Column) -> Column:
-    """The first CustomizationID with text, trimmed; empty without any."""
-    return trim(F.regexp_extract(xml, CUSTOMIZATION, 1))
+    """The first CustomizationID with text of its own, trimmed; empty without any. Comments, CDATA sections and processing
+    instructions are no text."""
+    read = F.when(F.contains(xml, F.lit("<!")) | F.contains(xml, F.lit("<?")), F.regexp_replace(xml, UNREAD, GAP)).otherwise(xml)
+    return F.when(F.contains(xml, F.lit("CustomizationID")), trim(F.regexp_extract(read, CUSTOMIZATION, 1))).otherwise("")
 
 
 def detected(xml: Column, spokes: list[Spoke]) -> Column:

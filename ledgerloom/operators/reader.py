@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerloom.functions import text as X
-from ledgerloom.plans.mapping import Node, Spoke, snake, xml_snake
+from ledgerloom.functions.names import snake
+from ledgerloom.plans.mapping import Node, Spoke
 
 OPTIONS = {"ignoreNamespace": "true", "ignoreSurroundingSpaces": "false", "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record", "attributePrefix": "_", "valueTag": "_VALUE"}
 
@@ -64,7 +65,7 @@ def leaf(base: Column, top: Element, steps: tuple[str, ...], whole: bool = False
         if step.startswith("@"):
             return c[f"_{step[1:]}"]
         if step == "$text":
-            return c["_VALUE"]
+            return c if at.plain else c["_VALUE"]
         at = at.children[step]
         if whole and k == len(steps) - 1:
             return c[step]
@@ -77,10 +78,6 @@ def below(spoke: Spoke, n: Node) -> tuple[str, ...]:
     return n.path[len(spoke.nodes[n.scope].path) :] if n.scope else n.path
 
 
-def shown(n: Node, spoke: Spoke) -> str:
-    return ".".join(xml_snake(p.lstrip("@$")) for p in below(spoke, n))
-
-
 def element_at(top: Element, path: tuple[str, ...]) -> Element:
     for step in path:
         if not step.startswith(("@", "$")):
@@ -90,7 +87,7 @@ def element_at(top: Element, path: tuple[str, ...]) -> Element:
 
 def read_scalar(n: Node, spoke: Spoke, base: Column, top: Element, index: Column | None) -> tuple[Column, list[X.Told]]:
     """The value and its possible diagnostics, in the order in which they are told."""
-    key, path = n.canonical_key or n.clone_of, shown(n, spoke)
+    key, path = n.canonical_key or n.clone_of, n.source_path
     tell = lambda when, severity, code, message, p=None, chain=None: X.diagnostic(when, severity, code, n.id, key, p, message, index, chain)
     out: list[X.Told] = []
     if n.multiple:
@@ -110,7 +107,7 @@ def read_scalar(n: Node, spoke: Spoke, base: Column, top: Element, index: Column
         other = spoke.nodes[f]
         before = raw
         value = X.normalise(leaf(base, top, below(spoke, other)), other.normalize)
-        out.append(tell(before.isNull() & value.isNotNull(), "info", "FALLBACK_USED", f"used fallback `{f}` for `{key}`", shown(other, spoke), n.fallbacks))
+        out.append(tell(before.isNull() & value.isNotNull(), "info", "FALLBACK_USED", f"used fallback `{f}` for `{key}`", other.source_path, n.fallbacks))
         raw = F.coalesce(before, value)
     if n.required:
         out.append(tell(raw.isNull(), "error", "REQUIRED_MISSING", "required value is missing", path))
@@ -167,13 +164,13 @@ def read_notes(spoke: Spoke, scope: str | None, base: Column, top: Element, inde
             same = copy.eqNullSafe(values[n.clone_of])
             if n.type == "decimal":
                 same = copy.cast("decimal(38,18)").eqNullSafe(values[n.clone_of].cast("decimal(38,18)"))
-            told += [*entries, X.diagnostic(copy.isNotNull() & ~same, "warning", "CLONE_MISMATCH", n.id, n.clone_of, shown(n, spoke), message, index)]
+            told += [*entries, X.diagnostic(copy.isNotNull() & ~same, "warning", "CLONE_MISMATCH", n.id, n.clone_of, n.source_path, message, index)]
     parts = [X.diagnostics(told)]
     for n in keyed_collections(spoke, scope):
         raw, inner = elements(spoke, n, base, top)
         if n.least:
             message = F.concat(F.lit(f"collection `{n.canonical_key}` has "), F.size(raw), F.lit(f" items, expected at least {n.least}"))
-            parts.append(X.diagnostics([X.diagnostic(F.size(raw) < n.least, "error", "MIN_ITEMS", n.id, n.canonical_key, shown(n, spoke), message)]))
+            parts.append(X.diagnostics([X.diagnostic(F.size(raw) < n.least, "error", "MIN_ITEMS", n.id, n.canonical_key, n.source_path, message)]))
         if speaks(spoke, n.id):
             parts.append(F.flatten(F.transform(raw, _two(lambda e, i, n=n, inner=inner: read_notes(spoke, n.id, e, inner, i)))))
     return F.concat(*parts) if len(parts) > 1 else parts[0]

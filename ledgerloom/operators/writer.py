@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import text as X
-from ledgerloom.operators.reader import below, quoted, shown
-from ledgerloom.plans.mapping import Node, Spoke, snake, xml_snake
+from ledgerloom.functions.names import snake, xml_snake
+from ledgerloom.operators.reader import below, quoted
+from ledgerloom.plans.mapping import Node, Spoke
 
 
 def built(tree: dict) -> tuple[Column, list[Column]]:
@@ -54,7 +55,7 @@ def write_scope(spoke: Spoke, scope: str | None, hub: Column | dict[str, Column]
         if known:
             put(tree, below(spoke, n), F.when(F.length(value) > 0, value))
         if n.required and not n.clone_of:
-            told.append(X.diagnostic(F.coalesce(F.length(value), F.lit(0)) == 0, "error", "REQUIRED_MISSING", n.id, key, shown(n, spoke), "required value is missing", index))
+            told.append(X.diagnostic(F.coalesce(F.length(value), F.lit(0)) == 0, "error", "REQUIRED_MISSING", n.id, key, n.source_path, "required value is missing", index))
     for n in nodes:
         if n.type != "collection" or not n.canonical_key:
             continue
@@ -80,7 +81,7 @@ def write_scope(spoke: Spoke, scope: str | None, hub: Column | dict[str, Column]
             count = F.lit(0)
         if n.least:
             message = F.concat(F.lit(f"collection `{n.canonical_key}` has "), count, F.lit(f" items, expected at least {n.least}"))
-            nested.append(X.diagnostics([X.diagnostic(count < n.least, "error", "MIN_ITEMS", n.id, n.canonical_key, shown(n, spoke), message)]))
+            nested.append(X.diagnostics([X.diagnostic(count < n.least, "error", "MIN_ITEMS", n.id, n.canonical_key, n.source_path, message)]))
     if scope is None:
         for steps, value in constants:
             put(tree, steps, value)

@@ -7,12 +7,21 @@ import tomllib
 from dataclasses import dataclass, field
 from pathlib import Path
 
+from ledgerloom.functions.names import snake
 from ledgerloom.functions.text import ADAPTERS, NORMALISERS
+from ledgerloom.plans import shapes
 
 HERE = Path(__file__).resolve().parents[1] / "mappings"
 TYPES = ("string", "identifier", "date", "datetime", "decimal", "currency", "unit_code", "boolean", "collection")
-META = {"doc_format", "format_version", "mapping_version", "canonical_model", "root", "source_model", "detect", "inherits", "disabled", "description"}
-NODE = {"xml", "type", "canonical_key", "required", "fallbacks", "description", "min_items", "multiple", "join_with", "normalize", "adapter", "constant", "clone_of", "disabled"}
+TEXT, TEXTS, TRUTH, COUNT = "a text", "a list of texts", "true or false", "a number from 0"
+#: What a file may say, and in which form.
+META = {"doc_format": TEXT, "format_version": TEXT, "mapping_version": TEXT, "canonical_model": TEXT, "root": TEXT, "source_model": TEXT, "detect": TEXTS, "inherits": TEXT, "disabled": TRUTH, "description": TEXT}
+NEEDED = ("doc_format", "format_version", "mapping_version", "canonical_model")
+NODE = {
+    "xml": TEXT, "type": TEXT, "canonical_key": TEXT, "required": TRUTH, "fallbacks": TEXTS, "description": TEXT, "min_items": COUNT, "multiple": TEXT, "join_with": TEXT,
+    "normalize": TEXTS, "adapter": TEXT, "constant": TEXT, "clone_of": TEXT, "disabled": TRUTH,
+}
+WORDS = {"type": TYPES, "multiple": ("error", "first", "join"), "normalize": tuple(NORMALISERS)}
 #: Literals that a constant may be, by type; other types take any text that is not blank.
 LITERALS = {"decimal": r"[+-]?\d+(\.\d+)?", "date": r"\d{4}-\d{2}-\d{2}", "datetime": r"\d{4}-\d{2}-\d{2}T.+", "currency": r"[A-Z]{3}", "boolean": r"true|false", "unit_code": r"[0-9A-Za-z]{1,3}"}
 
@@ -47,6 +56,7 @@ class Node:
     description: str | None = None
     path: tuple[str, ...] = ()  # elements below the root, an attribute as "@name", element text as "$text"
     scope: str | None = None  # id of the nearest collection around it
+    source_path: str = ""  # as diagnostics tell it
 
     @property
     def least(self) -> int:
@@ -67,7 +77,7 @@ class Spoke:
 
     @property
     def root(self) -> str:
-        return self.meta.get("root") or next(iter(self.nodes), "Document").split(".")[0]
+        return self.meta["root"]
 
     @property
     def markers(self) -> list[str]:
@@ -124,16 +134,6 @@ class Compiled:
         return resolve_name(self.spokes, name)
 
 
-def snake(name: str) -> str:
-    """A canonical key as a column name: an underscore before every capital but the first."""
-    return re.sub(r"(?<!^)(?=[A-Z])", "_", name).lower()
-
-
-def xml_snake(name: str) -> str:
-    """An XML name in snake case; a run of capitals is one word."""
-    return re.sub(r"(?<=[a-z0-9])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])", "_", name).lower()
-
-
 def resolve_name(spokes: list[Spoke], name: str) -> Spoke:
     """By name:version or name alone, in any case; the first in order of id."""
     for s in sorted(spokes, key=lambda s: s.id):
@@ -142,20 +142,40 @@ def resolve_name(spokes: list[Spoke], name: str) -> Spoke:
     raise KeyError(f"unknown format: {name}")
 
 
+def has_form(value: object, form: str) -> bool:
+    if form == TEXTS:
+        return isinstance(value, list) and all(isinstance(v, str) for v in value)
+    if form == COUNT:
+        return isinstance(value, int) and not isinstance(value, bool) and value >= 0
+    return isinstance(value, bool if form == TRUTH else str)
+
+
+def strict(place: str, values: dict, forms: dict[str, str]) -> dict:
+    """values, if every one has a known name, the form that it must have, and one of its words."""
+    for name, value in values.items():
+        if name not in forms:
+            raise MappingError(f"E001: unknown field {name} in {place}")
+        if not has_form(value, forms[name]):
+            raise MappingError(f"E001: {name} in {place} must be {forms[name]}")
+        for word in (value if isinstance(value, list) else [value]) if name in WORDS else []:
+            if word not in WORDS[name]:
+                raise MappingError(f"E001: {name} in {place} can't be {word}")
+    return values
+
+
 def flatten(table: dict) -> tuple[dict, dict[str, dict]]:
     """The meta table, and the nodes: tables with values of their own, by dotted id."""
     if "meta" not in table or not isinstance(table["meta"], dict):
         raise MappingError("E001: no [meta] table")
-    if unknown := set(table["meta"]) - META:
-        raise MappingError(f"E001: unknown fields in [meta]: {sorted(unknown)}")
+    meta = strict("[meta]", table["meta"], META)
+    for name in NEEDED:
+        if name not in meta:
+            raise MappingError(f"E001: [meta] has no {name}")
     nodes: dict[str, dict] = {}
 
     def walk(prefix: str, value: dict) -> None:
-        own = {k: v for k, v in value.items() if not isinstance(v, dict)}
-        if own:
-            if unknown := set(own) - NODE:
-                raise MappingError(f"E001: unknown fields in {prefix}: {sorted(unknown)}")
-            nodes[prefix] = own
+        if own := {k: v for k, v in value.items() if not isinstance(v, dict)}:
+            nodes[prefix] = strict(f"[{prefix}]", own, NODE)
         for k, v in value.items():
             if isinstance(v, dict):
                 walk(f"{prefix}.{k}", v)
@@ -166,7 +186,7 @@ def flatten(table: dict) -> tuple[dict, dict[str, dict]]:
         if not isinstance(v, dict):
             raise MappingError(f"E001: a value outside of all tables: {k}")
         walk(k, v)
-    return table["meta"], nodes
+    return meta, nodes
 
 
 def load(folder: Path | str = HERE) -> dict[str, tuple[dict, dict[str, dict]]]:
@@ -207,24 +227,25 @@ def assemble(raw: dict, name: str, found: list[Finding]) -> Spoke:
     meta.setdefault("root", raw[chain(raw, name)[0]][0].get("root"))
     off = [k for k, v in merged.items() if v.get("disabled")]
     merged = {k: v for k, v in merged.items() if not any(k == o or k.startswith(o + ".") for o in off)}
-    root, nodes = meta.get("root") or "", {}
+    root, nodes = meta.get("root") or "Root", {}
     for k in sorted(merged):
         v = {a: b for a, b in merged[k].items() if a != "disabled"}
-        if v.get("type") not in TYPES:
+        if "type" not in v:
             found.append(Finding("E002", k, "a node needs a type"))
             continue
         parts = k.split(".")
         parts = parts[1:] if parts[0] == root else parts
-        xml = v.get("xml")
-        if xml and xml.startswith(("@", "$")):
-            parts = parts[:-1] + [xml] if xml.startswith("@") else [*parts, xml] if parts[-1] != "$text" else parts
-        elif xml:
-            parts = [*parts[:-1], xml]
-        nodes[k] = Node(id=k, path=tuple(parts), **v)
+        # the last part of an id names an attribute or the element's text, where xml says so, or is renamed
+        nodes[k] = Node(id=k, path=tuple([*parts[:-1], v["xml"]] if parts and v.get("xml") else parts), **v)
     for k, n in nodes.items():
         around = [c for c in nodes if nodes[c].type == "collection" and k.startswith(c + ".")]
         n.scope = max(around, key=len, default=None)
-    return Spoke(meta, nodes)
+    parts_of = lambda n: n.id.split(".")[len(n.scope.split(".")) if n.scope else int(n.id.split(".")[0] == root) :]
+    paths, told = shapes.laid_out(root, [(n.id, n.type, n.xml, n.multiple, n.scope, parts_of(n)) for n in nodes.values()])
+    found += [Finding(*x) for x in told]
+    for k, n in nodes.items():
+        n.source_path = paths.get(k, "")
+    return Spoke({**meta, "root": root}, nodes)
 
 
 def check(spoke: Spoke) -> list[Finding]:
@@ -233,14 +254,8 @@ def check(spoke: Spoke) -> list[Finding]:
     nodes = spoke.nodes
     say = lambda code, n, text: out.append(Finding(code, n.id, text))
     keys: dict[tuple, str] = {}
-    places: dict[tuple, str] = {}
     for n in nodes.values():
         scalar = n.type != "collection"
-        if not n.path:
-            say("E024", n, "no element path")
-        if n.path in places:
-            say("E024", n, f"the same place as {places[n.path]}")
-        places[n.path] = n.id
         if n.canonical_key and not n.clone_of:
             if (n.scope, n.canonical_key) in keys:
                 say("E013", n, f"{n.canonical_key} is mapped by {keys[n.scope, n.canonical_key]} too")
@@ -253,8 +268,6 @@ def check(spoke: Spoke) -> list[Finding]:
             say("E041", n, "min_items is for collections")
         if n.multiple and n.fallbacks:
             say("E043", n, "multiple and fallbacks exclude each other")
-        if n.multiple and (not scalar or n.path[-1][0] in "@$" or any(o.path[:-1] == n.path for o in nodes.values())):
-            say("E024", n, "only plain elements can be multiple")
         if n.adapter and n.adapter not in ADAPTERS:
             say("E050", n, f"unknown adapter {n.adapter}")
         for f in n.fallbacks:

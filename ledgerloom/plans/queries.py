@@ -135,7 +135,7 @@ def diag_type(spark, sf_dir):
     return told(spark, sf_dir, "TYPE_INVALID")
 
 
-@query(" SELECT k AS doc_id, 'Invoice.InvoiceLine' AS node, 'error' AS severity, 'collection `InvoiceLines` has 0 items, expected at least 1' AS message FROM h WHERE good AND k NOT IN (SELECT l_orderkey FROM lineitem)")
+@query(" SELECT k AS doc_id, 'InvoiceLine' AS node, 'error' AS severity, 'collection `InvoiceLines` has 0 items, expected at least 1' AS message FROM h WHERE good AND k NOT IN (SELECT l_orderkey FROM lineitem)")
 def diag_min_items(spark, sf_dir):
     return told(spark, sf_dir, "MIN_ITEMS")
 
@@ -250,7 +250,7 @@ def quality_by_month(spark, sf_dir):
         CASE WHEN invoice IS NULL THEN '[REQUIRED_MISSING] Invoice.ID: required value is missing' END,
         CASE WHEN k % 13 = 0 THEN '[TYPE_INVALID] Invoice.IssueDate: `' || strftime(d, '%Y:%m:%d') || '` is not a valid date' END,
         CASE WHEN k % 29 = 0 THEN '[TYPE_INVALID] Invoice.LegalMonetaryTotal.PayableAmount: `' || replace(amount, '.', ',') || '` is not a valid decimal' END,
-        CASE WHEN k NOT IN (SELECT l_orderkey FROM lineitem) THEN '[MIN_ITEMS] Invoice.InvoiceLine: collection `InvoiceLines` has 0 items, expected at least 1' END], lambda x: x IS NOT NULL) AS told
+        CASE WHEN k NOT IN (SELECT l_orderkey FROM lineitem) THEN '[MIN_ITEMS] InvoiceLine: collection `InvoiceLines` has 0 items, expected at least 1' END], lambda x: x IS NOT NULL) AS told
         FROM h WHERE good)
     SELECT doc_id, unnest(range(len(told)))::INTEGER AS position, 'error ' || unnest(told) AS line FROM t""")
 def diagnostic_text(spark, sf_dir):

@@ -73,6 +73,6 @@ def test_mapping_commands(tmp_path):
     assert code == 0 and text == "\n5 spoke(s), 150 canonical field(s); 0 error(s), 0 warning(s)\n"
     text, code = plans(["report", str(HERE)])
     assert code == 0 and "| InvoiceNumber | ✓ | ✓ | ✓ | ✓ | ✓ |" in text and "- facturx-invoice:1.0 is missing `TaxPointDate`" in text
-    (tmp_path / "a.toml").write_text('[meta]\ndoc_format="a"\nformat_version="1"\nroot="R"\n[R.A]\ncanonical_key="A"\n')
+    (tmp_path / "a.toml").write_text('[meta]\ndoc_format="a"\nformat_version="1"\nmapping_version="1"\ncanonical_model="c"\nroot="R"\n[R.A]\ncanonical_key="A"\n')
     assert plans(["check", str(tmp_path)])[1] == 1 and plans(["report", str(tmp_path)])[1] == 0
     assert [plans(a)[1] for a in ([], ["what"], ["check"], ["check", str(tmp_path / "none")])] == [2, 2, 2, 2]

@@ -27,7 +27,7 @@ def test_typed_read_and_faults(spark, engine):
     h = good.hub
     assert (h.invoice_number, h.issue_date, h.document_currency, h.payable_amount, h.payable_amount_currency) == ("A1", "2024-02-30", "EUR", "119.00", "EUR")
     assert h.invoice_note == "one\ntwo" and h.invoice_lines[0].item_name == "Pen" and good.diagnostics == []
-    assert [(d.code, d.source_node) for d in empty.diagnostics] == [("REQUIRED_MISSING", "Invoice.ID"), ("MIN_ITEMS", "Invoice.InvoiceLine")]
+    assert [(d.code, d.source_node) for d in empty.diagnostics] == [("REQUIRED_MISSING", "Invoice.ID"), ("MIN_ITEMS", "InvoiceLine")]
     assert [twice.status, torn.status, none.status] == ["repeated", "malformed", "malformed"]
     assert twice.hub is None
 
@@ -48,6 +48,26 @@ def test_detection(spark, engine):
     assert [r.spoke for r in got] == ["xrechnung-invoice:3.0.2", "ubl-invoice:2.1", "fatturapa:1.2.2", "unknown", "unknown", "unknown"]
 
 
+@pytest.mark.parametrize(
+    ("inside", "spoke"),
+    [
+        ("<!-- <CustomizationID>urn:xrechnung</CustomizationID> -->", "ubl-invoice:2.1"),
+        ("<Note><![CDATA[<CustomizationID>peppol</CustomizationID>]]></Note>", "ubl-invoice:2.1"),
+        ("<CustomizationID><![CDATA[peppol]]></CustomizationID>", "ubl-invoice:2.1"),
+        ("<?x <CustomizationID>peppol</CustomizationID>?>", "ubl-invoice:2.1"),
+        ("<CustomizationID><!-- of the network -->urn:peppol</CustomizationID>", "peppol-bis-billing:3.0"),
+        ("<CustomizationID>urn<!-- -->peppol</CustomizationID>", "ubl-invoice:2.1"),
+        ("<CustomizationID/><Note>peppol</Note>", "ubl-invoice:2.1"),
+        ("<CustomizationID a='b'/><Note>peppol</Note>", "ubl-invoice:2.1"),
+        ("<CustomizationID> </CustomizationID><x:CustomizationID a='b'> PEPPOL </x:CustomizationID>", "peppol-bis-billing:3.0"),
+        ("<Deep><CustomizationID>a xrechnung b</CustomizationID></Deep>", "xrechnung-invoice:3.0.2"),
+    ],
+)
+def test_detection_reads_texts_of_elements_only(spark, engine, inside, spoke):
+    df = spark.createDataFrame([(f"<?xml version='1.0'?><!-- <FatturaElettronica> --><Invoice>{inside}<ID>1</ID></Invoice>",)], "xml string")
+    assert engine.detect(df).first().spoke == spoke
+
+
 @pytest.mark.parametrize(
     ("kind", "good", "bad"),
     [
