@@ -5,9 +5,10 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import math
+import re
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,24 +32,63 @@ def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors see: spark.checkpoint.dir, or one of our own where it is unset."""
+    """The folder that all executors see: spark.checkpoint.dir, or one of our own where it is unset and Spark is this process alone."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="ledgerloom-")
         spark.sparkContext.setCheckpointDir(named)
         named = spark.sparkContext.getCheckpointDir()
     return named.rstrip("/")
 
 
-def stored(df: DataFrame, what: str, partition_by: str | None = None) -> DataFrame:
-    """df, written once to the shared folder and read again: its lineage ends there and no executor holds it."""
+def stored(df: DataFrame, what: str, files: int | None = None) -> DataFrame:
+    """df, written once to the shared folder and read again: its lineage ends there and no executor holds it.
+
+    files: in at most so many tasks and files, for results that are small beside the number of partitions. The table
+    stays until dropped() or the end of a scratch() around this.
+    """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/ledgerloom-{what}-{uuid.uuid4().hex}"
-    writer = df.write.option("compression", "zstd")
-    if partition_by:
-        writer = writer.partitionBy(partition_by)
-    writer.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    (df.coalesce(files) if files else df).write.option("compression", "zstd").parquet(path)
+    made(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._ledgerloom_path = path
+    return out
+
+
+#: The scratch() calls in force, innermost last, each with the paths made within.
+_SCRATCH: list[list[str]] = []
+
+
+def made(path: str) -> str:
+    """Let the scratch() around this take the path away."""
+    if _SCRATCH:
+        _SCRATCH[-1].append(path)
+    return path
+
+
+def removed(spark: SparkSession, *paths: str) -> None:
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for p in paths:
+        at = jvm.org.apache.hadoop.fs.Path(p)
+        at.getFileSystem(conf).delete(at, True)
+
+
+def dropped(df: DataFrame) -> None:
+    """Take away the table of a DataFrame that stored() gave; nothing may read it afterwards."""
+    removed(df.sparkSession, df._ledgerloom_path)
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Take away, at the end, the tables that are stored within. Results must be written before."""
+    _SCRATCH.append([])
+    try:
+        yield
+    finally:
+        removed(spark, *_SCRATCH.pop())
 
 
 def trim() -> None:

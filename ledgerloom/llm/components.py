@@ -11,18 +11,23 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import dropped, shares, stored
 
 
-def smallest_reachable(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+#: Links that one task writes.
+FILE_LINKS = 1 << 20
+
+
+def smallest_reachable(links: DataFrame, a: str = "a", b: str = "b", files: int | None = None) -> DataFrame:
     """(node, root) for every node that has a link to another; root is the smallest node reachable.
 
-    Nulls and self-links are ignored, repeated links count once; without links the result is empty.
+    Nulls and self-links are ignored, repeated links count once; without links the result is empty. files: how many
+    files the first links are written to; later rounds take one for every FILE_LINKS links.
     """
     pairs = links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where(
         F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col("u") != F.col("v"))
     )
-    pairs, seen = stored(pairs.distinct(), "links"), None
+    pairs, seen = stored(pairs.distinct(), "links", files), None
     while True:
         mark = pairs.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
         if mark[0] == 0 or mark == seen:
@@ -35,7 +40,8 @@ def smallest_reachable(links: DataFrame, a: str = "a", b: str = "b") -> DataFram
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        pairs = stored(small.union(low.select("u", F.col("m").alias("v"))).distinct(), "links")
+        last, pairs = pairs, stored(small.union(low.select("u", F.col("m").alias("v"))).distinct(), "links", shares(mark[0], FILE_LINKS, 8))
+        dropped(last)
 
 
 def smallest_labels(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:

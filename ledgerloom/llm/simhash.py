@@ -13,14 +13,16 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import id_and_text, shares, stored
+from .common import id_and_text, quoted, shares, stored
 from .components import smallest_labels, smallest_reachable
 
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 SEED = 42
+#: Rows of fingerprints in a file, about.
+FILE_ROWS = 1 << 17
 
 
 def fingerprint(text: str, shingle: int = 4) -> int:
@@ -62,14 +64,25 @@ def text_key(name: str) -> Column:
     return F.sha2(F.coalesce(F.col(name), F.lit("")), 256)
 
 
-def rooted(prints: DataFrame, owner: DataFrame, radius: int) -> DataFrame:
-    """owner (fp, first) with the fp that names each one's group as root, stored."""
-    roots = smallest_reachable(links(prints, radius))
-    return stored(owner.join(roots, owner.fp == roots.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root")), "placed")
+def rooted(owner: DataFrame, radius: int) -> DataFrame:
+    """owner (fp, first), a row per distinct fp, with the least `first` of each fp's group as `least`; stored.
+
+    Only fps that are linked to another are joined and grouped at all, and a group is reduced before it is shuffled.
+    """
+    n = owner.count()
+    files = shares(n, FILE_ROWS, 8)
+    roots = smallest_reachable(links(owner.select("fp"), n, radius), files=files)
+    some = stored(owner.join(roots, owner.fp == roots.node).select("fp", "first", "root"), "placed", files)
+    least = some.groupBy("root").agg(F.min("first").alias("least"))
+    near = some.join(least, "root").select(F.col("fp").alias("near"), "least")
+    return stored(owner.join(near, owner.fp == F.col("near"), "left").select("fp", "first", F.coalesce("least", "first").alias("least")), "owners", files)
 
 
-def linked(a: np.ndarray, b: np.ndarray, radius: int, same: bool, tile: int = 256) -> np.ndarray:
-    """Positions in a followed by b: for each, the smallest position it reaches by links between a and b."""
+def linked(a: np.ndarray, b: np.ndarray, radius: int, same: bool, tile: int = 256, most: int = 1 << 18) -> np.ndarray:
+    """Positions in a followed by b: for each, the smallest position it reaches by links between a and b.
+
+    Links that the labels don't know yet are held back, at most `most` and those of one tile pair, and then joined.
+    """
 
     def counted(x: np.ndarray) -> np.ndarray:
         quarters = np.bitwise_count(x.view("<u2").reshape(-1, 4)).astype(np.int16)
@@ -87,6 +100,13 @@ def linked(a: np.ndarray, b: np.ndarray, radius: int, same: bool, tile: int = 25
     (oa, low_a, high_a), (ob, low_b, high_b) = tiled(a), tiled(b)
     xs, ys = a[oa], b[ob]
     label, found, held = np.arange(n), [], 0
+
+    def joined() -> np.ndarray:
+        """The labels after the links found since the last call."""
+        i, j = (np.concatenate(x) for x in zip(*found, strict=True))
+        rest = np.flatnonzero(label != np.arange(n))
+        return smallest_labels(n, np.concatenate([i, rest]), np.concatenate([j, label[rest]]))
+
     for s in range(len(low_a)):
         gap = np.maximum(0, np.maximum(low_b - high_a[s], low_a[s] - high_b))
         near = np.flatnonzero((gap[:, 0] <= radius) & (gap[:, 1:].sum(1) <= radius))
@@ -94,24 +114,22 @@ def linked(a: np.ndarray, b: np.ndarray, radius: int, same: bool, tile: int = 25
         for t in near[near >= s] if same else near:
             i, j = np.nonzero(np.bitwise_count(x ^ ys[None, t * tile : (t + 1) * tile]) <= radius)
             if len(i):
-                found.append((oa[i + s * tile], ob[j + t * tile] + (0 if same else len(a))))
-                held += len(i)
-        if held > 1 << 20 or s == len(low_a) - 1:
-            i, j = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.empty(0, int),) * 2
-            rest = np.flatnonzero(label != np.arange(n))
-            label = smallest_labels(n, np.concatenate([i, rest]), np.concatenate([j, label[rest]]))
-            found, held = [], 0
-    return label
+                i, j = oa[i + s * tile], ob[j + t * tile] + (0 if same else len(a))
+                fresh = label[i] != label[j]
+                found.append((i[fresh], j[fresh]))
+                held += len(found[-1][0])
+                if held > most:
+                    label, found, held = joined(), [], 0
+    return joined() if found else label
 
 
-def links(prints: DataFrame, radius: int = 4, block: int = 1 << 17, least_blocks: int = 8) -> DataFrame:
-    """Forest links (a, b) between the distinct values of prints' fp that differ in at most `radius` bits.
+def links(distinct: DataFrame, n: int, radius: int = 4, block: int = 1 << 17, least_blocks: int = 8) -> DataFrame:
+    """Forest links (a, b) between the values of distinct's fp, n of them, that differ in at most `radius` bits.
 
-    The distinct values are dealt to blocks by their hash, about `block` in each; every pair of blocks is one task's
-    work. Work is quadratic in the number of distinct fingerprints, as the method is; memory is two blocks a task.
+    The values are dealt to blocks by their hash, about `block` in each; every pair of blocks is one task's work. Work is
+    quadratic in the number of distinct fingerprints, as the method is; memory is two blocks a task.
     """
-    distinct = prints.select("fp").distinct()
-    blocks = shares(distinct.count(), block, least_blocks)
+    blocks = shares(n, block, least_blocks)
 
     def packed(key: tuple, x: pd.DataFrame) -> pd.DataFrame:
         own, body = int(key[0]), np.sort(x["fp"].to_numpy(np.int64)).tobytes()
@@ -147,9 +165,7 @@ def near_duplicates(docs: DataFrame, radius: int = 4, shingle: int = 4, id_col:
     component_id is null unless a row with an id is reachable. An empty table gives an empty result.
     """
     prints = stored(fingerprints(docs, shingle, id_col, text_col), "prints")
-    placed = rooted(prints, prints.groupBy("fp").agg(F.min("doc_id").alias("first")), radius)
-    component = placed.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = placed.join(component, "root").select("fp", "component_id")
+    named = rooted(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), radius).select("fp", F.col("least").alias("component_id"))
     return prints.join(named, "fp", "left").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
@@ -159,14 +175,22 @@ def one_of_each(docs: DataFrame, radius: int = 4, shingle: int = 4) -> DataFrame
     Of rows equal in doc_id, the one whose text has the smallest hash stays; of rows equal in text too, any one. A row
     with a null doc_id stays only where no row with an id is near, and then one of its group.
     """
-    from pyspark.sql import Window
-
     t = "_ledgerloom_"
     prints = stored(fingerprints(docs, shingle, keyed=True), "prints")
     row = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("doc_id"), F.col("key").alias("key"))
-    placed = rooted(prints, prints.groupBy("fp").agg(F.min(row).alias("first")), radius)
-    keep = placed.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.doc_id").alias(t + "kept"), F.col("first.key").alias(t + "of"))
+    placed = rooted(prints.groupBy("fp").agg(F.min(row).alias("first")), radius)
+    chosen = placed.where(F.col("first") == F.col("least")).select(F.col("first.doc_id").alias("doc_id"), F.col("first.key").alias("key"))
+    # how often a chosen row stands in docs: nearly always once
+    times = prints.groupBy("doc_id", "key").agg(F.count("*").alias("n"))
+    keep = chosen.alias("c").join(times.alias("t"), F.col("c.doc_id").eqNullSafe(F.col("t.doc_id")) & (F.col("c.key") == F.col("t.key")))
+    keep = keep.select(F.col("c.doc_id").alias(t + "kept"), F.col("c.key").alias(t + "of"), F.col("n").alias(t + "n"))
     known = docs.withColumns({t + "id": F.col("doc_id").cast("long"), t + "key": text_key("text")})
-    kept = known.join(keep, known[t + "id"].eqNullSafe(keep[t + "kept"]) & (known[t + "key"] == keep[t + "of"]), "left_semi")
+    # the rows to keep are the side that is held and hashed, so that no text is sorted
+    kept = known.join(keep.hint("shuffle_hash"), known[t + "id"].eqNullSafe(keep[t + "kept"]) & (known[t + "key"] == keep[t + "of"]))
     once = Window.partitionBy(t + "id", t + "key").orderBy(t + "key")
-    return kept.withColumn(t + "n", F.row_number().over(once)).where(F.col(t + "n") == 1).drop(t + "id", t + "key", t + "n")
+    again = kept.where(F.col(t + "n") > 1).withColumn(t + "at", F.row_number().over(once)).where(F.col(t + "at") == 1)
+    return kept.where(F.col(t + "n") == 1).select(*names(docs)).unionByName(again.select(*names(docs)))
+
+
+def names(docs: DataFrame) -> list[Column]:
+    return [F.col(quoted(c)) for c in docs.columns]

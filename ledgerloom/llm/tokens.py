@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import id_and_text, shared_folder, shares, stored, trim
+from .common import id_and_text, made, shared_folder, shares, stored, trim
 
 #: Parts that can be encoded one by one. All tokenizers here cut between a character that is not blank and a blank,
 #: and between a letter or digit and ASCII punctuation; apostrophes and what is not listed stay with their neighbours.
@@ -239,7 +239,7 @@ def written(docs: DataFrame, path: str, end_id: int, file_tokens: int = 8_000_00
         if own:
             yield pd.DataFrame({"body": [write_file(own, np.concatenate(sizes), np.concatenate(ids), rank)]})
 
-    folder = f"{shared_folder(spark)}/ledgerloom-files-{os.urandom(8).hex()}"
+    folder = made(f"{shared_folder(spark)}/ledgerloom-files-{os.urandom(8).hex()}")
     ordered = table.repartitionByRange(files, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("ids"))
     # The text writer stores the bytes of a string as they are and ends the row with one byte, which read_file ignores.
     ordered.mapInPandas(filed, "body binary").select(F.col("body").cast("string").alias("value")).write.text(folder, lineSep="\0")
