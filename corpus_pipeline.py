@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.llm import quality, secrets, simhash, substrings, tokens
-from ledgerloom.llm.common import shared_folder
+from ledgerloom.llm.common import removed, scratch, shared_folder
 from ledgerloom.llm.queries import tokenizer
 
 #: SQL has no XXH64 and no tokenizer; the stages are tested against brute force instead.
@@ -47,10 +47,14 @@ STAGES = [("quality", good), ("near_dedup", distinct), ("substring_dedup", unrep
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages in turn, each written as Parquet to the shared folder and read again."""
+    """All stages in turn, each written as Parquet to the shared folder and read again; what a stage left goes once the next is written."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     folder = f"{shared_folder(spark)}/ledgerloom-pipeline-{uuid.uuid4().hex}"
+    before = None
     for name, stage in STAGES:
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
-        docs = spark.read.parquet(f"{folder}/{name}")
+        with scratch(spark):
+            stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
+        if before:
+            removed(spark, f"{folder}/{before}")
+        docs, before = spark.read.parquet(f"{folder}/{name}"), name
     return docs
