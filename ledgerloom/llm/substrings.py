@@ -19,58 +19,62 @@ from itertools import compress
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import id_and_text, shares, trim
 
 ODD, MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+STEP = 0x5851F42D4C957F2D
 LAST = 2**63 - 1
 
-
 SEPARATOR = re.compile(rb"[\x20\x09-\x0d]")
 IS_BLANK = np.zeros(256, bool)
 IS_BLANK[[9, 10, 11, 12, 13, 32]] = True
-#: A random number for every byte, and an odd base whose powers have inverses modulo 2**64.
-OF_BYTE = np.random.default_rng(13).integers(1, 2**63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
-STEP = 0x5851F42D4C957F2D
-SEGMENT = 1 << 18
-POWERS: dict[str, np.ndarray] = {}
-
-
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """STEP to the powers 0..n-1, and to the powers 0..-(n-1)."""
-    if len(POWERS.get("up", ())) < n:
-        for name, base in (("up", STEP), ("down", pow(STEP, -1, 2**64))):
-            POWERS[name] = np.cumprod(np.concatenate(([np.uint64(1)], np.full(n + SEGMENT, base, np.uint64))))
-    return POWERS["up"], POWERS["down"]
+SEGMENT = 1 << 20
+#: Words of more bytes are hashed by XXH64, the others eight bytes at a time and all at once.
+LONG_WORD = 128
+#: Text that a task works on at once, about.
+CHUNK_BYTES = 5 << 20
+#: Shuffle partitions at most; beyond, a partition holds several chunks, one after the other.
+MOST_TASKS = 20_000
+#: For every number of bytes: the bits of a little-endian integer that they take.
+KEEP = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
-    """Spread the sums below over all 64 bits."""
+    """Spread each value over all 64 bits; different values stay different."""
     h = (h ^ (h >> np.uint64(32))) * MIX
-    return (h ^ (h >> np.uint64(29))) * ODD
+    h = (h ^ (h >> np.uint64(29))) * ODD
+    return h ^ (h >> np.uint64(32))
 
 
 def word_hashes(body: bytes) -> tuple[np.ndarray, np.ndarray]:
     """Where each word of body starts, and its hash; body ends with a separator.
 
-    A word's hash is the sum of its bytes' numbers times powers of STEP, from differences of running sums. Segments
-    of about SEGMENT bytes, cut after a separator, keep the arrays small.
+    A word's hash starts from its length and takes in eight bytes a round, mixed after each, so that words of one
+    length and at most eight bytes never share a hash. Segments of about SEGMENT bytes, cut after a separator, keep
+    the arrays small.
     """
     starts, hashes, at = [], [], 0
     while at < len(body):
         cut = SEPARATOR.search(body, min(at + SEGMENT, len(body) - 1))
         end = cut.end() if cut else len(body)
         a = np.frombuffer(body, np.uint8, end - at, at)
-        blank = IS_BLANK[a]
-        edge = np.flatnonzero(np.diff(blank, prepend=True))
-        begin, stop = edge[::2], edge[1::2]
-        up, down = powers(len(a))
-        total = np.zeros(len(a) + 1, np.uint64)
-        np.cumsum(OF_BYTE[a] * up[: len(a)], out=total[1:])
-        hashes.append(mixed((total[stop] - total[begin]) * down[begin] + (stop - begin).astype(np.uint64)))
+        edge = np.flatnonzero(np.diff(IS_BLANK[a], prepend=True))
+        begin, size = edge[::2], edge[1::2] - edge[::2]
+        padded = np.concatenate((a, np.zeros(8, np.uint8)))
+        eight = np.ndarray(len(a) + 1, "<u8", padded, 0, (1,))  # the eight bytes from every place on
+        h = size.astype(np.uint64) * np.uint64(STEP)
+        most = int(size.max(initial=0))
+        for k in range(0, min(most, LONG_WORD), 8):
+            more = slice(None) if k == 0 else np.flatnonzero(size > k)
+            h[more] = mixed(h[more] ^ (eight[begin[more] + k] & KEEP[np.minimum(size[more] - k, 8)]))
+        for k in np.flatnonzero(size > LONG_WORD).tolist():
+            h[k] = xxhash.xxh64_intdigest(body[at + begin[k] : at + begin[k] + size[k]], 13)
         starts.append(begin + at)
+        hashes.append(h)
         at = end
     if not starts:
         return np.empty(0, np.int64), np.empty(0, np.uint64)
@@ -146,7 +150,7 @@ def twice(x: np.ndarray) -> np.ndarray:
     return distinct(s[1:][s[1:] == s[:-1]])
 
 
-def repeated_words(docs: DataFrame, window: int = 13, block: int = 7, chunk_bytes: int = 5 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def repeated_words(docs: DataFrame, window: int = 13, block: int = 7, chunk_bytes: int = CHUNK_BYTES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, text, n_words, drop): drop is empty, or holds one bit a word (numpy packbits), set for words that go.
 
     A word goes if a window of `window` words that covers it starts in a document with a smaller doc_id too. A null
@@ -158,8 +162,8 @@ def repeated_words(docs: DataFrame, window: int = 13, block: int = 7, chunk_byte
     base = id_and_text(docs, id_col, text_col)
     total = base.agg(F.sum(F.octet_length("text"))).first()[0]
     chunks = shares(total, chunk_bytes)
-    salt = F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(F.xxhash64("doc_id"))
-    dealt = base.withColumn("chunk", F.pmod(salt, F.lit(chunks)).cast("long")).repartition(chunks, "chunk")
+    # a null or repeated id must not gather its rows in one chunk
+    dealt = base.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).cast("long")).repartition(min(chunks, MOST_TASKS), "chunk")
     buckets = chunks
 
     def ids(x: pd.DataFrame) -> np.ndarray:
@@ -304,7 +308,7 @@ def left_over(text: str, bits: bytes) -> tuple[str, int]:
     return b" ".join(compress(words, stay.tolist())).decode("utf-8", "surrogatepass"), len(words) - int(stay.sum())
 
 
-def deduplicated(docs: DataFrame, window: int = 13, block: int = 7, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def deduplicated(docs: DataFrame, window: int = 13, block: int = 7, chunk_bytes: int = CHUNK_BYTES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_words, n_removed, text): the text's remaining words joined by single spaces; see repeated_words."""
 
     def rest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -312,7 +316,7 @@ def deduplicated(docs: DataFrame, window: int = 13, block: int = 7, id_col: str
             texts, gone = zip(*map(left_over, x["text"], x["drop"]), strict=True) if len(x) else ((), ())
             yield pd.DataFrame({"doc_id": x["doc_id"].astype("Int64"), "n_words": x["n_words"], "n_removed": list(gone), "text": list(texts)})
 
-    return repeated_words(docs, window, block, id_col=id_col, text_col=text_col).mapInPandas(rest, "doc_id long, n_words long, n_removed long, text string")
+    return repeated_words(docs, window, block, chunk_bytes, id_col, text_col).mapInPandas(rest, "doc_id long, n_words long, n_removed long, text string")
 
 
 def digest(cut: DataFrame) -> DataFrame:
