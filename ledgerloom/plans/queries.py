@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from functools import cache
@@ -74,6 +75,16 @@ def items(spark: SparkSession, sf_dir: str, collection: str, *keys: str) -> Data
     return engine().items(from_orders(spark, sf_dir), "ubl-invoice", collection, list(keys))
 
 
+def scratch(spark: SparkSession, what: str) -> str:
+    """A new folder below the shared one; where none is set and Spark is this process alone, below a temporary one."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not shared:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        shared = "file://" + tempfile.mkdtemp(prefix="ledgerloom-")
+    return f"{shared.rstrip('/')}/{what}-{uuid.uuid4().hex}"
+
+
 def ok(df: DataFrame) -> DataFrame:
     return df.where("status = 'ok'")
 
@@ -279,7 +290,7 @@ def valid_shapes(spark, sf_dir):
 @query(SQL["read_header"][len(BASE):])
 def stream_equals_batch(spark, sf_dir):
     """The documents as a stream of Parquet files, read once and stopped."""
-    folder = (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or "file://" + tempfile.mkdtemp(prefix="ledgerloom-")).rstrip("/") + f"/stream-{uuid.uuid4().hex}"
+    folder = scratch(spark, "stream")
     from_orders(spark, sf_dir).select("doc_id", "xml").write.parquet(folder + "/in")
     stream = spark.readStream.schema("doc_id long, xml string").parquet(folder + "/in")
     read_stream(stream, engine().compiled["ubl-invoice"], folder + "/out", folder + "/state").awaitTermination()
