@@ -15,7 +15,8 @@ import threading
 import zlib
 from array import array
 from collections.abc import Iterator
-from operator import itemgetter
+from itertools import compress, repeat
+from operator import is_
 
 import numpy as np
 import pandas as pd
@@ -37,6 +38,9 @@ _SIGNS = b"\x1c\x1d\x1e\x1f\xc2\xe1\xe2\xe3\xef"
 _LATIN = bytes(b for b in range(192) if not 28 <= b <= 31) + b"\xc3"
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 KNOWN_PARTS, IDLE_S = 1_200_000, 8
+#: A to Z, a to z, and the letters from À to ÿ.
+LETTERS = [chr(c) for c in range(65, 256) if chr(c).isalpha() and c not in (170, 181, 186)]
+BARE_WORD, WORD = re.compile(f"[{''.join(LETTERS)}]+").fullmatch, re.compile(f" ?[{''.join(LETTERS)}]+").fullmatch
 
 
 class Encoder:
@@ -60,12 +64,42 @@ class Encoder:
         # where A-Z count as a-z, parts are kept in lower case, unless that could make an added token that is always matched
         self.fold = all(t.special for t in added) and self.plain(["AbZ É"]) == self.plain(["abz é"])
         self.parts = BARE_PART if self.plain([" a", "\n"]) == [*self.plain(["a"]), b""] else PART
+        self.table = self.spelled()
 
     def plain(self, texts: list[str], whole: bool = False) -> list[bytes]:
         """The library's ids of whole texts; or of parts, which hold no added token but can look like one when folded."""
         self.tokenizer.encode_special_tokens = not whole
         return [array(self.code, e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def spelled(self) -> dict[int, str] | None:
+        """How the library's model gets each letter, and a blank before letters; None where words of letters are not one
+        unit to it, or not spelled letter by letter."""
+        t = self.tokenizer
+        if t.pre_tokenizer is None or t.model is None:
+            return None
+        units = lambda w: [u for u, _ in t.pre_tokenizer.pre_tokenize_str(t.normalizer.normalize_str(w) if t.normalizer else w)]
+        table = {ord(c): (units(c) or [""])[0] for c in LETTERS}
+        blank = units(" a")
+        if len(blank) == 1:
+            table[32] = blank[0].removesuffix(table[ord("a")])
+        for c in LETTERS:
+            for w in (f"x{c}y", f"{c}X", f"É{c}", *([f" {c}z"] if 32 in table else [])):
+                if units(w) != [w.translate(table)]:
+                    return None
+        return table
+
+    def of_parts(self, parts: list[str]) -> list[bytes]:
+        """The ids of parts. Words of letters go to the model alone, without the steps before and after it, which find nothing to do."""
+        if not self.table:
+            return self.plain(parts)
+        model, table, code = self.tokenizer.model.tokenize, self.table, self.code
+        alone = WORD if 32 in table else BARE_WORD
+        out = [array(code, [x.id for x in model(w.translate(table))]).tobytes() if alone(w) else None for w in parts]
+        rest = [k for k, v in enumerate(out) if v is None]
+        for k, v in zip(rest, self.plain([parts[k] for k in rest]) if rest else [], strict=True):
+            out[k] = v
+        return out
+
     def cut(self, text: str) -> list[str] | None:
         """The parts of a text; None where it is to be encoded whole."""
         if self.loose or any(a in text for a in self.added):
@@ -95,25 +129,24 @@ class Encoder:
             trim()
 
     def encode_parts(self, texts: list[str]) -> list[bytes]:
-        known, out = self.known, []
+        out = []
         for at in range(0, len(texts), 256):
-            some = texts[at : at + 256]
+            known, some = self.known, texts[at : at + 256]
             parts = [self.cut(t) for t in some]
-            fresh = set().union(*(p for p in parts if p)).difference(known)
-            if len(known) + len(fresh) > KNOWN_PARTS:
+            ids = [None if ps is None else list(map(known.get, ps)) for ps in parts]
+            gaps = [[] if x is None else list(compress(range(len(x)), map(is_, x, repeat(None)))) for x in ids]
+            fresh = list({ps[k] for ps, gap in zip(parts, gaps, strict=True) for k in gap})
+            new = dict(zip(fresh, self.of_parts(fresh), strict=True))
+            for t, ps, x, gap in zip(some, parts, ids, gaps, strict=True):
+                for k in gap:
+                    x[k] = new[ps[k]]
+                out.append(self.plain([t], True)[0] if x is None else b"".join(x))
+            if len(known) + len(new) > KNOWN_PARTS:
                 known.clear()
-                fresh = set().union(*(p for p in parts if p))
-            fresh = list(fresh)
-            known.update(zip(fresh, self.plain(fresh), strict=True))
-            out += [self.plain([t], True)[0] if ps is None else joined(known, ps) for t, ps in zip(some, parts, strict=True)]
+            known.update(new)
         return out
 
 
-def joined(known: dict[str, bytes], parts: list[str]) -> bytes:
-    """The ids of the parts in turn, looked up in one call."""
-    return b"".join(itemgetter(*parts)(known)) if len(parts) > 1 else b"".join(map(known.__getitem__, parts))
-
-
 _ENCODERS: dict[tuple[str, str], Encoder] = {}
 
 
@@ -124,20 +157,26 @@ def encoder(path: str, width: str) -> Encoder:
     return _ENCODERS[path, width]
 
 
-def token_table(docs: DataFrame, path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n, ids): ids as little-endian 16-bit integers, the end id last; written to the shared folder.
+def token_table(docs: DataFrame, path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """(doc_id, n, ids): ids as little-endian 16-bit integers, the end id last; and (id, n), how often each id stands in
+    the rows of one task, many rows an id. Both are of one table in the shared folder, whose last row of a task has the counts.
 
     A null or empty text is the end id alone. path must hold a vocabulary of at most 65,536 ids.
     """
 
     def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         end = struct.pack("<H", end_id)
-        coder = encoder(path, "<u2")
+        coder, total = encoder(path, "<u2"), np.zeros(1 << 16, np.int64)
         for x in batches:
             ids = [b + end for b in coder.encode(x["text"].tolist())]
-            yield pd.DataFrame({"doc_id": x["doc_id"].astype("Int64"), "n": [len(b) // 2 for b in ids], "ids": ids})
+            for at in range(0, len(ids), 64):
+                total += np.bincount(np.frombuffer(b"".join(ids[at : at + 64]), "<u2"), minlength=1 << 16)
+            yield pd.DataFrame({"doc_id": x["doc_id"].astype("Int64"), "n": [len(b) // 2 for b in ids], "ids": ids, "id": None, "times": None})
+        if len(seen := np.flatnonzero(total)):
+            yield pd.DataFrame({"doc_id": pd.array([None], "Int64"), "n": -1, "ids": [None], "id": [seen], "times": [total[seen]]})
 
-    return stored(id_and_text(docs, id_col, text_col).mapInPandas(of, "doc_id long, n long, ids binary"), "tokens")
+    table = stored(id_and_text(docs, id_col, text_col).mapInPandas(of, "doc_id long, n long, ids binary, id array<long>, times array<long>"), "tokens")
+    return table.where("n >= 0").select("doc_id", "n", "ids"), table.where("n < 0").select(F.inline(F.arrays_zip("id", F.col("times").alias("n"))))
 
 
 # ---------------------------------------------------------------- the binary format
@@ -211,19 +250,10 @@ def written(docs: DataFrame, path: str, end_id: int, file_tokens: int = 8_000_00
 
     Ids that never occur come last; ties go to the smaller id. Each file is a range of doc_ids of about file_tokens.
     """
-    table = token_table(docs, path, end_id, id_col, text_col)
+    table, counted = token_table(docs, path, end_id, id_col, text_col)
     spark = docs.sparkSession
-
-    def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros(1 << 16, np.int64)
-        for x in batches:
-            for at in range(0, len(x), 64):
-                total += np.bincount(np.frombuffer(b"".join(x["ids"].iloc[at : at + 64]), "<u2"), minlength=1 << 16)
-        has = np.flatnonzero(total)
-        yield pd.DataFrame({"id": has, "n": total[has]})
-
     # at most 65,536 rows, whatever the input
-    counts = table.select("ids").mapInPandas(counted, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
+    counts = counted.groupBy("id").agg(F.sum("n").alias("n")).collect()
     order = [r["id"] for r in sorted(counts, key=lambda r: (-r["n"], r["id"]))]
     total = sum(r["n"] for r in counts)
     files = shares(total, file_tokens)
@@ -391,7 +421,7 @@ def packed(docs: DataFrame, path: str, end_id: int, length: int = 2048, unit: in
     """
     if length % unit:
         raise ValueError("unit must divide length")
-    table = token_table(docs, path, end_id, id_col, text_col)
+    table, _ = token_table(docs, path, end_id, id_col, text_col)
     rows = table.groupBy((F.col("n") % length).alias("rest")).agg(F.count("*").alias("docs"), F.sum("n").alias("tokens")).collect()
     ways = plan({r["rest"]: r["docs"] for r in rows if r["rest"]}, length, unit, depth)
     shards = shares(sum(r["tokens"] for r in rows), shard_tokens)
