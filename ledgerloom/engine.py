@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from functools import reduce
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.operators.detect import detected
+from ledgerloom.operators.mixed import flat_mixed
 from ledgerloom.operators.reader import STATUS, VALUE, flat, quoted, to_fields, to_hub, to_items
 from ledgerloom.operators.writer import from_hub, labels, written
 from ledgerloom.plans.mapping import HERE, compile_all
@@ -50,25 +50,23 @@ class Engine:
 
     def transform(self, docs: DataFrame, source: str, target: str, xml: str = "xml", strict: bool = True) -> DataFrame:
         """docs with hub, status, xml_out, diagnostics (reading before writing), and accepted: whether no error was told."""
-        read, fields = flat(docs, self.compiled[source], xml, strict)
+        return self._written(*flat(docs, self.compiled[source], xml, strict), target, docs.columns)
+
+    def transform_mixed(self, docs: DataFrame, target: str, xml: str = "xml", strict: bool = True) -> DataFrame:
+        """Documents of any format to one, in one pass; those without a format are left to detect(). As transform, with spoke."""
+        found = self.detect(docs, xml)
+        read, fields = flat_mixed(found, self.compiled, xml, strict)
+        return self._written(read.where(F.col(STATUS).isNotNull()), fields, target, found.columns)
+
+    def _written(self, read: DataFrame, fields: list[str], target: str, names: list[str]) -> DataFrame:
         hub, ok = {f: F.col(VALUE + f) for f in fields}, F.col(STATUS) == "ok"
         record = F.when(ok, F.struct(*[c.alias(f) for f, c in hub.items()])).alias("hub")
-        made = {"hub", "diagnostics", "status", "xml_out", "accepted"}
-        names = [c for c in docs.columns if c not in made]
+        names = [c for c in names if c not in {"hub", "diagnostics", "status", "xml_out", "accepted"}]
         columns = labels(read.select(record).schema["hub"].dataType)
         out = written(read.select("*", record), self.compiled[target], hub, columns, ok, [*names, "hub", STATUS, "_diagnostics"], "xml_out", "_told")
         out = out.select(*[F.col(quoted(c)) for c in names], "hub", F.concat("_diagnostics", "_told").alias("diagnostics"), F.col(STATUS).alias("status"), "xml_out")
         return out.withColumn("accepted", (F.col("status") == "ok") & ~has_error(F.col("diagnostics")))
 
-    def transform_mixed(self, docs: DataFrame, target: str, xml: str = "xml") -> DataFrame:
-        """Documents of any format to one; those without a format are left to detect(). One scan for each plan."""
-        found = self.detect(docs, xml)
-        parts = []
-        for s in self.compiled.spokes:
-            own = self.transform(found.where(F.col("spoke") == s.id), s.id, target, xml).drop("hub")
-            parts.append(own)
-        return reduce(DataFrame.unionByName, parts)
-
     def replies(self, docs: DataFrame, target: str, source: str | None = None, xml: str = "xml") -> DataFrame:
         """docs with http_status, body and warnings: what a service would answer to each document.
 
@@ -76,15 +74,15 @@ class Engine:
         can't be read; 422 and the diagnostics where there are errors. Without a source, formats are detected.
         """
         notes = lambda sep: F.array_join(F.transform("diagnostics", lambda d: F.format_string("%s [%s] %s: %s", d["severity"], d["code"], d["source_node"], d["message"])), sep)
-        done = self.transform(docs, source, target, xml) if source else self.transform_mixed(docs, target, xml)
-        read = F.col("status") == "ok"
-        status = F.when(F.col("accepted"), 200).when(read, 422).otherwise(400)
-        failed = F.concat(F.lit("transformation failed with errors:\n"), notes("\n"))
-        unread = F.concat(F.lit("source deserialization failed: the document is "), F.col("status"))
-        names = [F.col(f"`{c}`") for c in docs.columns]
-        out = done.select(*names, status.alias("http_status"), F.when(F.col("accepted"), F.col("xml_out")).when(read, failed).otherwise(unread).alias("body"), F.when(F.col("accepted"), notes("; ")).otherwise("").alias("warnings"))
+        names = [F.col(quoted(c)) for c in docs.columns]
         if source:
-            return out
-        lost = self.detect(docs, xml).where(F.col("spoke").isin("unknown", "ambiguous"))
-        text = F.when(F.col("spoke") == "ambiguous", "source format is ambiguous").otherwise("could not detect the source format")
-        return out.unionByName(lost.select(*names, F.lit(400).alias("http_status"), text.alias("body"), F.lit("").alias("warnings")))
+            done, lost = self.transform(docs, source, target, xml), F.lit(None).cast("string")
+        else:
+            found = self.detect(docs, xml)
+            done = self._written(*flat_mixed(found, self.compiled, xml), target, found.columns)
+            lost = F.when(F.col("spoke") == "ambiguous", "source format is ambiguous").when(F.col("spoke") == "unknown", "could not detect the source format")
+        accepted, read = F.coalesce("accepted", F.lit(False)), F.coalesce(F.col("status") == "ok", F.lit(False))
+        failed = F.concat(F.lit("transformation failed with errors:\n"), notes("\n"))
+        unread = F.coalesce(lost, F.concat(F.lit("source deserialization failed: the document is "), F.col("status")))
+        status = F.when(accepted, 200).when(read, 422).otherwise(400)
+        return done.select(*names, status.alias("http_status"), F.when(accepted, F.col("xml_out")).when(read, failed).otherwise(unread).alias("body"), F.when(accepted, notes("; ")).otherwise("").alias("warnings"))

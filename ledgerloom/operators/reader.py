@@ -237,8 +237,8 @@ def repeats(base: Column, top: Element) -> list[Column]:
 PARSED, STATUS, VALUE = "_parsed", "_status", "_value_"
 
 
-def parsed(docs: DataFrame, spoke: Spoke, xml: str = "xml", strict: bool = True, only: Column | None = None) -> tuple[DataFrame, Element]:
-    """docs with PARSED, a struct of the mapped elements, and STATUS; `only` holds for the rows that are parsed at all.
+def parsed(docs: DataFrame, spoke: Spoke, xml: str = "xml", strict: bool = True, only: Column | None = None, to: str = PARSED, said: str = STATUS) -> tuple[DataFrame, Element]:
+    """docs with `to`, a struct of the mapped elements, and their status; `only` holds for the rows that are parsed at all.
 
     The parse is a generator's output: filters on other columns pass below it, and those on the status stay above, so
     that a document is parsed once, however often the parse is asked for.
@@ -250,11 +250,11 @@ def parsed(docs: DataFrame, spoke: Spoke, xml: str = "xml", strict: bool = True,
     tree = F.from_xml(F.coalesce(F.col(quoted(xml)), F.lit("")), schema, OPTIONS)
     if only is not None:
         tree = F.when(only, tree)
-    out = docs.select("*", F.explode_outer(F.array(tree)).alias(PARSED))
-    p = F.col(PARSED)
+    out = docs.select("*", F.explode_outer(F.array(tree)).alias(to))
+    p = F.col(to)
     twice = any_of(read_twice(spoke, None, p, top)) if strict else F.lit(False)
     status = F.when(p.isNull() | p["_corrupt_record"].isNotNull(), "malformed").when(F.coalesce(twice, F.lit(False)), "repeated").otherwise("ok")
-    return out.withColumn(STATUS, status), top
+    return out.withColumn(said, status), top
 
 
 def quoted(name: str) -> str:
