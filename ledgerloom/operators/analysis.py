@@ -69,3 +69,9 @@ def conversions(spark: SparkSession, c: Compiled) -> DataFrame:
 
     detail = F.when(F.size("missing") > 0, told("missing", "missing required ")).when(F.size("dropped") > 0, told("dropped", "drops ")).otherwise("—")
     return pair.select("source", "target", state.alias("state"), F.size("missing").cast("long").alias("n_missing"), F.size("dropped").cast("long").alias("n_dropped"), detail.alias("detail"))
+
+
+def fallbacks(spark: SparkSession, c: Compiled) -> DataFrame:
+    """(spoke, node, fallback, position): each node's fallbacks in their order."""
+    rows = [(s.id, n.id, f, k) for s in c.spokes for n in s.nodes.values() for k, f in enumerate(n.fallbacks)]
+    return spark.createDataFrame(rows, "spoke string, node string, fallback string, position int")

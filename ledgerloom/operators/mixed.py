@@ -84,10 +84,8 @@ def flat_mixed(found: DataFrame, c: Compiled, xml: str = "xml", strict: bool = T
         trees.append((own, top, F.col(f"_tree{k}"), F.col(f"_said{k}")))
 
     def chosen(pairs: list[tuple[list[Spoke], Column]]) -> Column:
-        at = F
-        for own, value in pairs:
-            at = at.when(of.isin([s.id for s in own]), value)
-        return at
+        """The value that goes with a document's format; null for formats that are none of these."""
+        return F.coalesce(*[F.when(of.isin([s.id for s in own]), value) for own, value in pairs])
 
     out = out.withColumn(STATUS, chosen([(own, said) for own, _, _, said in trees]))
     ok, labels = F.col(STATUS) == "ok", sorted(k for k in c.fields if "/" not in k)

@@ -191,12 +191,19 @@ def flatten(table: dict) -> tuple[dict, dict[str, dict]]:
 
 def load(folder: Path | str = HERE) -> dict[str, tuple[dict, dict[str, dict]]]:
     """All mapping files of a folder, by id."""
-    out: dict[str, tuple[dict, dict[str, dict]]] = {}
     files = sorted(Path(folder).glob("*.toml"))
     if not files:
         raise MappingError(f"no mapping files in {folder}")
-    for f in files:
-        meta, nodes = flatten(tomllib.loads(f.read_text(encoding="utf-8")))
+    return loaded([f.read_text(encoding="utf-8") for f in files])
+
+
+def loaded(texts: list[str]) -> dict[str, tuple[dict, dict[str, dict]]]:
+    out: dict[str, tuple[dict, dict[str, dict]]] = {}
+    for text in texts:
+        try:
+            meta, nodes = flatten(tomllib.loads(text))
+        except tomllib.TOMLDecodeError as e:
+            raise MappingError(f"E001: not TOML: {e}") from e
         name = f"{meta['doc_format']}:{meta['format_version']}"
         if name in out:
             raise MappingError(f"{name} is defined twice")
@@ -324,7 +331,11 @@ def derive(spokes: list[Spoke], found: list[Finding]) -> dict[str, str]:
 
 def compile_all(folder: Path | str = HERE) -> Compiled:
     """Every enabled format of a folder, checked; all findings are gathered, none stops the rest."""
-    raw, found = load(folder), []
+    return compiled(load(folder))
+
+
+def compiled(raw: dict[str, tuple[dict, dict[str, dict]]]) -> Compiled:
+    found: list[Finding] = []
     spokes = []
     for name in sorted(raw):
         if raw[name][0].get("disabled"):

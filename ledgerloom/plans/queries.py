@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
 from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,6 +11,9 @@ from ledgerloom.engine import Engine
 from ledgerloom.functions import text as X
 from ledgerloom.operators import analysis
 from ledgerloom.operators.detect import detected, root_name
+from ledgerloom.plans import exercise
+from ledgerloom.plans.footprints import PAIRS, footprints
+from ledgerloom.plans.scratch import scratch
 from ledgerloom.sources.invoices import diagnostic_lines, from_orders
 from ledgerloom.streaming.jobs import read_stream
 
@@ -59,12 +59,6 @@ def whole() -> Engine:
     return Engine()
 
 
-def footprints() -> str:
-    """A WITH clause of c (spoke, field, required): what each mapping file covers, for SQL that checks the reports."""
-    rows = (f"('{s.id}', '{f}', {str(f in s.required()).lower()})" for s in whole().compiled.spokes for f in s.covered())
-    return f"WITH c AS (SELECT * FROM (VALUES {', '.join(rows)}) AS t(spoke, field, required)) "
-
-
 def read(spark: SparkSession, sf_dir: str, *keys: str, spoke: str = "ubl-invoice") -> DataFrame:
     """The invoices made from orders, with status, diagnostics, and these keys as columns."""
     return engine().fields(from_orders(spark, sf_dir), spoke, list(keys))
@@ -75,16 +69,6 @@ def items(spark: SparkSession, sf_dir: str, collection: str, *keys: str) -> Data
     return engine().items(from_orders(spark, sf_dir), "ubl-invoice", collection, list(keys))
 
 
-def scratch(spark: SparkSession, what: str) -> str:
-    """A new folder below the shared one; where none is set and Spark is this process alone, below a temporary one."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not shared:
-        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        shared = "file://" + tempfile.mkdtemp(prefix="ledgerloom-")
-    return f"{shared.rstrip('/')}/{what}-{uuid.uuid4().hex}"
-
-
 def ok(df: DataFrame) -> DataFrame:
     return df.where("status = 'ok'")
 
@@ -96,6 +80,22 @@ def read_header(spark, sf_dir):
     return rows.select("doc_id", F.col("invoice_number").alias("invoice"), F.col("issue_date").alias("issued"), F.col("document_currency").alias("currency"))
 
 
+@query(" SELECT k AS doc_id, invoice FROM h WHERE k % 31 <> 0")
+def one_field(spark, sf_dir):
+    """Documents are parsed for one key alone: the status then speaks of this key's element only."""
+    rows = engine().fields(from_orders(spark, sf_dir), "ubl-invoice", ["InvoiceNumber"], parse={"InvoiceNumber"})
+    return ok(rows).select("doc_id", F.col("invoice_number").alias("invoice"))
+
+
+@query(""" , t AS (SELECT k, CASE WHEN k % 31 = 0 THEN 'malformed' WHEN good THEN 'ok' ELSE 'repeated' END AS status,
+        (invoice IS NULL)::INT + (k % 13 = 0)::INT + (k % 23 = 0)::INT + (k % 29 = 0)::INT + (k NOT IN (SELECT l_orderkey FROM lineitem))::INT AS faults FROM h)
+    SELECT status, sum(CASE WHEN status = 'ok' THEN faults ELSE 0 END)::BIGINT AS n_told, count(*) AS n, count(CASE WHEN status = 'ok' AND k % 4 > 0 THEN 1 END) AS n_notes FROM t GROUP BY status""")
+def whole_model(spark, sf_dir):
+    """All 150 fields of the model are parsed and checked."""
+    rows = whole().fields(from_orders(spark, sf_dir), "ubl-invoice", ["InvoiceNote"])
+    return rows.groupBy("status").agg(F.sum(F.size("diagnostics")).alias("n_told"), F.count("*").alias("n"), F.count("invoice_note").alias("n_notes"))
+
+
 @query(" SELECT k AS doc_id, CASE WHEN k % 29 <> 0 THEN amount END AS amount, tag AS currency FROM h WHERE good")
 def read_attribute(spark, sf_dir):
     """An element's text and its attribute; decimals keep their digits."""
@@ -169,7 +169,7 @@ def detect_format(spark, sf_dir):
     return from_orders(spark, sf_dir).select("xml").unionByName(pages).groupBy(detected(F.col("xml"), engine().compiled.spokes).alias("spoke")).agg(F.count("*").alias("n"))
 
 
-@query("WITH x AS (SELECT 1) SELECT page_id, 'html' AS root FROM pages")
+@query("WITH x AS (SELECT page_id, html FROM pages) SELECT page_id, lower(regexp_extract(html, '<([A-Za-z]+)', 1)) AS root FROM x")
 def detect_root(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", F.lower(root_name(F.col("html"))).alias("root"))
 
@@ -208,14 +208,12 @@ def write_prunes_empty(spark, sf_dir):
     return out.select("doc_id", F.contains(top, F.lit("<ID>")).alias("has_number"), has("Note").alias("has_note"), has("InvoiceLine").alias("has_line"), has("AccountingSupplierParty").alias("has_supplier"))
 
 
-@query("""WITH s AS (SELECT * FROM (VALUES ('facturx-invoice:1.0', 148), ('fatturapa:1.2.2', 11), ('peppol-bis-billing:3.0', 150), ('ubl-invoice:2.1', 150), ('xrechnung-invoice:3.0.2', 150)) AS t(id, n))
-    SELECT a.id AS source, b.id AS target, CASE WHEN a.id LIKE 'fat%' AND b.id LIKE 'x%' THEN 'partial' WHEN a.n > b.n THEN 'lossful' ELSE 'lossless' END AS state,
-           CASE WHEN a.id LIKE 'fat%' AND b.id LIKE 'x%' THEN 1 ELSE 0 END::BIGINT AS n_missing, greatest(a.n - b.n, 0)::BIGINT AS n_dropped FROM s AS a, s AS b""")
+@query(footprints() + PAIRS + "SELECT source, target, state, len(missing) AS n_missing, len(dropped) AS n_dropped FROM r")
 def analyze_matrix(spark, sf_dir):
     return analysis.conversions(spark, whole().compiled).drop("detail")
 
 
-@query("WITH s AS (SELECT * FROM (VALUES ('facturx-invoice:1.0', 148), ('fatturapa:1.2.2', 11), ('peppol-bis-billing:3.0', 150), ('ubl-invoice:2.1', 150), ('xrechnung-invoice:3.0.2', 150)) AS t(spoke, n)) SELECT spoke, n::BIGINT AS covered, (150 - n)::BIGINT AS missing FROM s")
+@query(footprints() + "SELECT spoke, count(*) AS covered, (SELECT count(DISTINCT field) FROM c) - count(*) AS missing FROM c GROUP BY spoke")
 def coverage_counts(spark, sf_dir):
     c = whole().compiled
     has = analysis.coverage(spark, c).groupBy("spoke").agg(F.count("*").alias("covered"))
@@ -223,7 +221,7 @@ def coverage_counts(spark, sf_dir):
     return has.join(none, "spoke", "left").select("spoke", "covered", F.coalesce("missing", F.lit(0)).alias("missing"))
 
 
-@query("WITH t AS (SELECT * FROM (VALUES ('string', 70), ('identifier', 35), ('decimal', 24), ('date', 9), ('collection', 6), ('currency', 4), ('boolean', 2)) AS v(type, n)) SELECT type, n::BIGINT AS n FROM t")
+@query(footprints() + "SELECT type, count(*) AS n FROM (SELECT field, min_by(type, spoke) AS type FROM c GROUP BY field) GROUP BY type")
 def hub_fields(spark, sf_dir):
     return analysis.fields(spark, whole().compiled).groupBy("type").agg(F.count("*").alias("n"))
 
@@ -243,7 +241,7 @@ def key_listing(spark, sf_dir):
     return analysis.keys(spark, whole().compiled)
 
 
-@query("WITH c AS (SELECT 1) SELECT true AS covered, 11::BIGINT AS n UNION ALL SELECT false, 139")
+@query(footprints() + "SELECT has AS covered, count(*) AS n FROM (SELECT field, bool_or(spoke LIKE 'fatturapa:%') AS has FROM c GROUP BY field) GROUP BY has")
 def spoke_keys(spark, sf_dir):
     return analysis.spoke_keys(spark, whole().compiled, "fatturapa").groupBy("covered").agg(F.count("*").alias("n"))
 
@@ -296,3 +294,7 @@ def stream_equals_batch(spark, sf_dir):
     read_stream(stream, engine().compiled["ubl-invoice"], folder + "/out", folder + "/state").awaitTermination()
     done = ok(spark.read.parquet(folder + "/out"))
     return done.select("doc_id", F.col("hub.invoice_number").alias("invoice"), F.col("hub.issue_date").alias("issued"), F.col("hub.document_currency").alias("currency"))
+
+
+QUERIES |= exercise.QUERIES
+SQL |= exercise.SQL

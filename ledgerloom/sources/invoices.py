@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.functions.text import DIAGNOSTIC
+from ledgerloom.functions.text import DIAGNOSTIC, trim
 
 
 def files(spark: SparkSession, path: str) -> DataFrame:
@@ -15,7 +15,12 @@ def files(spark: SparkSession, path: str) -> DataFrame:
 
 def write_files(df: DataFrame, path: str, xml: str = "xml_out") -> None:
     """One document a line, for accepted rows; line feeds inside are kept as character references."""
-    df.where(F.col(xml).isNotNull()).select(F.regexp_replace(F.trim(F.col(xml)), "\n", "&#10;").alias("value")).write.text(path)
+    df.where(F.col(xml).isNotNull()).select(F.regexp_replace(trim(F.col(xml)), "\n", "&#10;").alias("value")).write.text(path)
+
+
+def lines(spark: SparkSession, path: str) -> DataFrame:
+    """(xml): the documents that write_files() wrote."""
+    return spark.read.text(path).select(F.col("value").alias("xml"))
 
 
 def diagnostic_lines(df: DataFrame, column: str = "diagnostics") -> DataFrame:
