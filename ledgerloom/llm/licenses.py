@@ -1,9 +1,10 @@
 """License scans in built-in functions, by diagonal voting.
 
 All rolling word pairs of the documents are joined to the pairs of a few templates, which have a fixed number of
-words. A document position less its template position is a diagonal; the hits on a diagonal are its votes.
-Neighbouring diagonals, apart by inserted or missing words, are merged, and a span is verified by the share of the
-template's pairs that it holds. The phrases of the contract are templates that need all their pairs on one diagonal.
+words. A document position less its template position is a diagonal; the hits on a diagonal are its votes, all within
+the length of the template. Neighbouring diagonals, apart by inserted or missing words, are merged as far as DRIFT
+words, so that a span is at most that much longer than its template; it is verified by the share of the template's pairs
+that it holds. The phrases of the contract are templates that need all their pairs on one diagonal.
 """
 
 from __future__ import annotations
@@ -40,8 +41,9 @@ SENTENCES = [
     ("cc0", "to the extent possible under law the author has waived all copyright and related or neighboring rights to this work"),
 ]
 
-#: Diagonals at most this far apart are one span; the share of a template's pairs that a span needs for its label.
-NEIGHBOURS, LEAST_SHARE = 3, 0.6
+#: The diagonals of one span are at most this far apart; the share of a template's pairs that a span needs for its label.
+DRIFT, LEAST_SHARE = 6, 0.6
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def template_pairs(spark: SparkSession, phrases: list = PHRASES, sentences: list = SENTENCES) -> DataFrame:
@@ -66,7 +68,7 @@ def licenses(docs: DataFrame, phrases: list = PHRASES, sentences: list = SENTENC
     table gives an empty result.
     """
     spark = docs.sparkSession
-    words = F.array_remove(F.split(F.lower(F.coalesce(F.col(quoted(text_col)).cast("string"), F.lit(""))), NOT_WORD), "")
+    words = F.array_remove(F.split(F.translate(F.coalesce(F.col(quoted(text_col)).cast("string"), F.lit("")), UPPER, LOWER), NOT_WORD), "")
     rows = docs.select(F.col(quoted(id_col)).cast("long").alias("doc_id"), F.xxhash64(F.col(quoted(text_col)).cast("string")).alias("key"), words.alias("w"))
     # arrays_zip pads the shorter array, so each document's last row has no second word: it carries the number of words
     pair = F.arrays_zip(F.col("w").alias("w1"), F.slice("w", F.lit(2), F.greatest(F.size("w") - 1, F.lit(0))).alias("w2"))
@@ -78,30 +80,20 @@ def licenses(docs: DataFrame, phrases: list = PHRASES, sentences: list = SENTENC
     vote = hit.groupBy("doc_id", "key", "template", "label", "base", "pairs", F.when(F.col("h").isNotNull(), F.col("at") - F.col("tpos")).alias("diagonal")).agg(
         F.bit_or(F.expr("shiftleft(1L, tpos)")).alias("seen"), F.max(F.coalesce(F.col("at") + 1, F.lit(0))).alias("last"), F.count("*").alias("rows")
     )
-    along = Window.partitionBy("doc_id", "key", "template").orderBy("diagonal")
-    far = F.coalesce(F.col("diagonal") - F.lag("diagonal").over(along) > NEIGHBOURS, F.lit(False))
-    vote = vote.withColumn("far", far.cast("int")).withColumn("span", F.sum("far").over(along))
-    whole = F.bit_count("seen") == F.col("pairs")
-    span = vote.groupBy("doc_id", "key", "template", "label", "base", "pairs", "span").agg(
-        F.bit_or("seen").alias("seen"),
-        F.max("last").alias("last"),
-        F.max("rows").alias("rows"),
-        F.count(F.when(whole & F.col("base"), 1)).alias("places"),
-        F.min(F.when(whole & F.col("base"), F.col("diagonal"))).alias("first"),
-        F.max(F.when(whole & F.col("base"), F.col("diagonal"))).alias("final"),
-    )
-    share = F.when(F.col("base"), F.when(F.col("places") > 0, 1.0)).otherwise(F.bit_count("seen") / F.col("pairs"))
-    span = span.withColumn("share", share)
+    along = Window.partitionBy("doc_id", "key", "template").orderBy("diagonal").rangeBetween(0, DRIFT)
+    whole = F.when(F.col("base") & (F.bit_count("seen") == F.col("pairs")), F.col("diagonal"))
+    share = F.when(F.col("base"), F.when(F.col("whole").isNotNull(), 1.0)).otherwise(F.bit_count("near") / F.col("pairs"))
+    span = vote.withColumns({"near": F.bit_or("seen").over(along), "whole": whole}).withColumn("share", share)
     found = F.when(F.col("share") >= LEAST_SHARE, F.col("label"))
     joined = lambda c: F.array_join(F.sort_array(F.collect_set(c)), ",")  # noqa: E731  at most one for each label
     return (
         span.groupBy("doc_id", "key")
         .agg(
             F.max(F.when(F.col("template").isNull(), F.col("last"))).cast("long").alias("n_words"),
-            F.sum("places").cast("long").alias("n_base"),
-            F.min("first").cast("long").alias("first_word"),
-            F.max("final").cast("long").alias("last_word"),
-            joined(F.when(F.col("base") & (F.col("places") > 0), F.col("label"))).alias("base_labels"),
+            F.count("whole").alias("n_base"),
+            F.min("whole").cast("long").alias("first_word"),
+            F.max("whole").cast("long").alias("last_word"),
+            joined(F.when(F.col("whole").isNotNull(), F.col("label"))).alias("base_labels"),
             joined(found).alias("labels"),
             F.coalesce(F.max("share"), F.lit(0.0)).alias("score"),
             # every row of docs has one last row
