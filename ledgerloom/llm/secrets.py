@@ -11,12 +11,13 @@ from __future__ import annotations
 
 import math
 import random
+from collections.abc import Callable
 from functools import cache
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let, quoted
+from .common import let, quoted, running
 
 #: The kinds of the contract in their order, with what a match needs besides.
 ASSIGN = r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -34,6 +35,7 @@ LEAST_TOTAL, LEAST_MEAN = 10.0, 0.35
 DROP, LEAST_LENGTH = 8.0, 16
 BEFORE, AFTER = r"(?<![A-Za-z0-9+])[A-Za-z0-9+]*+$", r"^[A-Za-z0-9+]*+(?:={1,2}$)?"
 PAIRS = "array<struct<a:int,b:int>>"
+SPANS = "array<struct<start:int,kind:int,end:int,hit:string>>"
 
 #: Parts that ordinary identifiers and words are made of.
 WORDS = """account address amount array average balance base batch block buffer build cache call category change channel check
@@ -167,18 +169,43 @@ def places(text: Column, pattern: str, kind: int) -> Column:
     The texts between the matches and the matches themselves, in turn, make up the text; their lengths add up to the
     places. Both come from one pattern, so they agree.
     """
-    hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    empty = F.array().cast("array<struct<start:int,kind:int,end:int,hit:string>>")
-    step = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), hits.alias("hit"))
-    start = F.struct(F.lit(0).alias("at"), empty.alias("out"))
+    empty = F.array().cast(SPANS)
 
-    def add(acc: Column, p: Column) -> Column:
-        begin = acc["at"] + F.length(p["gap"])
-        end = begin + F.coalesce(F.length(p["hit"]), F.lit(0))
-        one = F.array(F.struct(begin.alias("start"), F.lit(kind).alias("kind"), end.alias("end"), p["hit"].alias("hit")))
-        return F.struct(end.alias("at"), F.when(p["hit"].isNull(), acc["out"]).otherwise(F.concat(acc["out"], one)).alias("out"))
+    def found(hits: Column) -> Column:
+        steps = F.zip_with(F.slice(F.split(text, pattern, -1), F.lit(1), F.size(hits)), hits, lambda gap, hit: F.struct(F.length(gap).alias("gap"), F.length(hit).alias("size"), hit.alias("hit")))
+        return let(steps, lambda xs: let(running(F.transform(xs, lambda x: (x["gap"] + x["size"]).cast("long")), lambda a, b: a + b, F.lit(0).cast("long")), lambda before: placed(xs, before)))
+
+    def placed(xs: Column, before: Column) -> Column:
+        def one(x: Column, at: Column) -> Column:
+            start = at.cast("int") + x["gap"]
+            return F.struct(start.alias("start"), F.lit(kind).alias("kind"), (start + x["size"]).alias("end"), x["hit"].alias("hit"))
+
+        return F.zip_with(xs, before, one)
+
+    return let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda hits: F.when(F.size(hits) > 0, found(hits)).otherwise(empty))
+
+
+def leading(spans: Column, holds: Callable[[Column], Column]) -> Column:
+    """How many of spans, from the first on, `holds` is true of; found by halving, for after them it is false."""
+
+    def halved(acc: Column, _: Column) -> Column:
+        low, high = acc["low"], acc["high"]
 
-    return F.when(F.size(hits) > 0, F.aggregate(step, start, add, lambda acc: acc["out"])).otherwise(empty)
+        def step(mid: Column) -> Column:
+            yes = holds(F.get(spans, mid))
+            return F.struct(F.when(yes, mid + 1).otherwise(low).alias("low"), F.when(yes, high).otherwise(mid).alias("high"))
+
+        return F.when(low < high, let(F.shiftright(low + high, 1), step)).otherwise(acc)
+
+    rounds = F.sequence(F.lit(0), F.ceil(F.log2(F.size(spans) + 1.0)).cast("int"))
+    return F.aggregate(rounds, F.struct(F.lit(0).alias("low"), F.size(spans).alias("high")), halved, lambda acc: acc["low"])
+
+
+def overlapping(spans: Column, m: Column) -> Column:
+    """Those of spans, which are in order and don't overlap each other, that overlap m."""
+    first, after = leading(spans, lambda s: s["end"] <= m["start"]), leading(spans, lambda s: s["start"] < m["end"])
+    some = lambda a: let(after, lambda z: F.when(a < z, F.transform(F.sequence(a, z - 1), lambda k: F.get(spans, k))).otherwise(F.array().cast(SPANS)))
+    return F.when(F.size(spans) > 0, let(first, some)).otherwise(F.array().cast(SPANS))
 
 
 def with_spans(docs: DataFrame, to: str = "spans", table: list[float] | None = None, text_col: str = "text") -> DataFrame:
@@ -194,21 +221,21 @@ def with_spans(docs: DataFrame, to: str = "spans", table: list[float] | None = N
     assigned = F.filter(places(F.col(t + "text"), ASSIGN, 0), lambda m: F.length(F.regexp_extract(m["hit"], ASSIGN, 2)) >= 12)
     out = docs.withColumn(t + "text", text)
     out = out.withColumns({t + "0": assigned, t + "1": F.when(F.contains(F.col(t + "text"), F.lit("AKIA")), places(F.col(t + "text"), ACCESS, 1)), t + "2": places(F.col(t + "text"), HEX, 2), t + "3": places(F.col(t + "text"), CANDIDATE, 3)})
-    empty = F.array().cast("array<struct<start:int,kind:int,end:int,hit:string>>")
-    out = out.withColumn(t + "base", F.concat(F.col(t + "0"), F.coalesce(F.col(t + "1"), empty), F.col(t + "2")))
+    # the spans of a kind don't overlap each other
+    kinds = [F.coalesce(F.col(t + k), F.array().cast(SPANS)) for k in "012"]
 
     def strange(m: Column) -> Column:
-        base = F.sort_array(F.filter(F.col(t + "base"), lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"])))
+        base = F.sort_array(F.concat(*[overlapping(k, m) for k in kinds]))
 
         def judged(scores: Column) -> Column:
             total = F.aggregate(scores, F.lit(0.0), lambda acc, p: acc + p["score"])
             whole = F.array(F.struct(m["start"].alias("a"), m["end"].alias("b")))
             some = F.transform(stretches(scores, m["hit"]), lambda s: F.struct((m["start"] + s["a"]).alias("a"), (m["start"] + s["b"]).alias("b")))
-            return F.when((F.size(base) == 0) & enough(total, F.size(scores)), whole).otherwise(outside(some, base))
+            return let(base, lambda b: F.when((F.size(b) == 0) & enough(total, F.size(scores)), whole).otherwise(outside(some, b)))
 
         return F.transform(let(pair_scores(m["hit"], table), judged), lambda s: F.struct(s["a"].alias("start"), F.lit(3).alias("kind"), s["b"].alias("end"), m["hit"].alias("hit")))
 
-    every = F.concat(F.col(t + "base"), F.flatten(F.transform(F.col(t + "3"), strange)))
+    every = F.concat(*kinds, F.flatten(F.transform(F.col(t + "3"), strange)))
     spans = F.transform(F.sort_array(every), lambda m: F.struct(m["start"].alias("start"), m["kind"].alias("kind"), m["end"].alias("end")))
     names = [F.col(quoted(c)) for c in docs.columns if c != to]
     return out.select(*names, spans.alias(to))
@@ -238,13 +265,20 @@ def secrets(docs: DataFrame, table: list[float] | None = None, id_col: str = "do
 def redacted(docs: DataFrame, mark: str = "[SECRET]", table: list[float] | None = None, text_col: str = "text") -> DataFrame:
     """docs with every secret in the text column replaced by `mark`; overlapping secrets become one mark."""
     spans, text = F.col("_ledgerloom_spans"), F.col(quoted(text_col))
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
-    def cut(acc: Column, m: Column) -> Column:
-        fresh = m["start"] >= acc["at"]
-        piece = F.when(fresh, F.concat(acc["out"], F.substring(text, acc["at"] + 1, m["start"] - acc["at"]), F.lit(mark))).otherwise(acc["out"])
-        return F.struct(F.greatest(acc["at"], m["end"]).alias("at"), piece.alias("out"))
+    def body(length: Column, size: Column, parts: Column) -> Column:
+        """The text of so many characters, given in parts of `size`, without the spans."""
+
+        def cut(a: Column, b: Column) -> Column:
+            some = F.transform(F.sequence(F.floor(a / size), F.floor((b - 1) / size)), lambda k: F.substring(F.get(parts, k.cast("int")), (F.greatest(a - k * size, F.lit(0)) + 1).cast("int"), (F.least(b, (k + 1) * size) - F.greatest(a, k * size)).cast("int")))
+            return F.when(a < b, F.array_join(some, "")).otherwise("")
+
+        ends = running(F.transform(spans, lambda m: m["end"].cast("long")), lambda x, y: F.greatest(x, y), F.lit(0).cast("long"))
+        pieces = F.zip_with(spans, ends, lambda m, at: F.when(m["start"] >= at, F.concat(cut(at.cast("int"), m["start"]), F.lit(mark))).otherwise(""))
+        return F.concat(F.array_join(pieces, ""), cut(F.array_max(F.transform(spans, lambda m: m["end"])), length))
 
-    body = F.aggregate(spans, start, cut, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
+    # a substring's place is counted from the start of its text, so the text is cut into parts first; a length is counted too
+    parts = lambda length, size: F.transform(F.sequence(F.lit(0), F.floor((length - 1) / size).cast("int")), lambda k: F.substring(text, k * size + 1, size))
+    made = let(F.length(text), lambda length: let(F.ceil(8 * F.sqrt(length.cast("double"))).cast("int"), lambda size: let(parts(length, size), lambda some: body(length, size, some))))
     out = with_spans(docs, "_ledgerloom_spans", table, text_col)
-    return out.withColumn(text_col, F.when(F.size(spans) > 0, body).otherwise(text)).select(*[F.col(quoted(c)) for c in docs.columns])
+    return out.withColumn(text_col, F.when(F.size(spans) > 0, made).otherwise(text)).select(*[F.col(quoted(c)) for c in docs.columns])

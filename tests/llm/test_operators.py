@@ -2,14 +2,16 @@
 
 import hashlib
 import re
+import time
 import zlib
 from collections import Counter
 
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
-from ledgerloom.llm import chat, components, embeddings, licenses, pieces, quality, secrets, simhash, substrings, tokens
+from ledgerloom.llm import chat, common, components, embeddings, licenses, pieces, quality, secrets, simhash, substrings, tokens
 from ledgerloom.llm.queries import tokenizer
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -91,22 +93,58 @@ def test_one_of_each_keeps_one_row_of_a_group_with_and_without_ids(spark):
     assert len(bs) == 1 and got == Counter([(None, a), bs[0], (1, c), (4, d), (5, a + " x " + c), (7, "")])
 
 
+def thue_morse(n: int) -> str:
+    s = "a"
+    for _ in range(n):
+        s += s.translate(str.maketrans("ab", "ba"))
+    return s
+
+
+def test_words_that_collide_under_polynomials_have_hashes_of_their_own():
+    a = thue_morse(10)
+    b = a.translate(str.maketrans("ab", "ba"))
+    for n in (64, 128, 1024):
+        _, h = substrings.word_hashes(f"{a[:n]} {b[:n]} {a[:n]}\n".encode())
+        assert h[0] != h[1] and h[0] == h[2]
+    words = [f"{p}{i}" for p in ("", "w", "longer-than-eight-bytes-", "é", "x" * 130) for i in range(3000)]
+    assert len(set(substrings.word_hashes("\n".join([*words, ""]).encode())[1].tolist())) == len(words)
+
+
+def test_substrings_in_many_chunks(spark):
+    r = __import__("random").Random(5)
+    a = thue_morse(10)
+    b = a.translate(str.maketrans("ab", "ba"))
+    plain = " ".join(f"p{i}" for i in range(12))
+    shared = [" ".join(f"s{k}_{i}" for i in range(r.randint(13, 40))) for k in range(12)]
+    rows = [(1, f"{a} {plain}"), (2, f"{b} {plain}"), (3, f"{a} {plain}")]
+    for i in range(4, 160):
+        parts = [" ".join(f"own{i}_{j}_{k}" for k in range(r.randint(0, 30))) for j in range(3)]
+        rows.append((None if i % 40 == 0 else i // 2 if i % 30 == 0 else i, f"{parts[0]} {r.choice(shared)} {parts[1]} {r.choice(shared)} {parts[2]}"))
+    rows += [(500 + i, "the same words in every copy of this text stand here once and again so often") for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    judge_substrings(rows, substrings.digest(substrings.deduplicated(df, chunk_bytes=4000)).collect())
+
+
 def test_substrings(docs):
-    got = substrings.digest(substrings.deduplicated(docs)).collect()
-    assert len(got) == len(TEXTS)
+    judge_substrings(TEXTS, substrings.digest(substrings.deduplicated(docs)).collect())
+
+
+def judge_substrings(texts, got):
     first = {}
-    for i, t in TEXTS:
+    for i, t in texts:
         w = WORD.findall(t or "")
         for k in range(len(w) - 12):
             g = tuple(w[k : k + 13])
             first[g] = min(first.get(g, 10**9), 10**9 if i is None else i)
-    for i, t in TEXTS:
+    wanted = []
+    for i, t in texts:
         w, gone = WORD.findall(t or ""), set()
         for k in range(len(w) - 12):
             if first[tuple(w[k : k + 13])] < (10**9 if i is None else i):
                 gone |= set(range(k, k + 13))
-        want = (len(w), len(gone), hashlib.sha256(" ".join(x for k, x in enumerate(w) if k not in gone).encode()).hexdigest())
-        assert {(r.n_words, r.n_removed, r.kept_sha256) for r in got if r.doc_id == i} == {want}
+        want = (i, len(w), len(gone), hashlib.sha256(" ".join(x for k, x in enumerate(w) if k not in gone).encode()).hexdigest())
+        wanted.append(want)
+    assert Counter(wanted) == Counter((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in got)
 
 
 def test_secrets(docs):
@@ -121,6 +159,89 @@ def test_secrets(docs):
     assert text[10] == "[SECRET]' [SECRET] [SECRET]" and text[3] is None and text[12] == TEXTS[12][1]
 
 
+def test_running_sums_and_maxima(spark):
+    rows = [(list(range(n)),) for n in (0, 1, 2, 3, 4, 5, 17, 100, 1000)]
+    df = spark.createDataFrame(rows, "x array<long>")
+    for add, fold in ((lambda a, b: a + b, sum), (F.greatest, lambda x: max(x, default=0))):
+        got = df.select("x", common.running(F.col("x"), add, F.lit(0).cast("long")).alias("y")).collect()
+        assert all(list(r.y) == [fold(r.x[:k]) for k in range(len(r.x))] for r in got)
+
+
+def test_secrets_in_long_texts_take_little_time(spark):
+    r = __import__("random").Random(2)
+    text = "é ".join(f"{r.getrandbits(160):040x}" for _ in range(16000)) + " tail"
+    df = spark.createDataFrame([(1, text), (2, None)], "doc_id long, text string")
+    began = time.time()
+    one = secrets.secrets(df).where("doc_id = 1").first()
+    assert one.n_hex == 16000 and time.time() - began < 20
+    assert [x.text for x in secrets.redacted(df).orderBy("doc_id").collect()] == ["é ".join(["[SECRET]"] * 16000) + " tail", None]
+
+
+def markov_brute(text, table, base):
+    """Spans by the definition: runs of the alphabet that score as a whole, or their best stretches outside base spans."""
+    k, at = len(secrets.ALPHABET), {c: i for i, c in enumerate(secrets.ALPHABET)}
+    out = []
+    enough = lambda total, n: total > secrets.LEAST_TOTAL and total > secrets.LEAST_MEAN * n
+    for m in re.finditer(secrets.CANDIDATE, text):
+        run, over = m[0], sorted((a, b) for a, b in base if a < m.end() and m.start() < b)
+        scores = [table[at[a] * k + at[b]] for a, b in zip(run, run[1:], strict=False)]
+        if not over and enough(sum(scores), len(scores)):
+            out.append((m.start(), m.end()))
+            continue
+        found, start, total, peak, top = [], 0, 0.0, 0.0, 0
+        for i, x in enumerate([*scores, None]):
+            total = total + x if x is not None else 0.0
+            if x is None or "=" in run[i : i + 2] or total <= 0 or total < peak - secrets.DROP:
+                if enough(peak, top - start - 1):
+                    left = start - len(re.search(r"[A-Za-z0-9+]*$", run[:start])[0])
+                    right = top + len(re.match(r"[A-Za-z0-9+]*(={1,2}$)?", run[top:])[0])
+                    if found and left <= found[-1][1]:
+                        found[-1] = (found[-1][0], max(found[-1][1], right))
+                    else:
+                        found.append((left, right))
+                start = top = i + 1
+                total = peak = 0.0
+            elif total > peak:
+                peak, top = total, i + 2
+        for a, b in found:
+            if b - a < secrets.LEAST_LENGTH:
+                continue
+            a, b = a + m.start(), b + m.start()
+            for x, y in over:
+                if x < b and a < y:
+                    if x > a:
+                        out.append((a, x))
+                    a = max(a, y)
+            if a < b:
+                out.append((a, b))
+    return out
+
+
+def test_markov_spans_equal_brute_force(spark, sf_dir):
+    r = __import__("random").Random(9)
+    chars = secrets.ALPHABET
+    texts = [t or "" for _, t in TEXTS]
+    for _ in range(150):
+        parts = []
+        for _ in range(r.randint(1, 12)):
+            kind = r.randrange(8)
+            parts.append(
+                "".join(r.choices(chars[:62], k=r.randint(10, 50))) if kind < 2 else f"{r.getrandbits(120):x}" if kind == 2 else "AKIA" + "".join(r.choices(chars[:26], k=16)) if kind == 3
+                else f"password = {''.join(r.choices(chars + '.', k=20))}" if kind == 4 else "_".join(r.choices(secrets.WORDS, k=4)) + "=" + "".join(r.choices(chars[:64], k=24)) + "==" if kind == 5
+                else "/".join(r.choices(secrets.WORDS, k=5)) if kind == 6 else "é ü"
+            )
+        texts.append(r.choice(["", " ", "=", "/"]).join(parts))
+    texts += [x.text for x in spark.read.parquet(f"{sf_dir}/documents.parquet").select("text").collect() if x.text]
+    got = secrets.with_spans(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    n = 0
+    for row in got:
+        base = [(m.start, m.end) for m in row.spans if m.kind < 3]
+        want = markov_brute(texts[row.doc_id], secrets.default_table(), base)
+        assert sorted((m.start, m.end) for m in row.spans if m.kind == 3) == sorted(want), texts[row.doc_id][:300]
+        n += len(want)
+    assert n > 200
+
+
 def test_secrets_glued_to_names_are_found(spark):
     r = __import__("random").Random(3)
     names, rows = ["", "DATABASE_CONNECTION_KEY=", "client_secret_value=", "config/prod/service/", "session_value_"], []
@@ -151,6 +272,43 @@ def test_markov_models_on_held_out_samples(spark):
     assert np.mean(random_) > 0.85 and np.mean(plain) < 0.02
 
 
+def license_brute(text):
+    """labels and score by the definition: a template's word pairs on diagonals at most DRIFT apart."""
+    words = [w for w in re.split(licenses.NOT_WORD, (text or "").translate({k: k + 32 for k in range(65, 91)})) if w]
+    at = {}
+    for k, pair in enumerate(zip(words, words[1:], strict=False)):
+        at.setdefault(pair, []).append(k)
+    labels, score = set(), 0.0
+    for words_of, label, base in [(t, lab, True) for t, lab in licenses.PHRASES] + [(t, lab, False) for lab, t in licenses.SENTENCES]:
+        t = words_of.split()
+        hits = [(k - i, i) for i, pair in enumerate(zip(t, t[1:], strict=False)) for k in at.get(pair, [])]
+        best = max((len({i for d, i in hits if start <= d <= start + (0 if base else licenses.DRIFT)}) / (len(t) - 1) for start, _ in hits), default=0.0)
+        if best >= (1 if base else licenses.LEAST_SHARE):
+            labels.add(label)
+        score = max(score, best if not base or best == 1 else 0.0)
+    return ",".join(sorted(labels)), round(score, 9)
+
+
+def test_license_labels_and_scores(spark, sf_dir):
+    r = __import__("random").Random(4)
+    texts = [t for _, t in TEXTS]
+    for _, sentence in licenses.SENTENCES:
+        w = sentence.split()
+        for _ in range(6):
+            some = [x for x in w if r.random() > r.choice([0, 0.1, 0.3])]
+            for _ in range(r.randint(0, 4)):
+                some.insert(r.randrange(len(some) + 1), "noise")
+            texts.append(" ".join(["before"] * r.randint(0, 9) + some + ["\u212a"]).title())
+        # the pairs of a sentence, scattered over a long text
+        pairs = [f"{a} {b} x{k} y{k} z{k} u v w" for k, (a, b) in enumerate(zip(w, w[1:], strict=False))]
+        texts.append(" ".join(r.sample(pairs, len(pairs))))
+    texts += [x.text for x in spark.read.parquet(f"{sf_dir}/documents.parquet").select("text").collect()]
+    got = licenses.licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert len(got) == len(texts)
+    for row in got:
+        assert (row.labels, round(row.score, 9)) == license_brute(texts[row.doc_id]), texts[row.doc_id]
+
+
 def test_licenses(docs):
     word = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
     got = {r.doc_id: r for r in licenses.licenses(docs).collect()}
@@ -178,6 +336,63 @@ def test_embeddings_recall(spark):
     assert all(got[k].n_links == 0 and got[k].kept and got[k].component_id == k for k in (900, 901, 902, 903))
 
 
+def test_embeddings_components(spark):
+    """Links far above the threshold are all found, so components are known: chains, copies, repeated and null ids."""
+    r = np.random.default_rng(6)
+    base = r.standard_normal((60, 48))
+    rows = []
+    for k, x in enumerate(base):
+        for step in range(k % 4):  # a chain: each is near the one before
+            rows.append((1000 - 10 * k - step, (x + 0.08 * step * r.standard_normal(48)).tolist()))
+        rows += [(2000 + k, x.tolist())] * (k % 3)
+    rows += [(None, base[3].tolist()), (5000, None), (5000, [0.0] * 48), (None, [float("inf")] * 48), (5001, base[5].tolist()[:20])]
+    df = spark.createDataFrame([(*x, 1, "clash") for x in rows], "vec_id long, embedding array<double>, n_links int, v string")
+    got = embeddings.near_vectors(df, least_blocks=3).collect()
+    unit = [np.array(v) / np.linalg.norm(v) if v is not None and np.isfinite(v).all() and any(v) else None for _, v in rows]
+    linked = lambda a, b: a is not None and b is not None and len(a) == len(b) and float(a @ b) >= 0.9
+    label = list(range(len(rows)))
+    for _ in rows:
+        label = [min(label[j] for j in range(len(rows)) if j == i or linked(unit[i], unit[j])) for i in range(len(rows))]
+    least = {}
+    for (i, _), own in zip(rows, label, strict=True):
+        least[own] = min((x for x in (least.get(own), i) if x is not None), default=None)
+    want = Counter((i, sum(linked(u, w) for w in unit) - (u is not None), least[own], i == least[own]) for (i, _), u, own in zip(rows, unit, label, strict=True))
+    assert Counter((x.vec_id, x.n_links, x.component_id, x.kept) for x in got) == want
+    assert embeddings.near_vectors(df.limit(0)).collect() == []
+
+
+def test_token_files_of_any_number(spark, docs, none):
+    path = tokenizer("word_bpe_49k.json")
+    for size in (1, 50, 8_000_000):
+        folder, order = tokens.written(docs, path, 2, file_tokens=size)
+        got = tokens.read_back(spark, folder, order).orderBy("start").collect()
+        assert len(got) == len(TEXTS) and [r.start for r in got] == [sum(x.n_tokens for x in got[:k]) for k in range(len(got))]
+        assert [r.doc_id for r in got] == sorted((i for i, _ in TEXTS), key=lambda i: (i is not None, i))
+    folder, order = tokens.written(none, path, 2)
+    assert order == [] and tokens.read_back(spark, folder, order).collect() == []
+
+
+def test_packing_in_many_shards(spark, docs):
+    pieces_ = tokens.packed(docs, tokenizer("byte_bpe_50k.json"), 1, shard_tokens=3000).collect()
+    whole = tokens.packed(docs, tokenizer("byte_bpe_50k.json"), 1).collect()
+    assert sum(p.length for p in pieces_) == sum(p.length for p in whole) == sum(p.doc_tokens for p in whole if p.start == 0)
+    by = {}
+    for p in pieces_:
+        by.setdefault(p.sequence_id, []).append((p.offset, p.length))
+    assert sorted(by) == list(range(len(by)))
+    for own in by.values():
+        assert sum(n for _, n in own) <= 2048 and all(o == sum(n for a, n in own if a < o) for o, _ in own)
+
+
+def test_least_squares_and_combinations():
+    assert tokens.combinations(4, 3) == [(4,), (3, 1), (2, 2), (2, 1, 1)]
+    r = np.random.default_rng(1)
+    for _ in range(20):
+        a, x = r.random((12, 6)), np.maximum(0, r.standard_normal(6))
+        got = tokens.non_negative_least_squares(a, a @ x)
+        assert (got >= 0).all() and np.allclose(got, x, atol=1e-6)
+
+
 def test_licenses_give_a_row_per_row(spark, docs):
     text = "under the MIT License, MIT License"
     more = docs.unionByName(spark.createDataFrame([(i, t, "x", 1) for i, t in [(20, text)] * 3 + [(None, None)] * 2 + [(21, "one"), (21, "one"), (20, "other")]], docs.schema))
