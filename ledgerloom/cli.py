@@ -11,10 +11,10 @@ written. For many documents use Engine: this starts Spark for one.
 from __future__ import annotations
 
 import sys
+from argparse import ArgumentParser
 from collections.abc import Callable
-from dataclasses import dataclass, field
 from pathlib import Path
-from typing import BinaryIO, TextIO
+from typing import BinaryIO, NoReturn, TextIO
 
 from pyspark.sql import SparkSession
 
@@ -22,8 +22,8 @@ from ledgerloom.engine import Engine
 from ledgerloom.operators import reports
 from ledgerloom.plans.mapping import Compiled
 
+#: The exit codes.
 USAGE_ERROR, DATA_ERROR, FILE_ERROR = 64, 65, 74
-MODES = {"--analyze": "analyze", "--keys": "keys"}
 
 
 class Failure(Exception):
@@ -32,79 +32,62 @@ class Failure(Exception):
         self.code = code
 
 
-@dataclass
-class Call:
-    """What the arguments ask for."""
-
-    command: str
-    words: list[str] = field(default_factory=list)
-    source: str | None = None
-    out: str | None = None
-
-
-def parsed(args: list[str]) -> Call:
-    words, modes, values = [], [], {}
-    rest = iter(args)
-    for a in rest:
-        if a in ("-h", "--help"):
-            return Call("help")
-        if a == "--list":
-            return Call("list")
-        if a in MODES:
-            modes.append(a)
-        elif a in ("--from", "--out"):
-            if (value := next(rest, None)) is None:
-                raise Failure(USAGE_ERROR, f"usage error: `{a}` requires a value")
-            values[a] = value
-        elif a.startswith("--"):
-            raise Failure(USAGE_ERROR, f"usage error: unknown flag `{a}`")
-        else:
-            words.append(a)
-    if len(set(modes)) > 1:
-        raise Failure(USAGE_ERROR, "usage error: --analyze and --keys cannot be combined")
-    if modes:
-        if len(words) > 1:
-            raise Failure(USAGE_ERROR, f"usage error: {modes[0]} takes at most one format")
-        return Call(MODES[modes[0]], source=values.get("--from", words[0] if words else None))
-    if not words:
-        return Call("help")
-    if len(words) != 2:
-        raise Failure(USAGE_ERROR, "usage error: " + ("missing <TARGET-FORMAT>" if len(words) == 1 else "too many arguments") + " (run with --help)")
-    return Call("transform", words, values.get("--from"), values.get("--out"))
+class Arguments(ArgumentParser):
+    """The arguments, as told above; what is wrong with them is a Failure."""
+
+    def __init__(self) -> None:
+        super().__init__(add_help=False, allow_abbrev=False)
+        self.add_argument("words", nargs="*")
+        for name in ("from", "out"):
+            self.add_argument(f"--{name}")
+        for name in ("analyze", "keys", "list"):
+            self.add_argument(f"--{name}", action="store_true")
+        self.add_argument("-h", "--help", action="store_true")
+
+    def error(self, message: str) -> NoReturn:
+        raise Failure(USAGE_ERROR, f"{message}; see --help")
+
+
+def asked(args: list[str]) -> dict:
+    """The command, its words, and the values of --from and --out."""
+    given = vars(Arguments().parse_intermixed_args(args))
+    reports_of = [k for k in ("analyze", "keys") if given[k]]
+    command = "help" if given["help"] else "list" if given["list"] else reports_of[0] if reports_of else "transform" if given["words"] else "help"
+    most = {"analyze": 1, "keys": 1, "transform": 2}.get(command)
+    if most and (len(reports_of) > 1 or len(given["words"]) > most or (command == "transform" and len(given["words"]) < most)):
+        raise Failure(USAGE_ERROR, "one report at a time, of one format at most; a conversion needs an input and a target; see --help")
+    return {"command": command, "words": given["words"], "source": given["from"], "out": given["out"]}
 
 
 def known(c: Compiled, name: str) -> str:
     try:
         return c[name].id
     except KeyError:
-        raise Failure(USAGE_ERROR, f'unknown format: "{name}" (known formats: {", ".join(s.id for s in c.spokes)})') from None
+        raise Failure(USAGE_ERROR, f"there is no format {name}; there are: {' '.join(s.id for s in c.spokes)}") from None
 
 
-def transformed(call: Call, engine: Engine, spark: Callable[[], SparkSession], stdin: BinaryIO) -> tuple[str, list]:
+def transformed(call: dict, engine: Engine, spark: Callable[[], SparkSession], stdin: BinaryIO) -> tuple[str, list]:
     """The new document and its diagnostics."""
-    name, target = call.words
+    name, target = call["words"]
     try:
         body = stdin.read() if name == "-" else Path(name).read_bytes()
     except OSError as e:
-        raise Failure(FILE_ERROR, f"io error: reading {name}: {e}") from e
-    to, source = known(engine.compiled, target), call.source and known(engine.compiled, call.source)
+        raise Failure(FILE_ERROR, f"can't read {name}: {e}") from e
+    to, source = known(engine.compiled, target), call["source"] and known(engine.compiled, call["source"])
     try:
         text = body.decode("utf-8")
     except UnicodeDecodeError as e:
-        raise Failure(DATA_ERROR, f"engine error: not UTF-8: {e}") from e
+        raise Failure(DATA_ERROR, f"{name} is not UTF-8: {e}") from e
     doc = spark().createDataFrame([(text,)], "xml string")
-    if not source:
-        source = engine.detect(doc).first()["spoke"]
-        if source == "ambiguous":
-            raise Failure(USAGE_ERROR, "source format is ambiguous; pass --from <FORMAT>")
-        if source == "unknown":
-            raise Failure(USAGE_ERROR, "could not detect the source format; pass --from <FORMAT>")
+    source = source or engine.detect(doc).first()["spoke"]
+    if source in ("ambiguous", "unknown"):
+        raise Failure(USAGE_ERROR, f"the format of {name} is {source}: name it by --from")
     r = engine.transform(doc, source, to).first()
     if r["status"] != "ok":
-        raise Failure(DATA_ERROR, f"engine error: the document is {r['status']}")
+        raise Failure(DATA_ERROR, f"{name} is {r['status']}")
     if not r["accepted"] or r["xml_out"] is None:
-        raise Failure(DATA_ERROR, "transformation failed with errors:\n" + told(r["diagnostics"]).rstrip())
-    return r["xml_out"] + "\n" * (not r["xml_out"].endswith("\n")), r["diagnostics"]
+        raise Failure(DATA_ERROR, told(r["diagnostics"]).rstrip())
+    return r["xml_out"].rstrip("\n") + "\n", r["diagnostics"]
 
 
 def told(diagnostics: list) -> str:
@@ -114,23 +97,24 @@ def told(diagnostics: list) -> str:
 def run(args: list[str], stdin: BinaryIO, stdout: TextIO, stderr: TextIO, spark: Callable[[], SparkSession], engine: Engine | None = None) -> int:
     """Do what the arguments ask for; the exit code. spark() is only called where rows are needed."""
     try:
-        call = parsed(args)
+        call = asked(args)
         engine = engine or Engine()
         c = engine.compiled
-        listed = "\n".join(f"    {s.id}" for s in c.spokes)
-        if call.command in ("help", "list"):
-            stdout.write((f"{__doc__}\nFORMATS:\n" if call.command == "help" else "") + listed + "\n")
-        elif call.command == "analyze":
-            stdout.write(reports.conversion_table(spark(), c, call.source and known(c, call.source)))
-        elif call.command == "keys":
-            stdout.write(reports.spoke_key_text(spark(), c, known(c, call.source)) if call.source else reports.key_table(spark(), c))
-        else:
+        names = "".join(f"    {s.id}\n" for s in c.spokes)
+        of = (call["source"] or next(iter(call["words"]), None)) if call["command"] in ("analyze", "keys") else None
+        if call["command"] == "transform":
             xml, notes = transformed(call, engine, spark, stdin)
             try:
-                Path(call.out).write_text(xml, encoding="utf-8", newline="") if call.out else stdout.write(xml)
+                Path(call["out"]).write_text(xml, encoding="utf-8", newline="") if call["out"] else stdout.write(xml)
             except OSError as e:
-                raise Failure(FILE_ERROR, f"io error: writing {call.out}: {e}") from e
+                raise Failure(FILE_ERROR, f"can't write {call['out']}: {e}") from e
             stderr.write(told(notes))
+        elif call["command"] == "analyze":
+            stdout.write(reports.conversion_table(spark(), c, of and known(c, of)))
+        elif call["command"] == "keys":
+            stdout.write(reports.spoke_key_text(spark(), c, known(c, of)) if of else reports.key_table(spark(), c))
+        else:
+            stdout.write((f"{__doc__}\nFormats:\n" if call["command"] == "help" else "") + names)
     except Failure as e:
         stderr.write(f"{e}\n")
         return e.code

@@ -19,7 +19,7 @@ def run(args: list[str]) -> tuple[str, int]:
     if not args or args[0] not in ("check", "report"):
         return USAGE, 2
     if len(args) < 2:
-        return f"error: a mappings directory is required\n\n{USAGE}", 2
+        return f"name a folder of mapping files\n\n{USAGE}", 2
     try:
         c = compile_all(args[1])
     except (MappingError, OSError, tomllib.TOMLDecodeError, UnicodeDecodeError) as e:

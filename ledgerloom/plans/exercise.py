@@ -302,15 +302,15 @@ def conversion_detail(spark, sf_dir):
 
 
 @query(
-    f""", x AS (SELECT source, target, map {{'lossless': '=', 'lossful': '~', 'partial': '!', 'error': 'x'}}[state] || ' ' || state AS state, {DETAIL} AS detail FROM r),
-    w AS (SELECT greatest(6, max(length(source)))::INTEGER AS a, greatest(6, max(length(target)))::INTEGER AS b, greatest(5, max(length(state)))::INTEGER AS c FROM x)
-    SELECT row_number() OVER (ORDER BY source, target)::INTEGER + 1 AS place, rpad(source, a, ' ') || '  ' || rpad(target, b, ' ') || '  ' || rpad(state, c, ' ') || '  ' || detail AS line FROM x, w""",
+    f""", x AS (SELECT source, target, map {{'lossless': '=', 'lossful': '~', 'partial': '!', 'error': 'x'}}[state] AS sign, {DETAIL} AS detail FROM r),
+    w AS (SELECT max(length(source))::INTEGER AS a, max(length(target))::INTEGER AS b FROM x)
+    SELECT row_number() OVER (ORDER BY source, target)::INTEGER AS place, rpad(source, a, ' ') || ' | ' || rpad(target, b, ' ') || ' | ' || sign || ' | ' || detail AS line FROM x, w""",
     footprints() + PAIRS,
 )
 def conversion_lines(spark, sf_dir):
-    """The rows of the conversion report as text, below its two heading lines."""
+    """The rows of the conversion report as text, below its heading."""
     lines = reports.conversion_table(spark, mapping.compile_all()).split("\n\n")[0].split("\n")
-    return spark.createDataFrame(list(enumerate(lines))[2:], "place int, line string")
+    return spark.createDataFrame(list(enumerate(lines))[1:], "place int, line string")
 
 
 @query(

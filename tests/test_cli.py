@@ -24,21 +24,16 @@ def call(spark):
     return of
 
 
-@pytest.mark.parametrize(
-    ("args", "text"),
-    [
-        (["a"], "missing <TARGET-FORMAT>"), (["a", "b", "c"], "too many"), (["--from"], "requires a value"), (["--what"], "unknown flag"),
-        (["--analyze", "--keys"], "cannot be combined"), (["--keys", "a", "b"], "at most one"), (["--keys", "nope"], "known formats: facturx"), (["-", "nope"], "unknown format"),
-    ],
-)
-def test_wrong_arguments(call, args, text):
+@pytest.mark.parametrize("args", [["a"], ["a", "b", "c"], ["--from"], ["--what"], ["--analyze", "--keys"], ["--keys", "a", "b"], ["--keys", "nope"], ["-", "nope"], ["-", "ubl-invoice", "--from", "nope"]])
+def test_wrong_arguments(call, args):
     code, out, err = call(*args)
-    assert code == 64 and text in err and not out
+    assert code == 64 and err and not out
 
 
 def test_help_and_list(call):
-    assert call()[1] == call("x", "--help")[1] and "FORMATS" in call("-h")[1]
-    assert call("--list") == (0, "".join(f"    {n}\n" for n in ("facturx-invoice:1.0", "fatturapa:1.2.2", "peppol-bis-billing:3.0", "ubl-invoice:2.1", "xrechnung-invoice:3.0.2")), "")
+    assert call()[1] == call("x", "--help")[1] and call("-h")[0] == 0
+    names = ["facturx-invoice:1.0", "fatturapa:1.2.2", "peppol-bis-billing:3.0", "ubl-invoice:2.1", "xrechnung-invoice:3.0.2"]
+    assert call("--list")[1].split() == names and call("-h")[1].split()[-5:] == names
 
 
 def test_transform(call, tmp_path):
@@ -61,18 +56,21 @@ def test_faults_of_documents(call):
 
 def test_reports(call):
     code, out, _ = call("--analyze", "fatturapa")
-    assert code == 0 and len(out.splitlines()) == 9 and "fatturapa:1.2.2  xrechnung-invoice:3.0.2  ! partial   missing required SpecificationId" in out
-    assert len(call("--analyze")[1].splitlines()) == 29
-    assert "150 main keys across 5 spokes" in call("--keys")[1]
-    text = call("--keys", "--from", "fatturapa")[1]
-    assert text.startswith("main keys for fatturapa:1.2.2 — 11 covered, 139 unused of 150 total\n") and "  ✓ InvoiceNumber (required)\n" in text
+    rows = [[x.strip() for x in line.split("|")] for line in out.split("\n\n")[0].split("\n")]
+    assert code == 0 and len(rows) == 6 and rows[5] == ["fatturapa:1.2.2", "xrechnung-invoice:3.0.2", "!", "missing required SpecificationId"]
+    assert len(call("--analyze")[1].split("\n\n")[0].splitlines()) == 26
+    keys = {line.split("|")[0].strip(): line for line in call("--keys")[1].splitlines()[1:]}
+    assert len(keys) == 150 and "[xrechnung-invoice:3.0.2]" in keys["SpecificationId"] and "[ubl" not in keys["SpecificationId"]
+    lines = call("--keys", "--from", "fatturapa")[1].splitlines()
+    assert sum(x.startswith("+ |") for x in lines) == 11 and sum(x.startswith("- |") for x in lines) == 139
+    assert [x.split("|")[1].strip() for x in lines if x.endswith("required")] == ["InvoiceLines", "InvoiceNumber"]
 
 
 def test_mapping_commands(tmp_path):
     text, code = plans(["check", str(HERE)])
-    assert code == 0 and text == "\n5 spoke(s), 150 canonical field(s); 0 error(s), 0 warning(s)\n"
+    assert code == 0 and "formats: 5" in text and "fields: 150" in text and "errors: 0" in text
     text, code = plans(["report", str(HERE)])
-    assert code == 0 and "| InvoiceNumber | ✓ | ✓ | ✓ | ✓ | ✓ |" in text and "- facturx-invoice:1.0 is missing `TaxPointDate`" in text
+    assert code == 0 and "| InvoiceNumber | ✓ | ✓ | ✓ | ✓ | ✓ |" in text and "* facturx-invoice:1.0: `TaxPointDate`" in text
     (tmp_path / "a.toml").write_text('[meta]\ndoc_format="a"\nformat_version="1"\nmapping_version="1"\ncanonical_model="c"\nroot="R"\n[R.A]\ncanonical_key="A"\n')
     assert plans(["check", str(tmp_path)])[1] == 1 and plans(["report", str(tmp_path)])[1] == 0
     assert [plans(a)[1] for a in ([], ["what"], ["check"], ["check", str(tmp_path / "none")])] == [2, 2, 2, 2]
