@@ -1,10 +1,11 @@
 """SentencePiece encoding and decoding in batches of numpy operations.
 
-Texts are cut into words, distinct words of equal length are rows of one matrix, and all of them advance together.
-A substring is known by a hash made from prefix sums, and hashes probe the sorted hashes of the pieces. Unigram
-models are solved by Viterbi: per end position, maxima over all piece lengths at once, with backpointers. A BPE
-model's result is not the segmentation of the highest score, so Viterbi can't give it; such models take the same
-matrices through rounds of merges instead, the best pair of every word in each round.
+Texts are cut into words, distinct words of equal length are rows of one matrix, and all of them advance together
+through Viterbi. A substring is known by a hash made from prefix sums, and hashes probe the sorted hashes of the pieces.
+At each end position, maxima over all piece lengths at once store backpointers. Unigram models maximise the sum of
+scores. For a BPE model the highest sum is not the result; but of the pieces that end somewhere, exactly one can follow
+the last piece of the text before it such that merging would not have joined across the two. So such models maximise
+whether a piece may follow, a question that is answered by undoing merges of the two pieces, the latest first.
 """
 
 from __future__ import annotations
@@ -28,6 +29,7 @@ CLOSED, LETTER = ",.;:!?|*$%&\n", "A-Za-z0-9À-ÖØ-öø-ÿ"
 SHORT_WORD = re.compile(f"{SPACE}*(?:[{LETTER}]++(?=[{re.escape(CLOSED)}{SPACE}]|\\Z)|[^{SPACE}\n]+)|{SPACE}+|\n")
 BASE = np.uint64(0x9E3779B97F4A7C15)
 KNOWN_WORDS = 800_000
+LAST = np.iinfo(np.int64).max
 
 
 class Pieces:
@@ -45,6 +47,8 @@ class Pieces:
         self.scores = np.array(scores, np.float64)
         if len(np.unique(self.keys)) != len(self.keys):
             raise ValueError("two pieces share a hash")
+        self.slots = np.zeros(1 << 20, bool)
+        self.slots[self.keys >> np.uint64(44)] = True
         pairs = {pair for i in usable for pair in zip(pieces[i], pieces[i][1:], strict=False)}
         crossed = any("\n" in pair or (b in CLOSED and re.match(f"[{LETTER}]", a)) for pair in pairs for a, b in [pair])
         self.word = WORD if crossed else SHORT_WORD
@@ -61,8 +65,73 @@ class Pieces:
 
     def look(self, h: np.ndarray) -> np.ndarray:
         """The id of each substring hash, -1 for none."""
-        at = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
-        return np.where(self.keys[at] == h, self.ids[at], -1)
+        out = np.full(h.shape, -1, np.int64)
+        maybe = np.nonzero(self.slots[h >> np.uint64(44)])
+        some = h[maybe]
+        at = np.minimum(np.searchsorted(self.keys, some), len(self.keys) - 1)
+        out[maybe] = np.where(self.keys[at] == some, self.ids[at], -1)
+        return out
+
+    def prepare(self) -> None:
+        """Of a BPE model: how each piece is made by its last merge, its rank among merges, and what pairs merge to.
+
+        The token after all pieces stands for an unknown character. Pieces must be their own encoding.
+        """
+        n = len(self.pieces)
+        self.left, self.right = np.arange(n + 1), np.arange(n + 1)
+        self.rank = np.zeros(n + 1, np.int64)
+        of = {self.pieces[i]: i for i in self.ids.tolist()}
+        sizes: dict[int, list[int]] = {}
+        for i in self.ids.tolist():
+            sizes.setdefault(len(self.pieces[i]), []).append(i)
+        longer = np.array([i for size, own in sizes.items() if size > 1 for i in own], np.int64)
+        self.rank[longer] = 1 + np.unique(-self.scores[longer], return_inverse=True)[1]
+        pairs: dict[int, int] = {}
+        for size, own in sizes.items():
+            if size == 1:
+                continue
+            words = [self.pieces[i] for i in own]
+            cuts = np.zeros(len(words), np.int64)
+            if merges(words, size, self, cuts) != [[i] for i in own]:
+                raise ValueError("a piece is not its own encoding")
+            for i, w, cut in zip(own, words, cuts.tolist(), strict=True):
+                self.left[i], self.right[i] = of[w[:cut]], of[w[cut:]]
+                pairs.update({of[w[:k]] * (n + 1) + of[w[k:]]: i for k in range(1, size) if w[:k] in of and w[k:] in of})
+        self.pairs = np.array(sorted(pairs), np.int64)
+        self.merged = np.array([self.rank[pairs[k]] for k in self.pairs.tolist()], np.int64)
+        self.pair_slots = np.zeros(1 << 22, bool)
+        self.pair_slots[spread(self.pairs.astype(np.uint64)) >> np.uint64(42)] = True
+
+    def joins(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The rank of the merge of a and b, LAST where there is none."""
+        code = a * len(self.rank) + b
+        out = np.full(len(a), LAST)
+        maybe = np.flatnonzero(self.pair_slots[spread(code.view(np.uint64)) >> np.uint64(42)])
+        some = code[maybe]
+        place = np.minimum(np.searchsorted(self.pairs, some), len(self.pairs) - 1)
+        out[maybe] = np.where(self.pairs[place] == some, self.merged[place], LAST)
+        return out
+
+    def follows(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Whether merging leaves piece b after piece a as they are.
+
+        Their merges are undone from the latest on. If ever the two pieces at the border merge, and would have done so
+        before the merge undone last, then they would not be there side by side. Of equal merges the left comes first.
+        """
+        yes, at = np.zeros(len(a), bool), np.arange(len(a))
+        limit = np.full(len(a), LAST)
+        while len(at):
+            stay = np.flatnonzero(self.joins(a, b) >= limit)
+            a, b, at = a[stay], b[stay], at[stay]
+            ra, rb = self.rank[a], self.rank[b]
+            undo = ra > rb
+            limit = np.where(undo, ra, rb + 1)
+            whole = limit == 1  # nothing to undo on either side
+            yes[at[whole]] = True
+            go = np.flatnonzero(~whole)
+            a, b, at, limit, undo = a[go], b[go], at[go], limit[go], undo[go]
+            a, b = np.where(undo, self.right[a], a), np.where(undo, b, self.left[b])
+        return yes
 
     @classmethod
     def load(cls, path: str) -> Pieces:
@@ -83,6 +152,8 @@ class Pieces:
         if kind == "unigram":
             # the library adds up single-precision scores from the text's start, which decides between equal sums
             model.library, model.word, model.scores = sp, re.compile("(?s:.+)"), model.scores.astype(np.float32)
+        else:
+            model.prepare()
         return model
 
 
@@ -165,8 +236,36 @@ def viterbi(words: list[str], n: int, model: Pieces) -> list[list[int]]:
     return out
 
 
-def merges(words: list[str], n: int, model: Pieces) -> list[list[int]]:
-    """Rounds of merges: in every word the adjacent pair that makes the piece of the highest score, the left of equals."""
+def linked(words: list[str], n: int, model: Pieces) -> list[list[int]]:
+    """Segmentations of a BPE model: at each end the one piece that may follow the last piece of the text before it."""
+    pre, power = prefixes(words, n)
+    rows, unknown = np.arange(len(words)), len(model.pieces)
+    last, back = np.full((len(words), n + 1), -1), np.zeros((len(words), n + 1), np.int64)
+    for end in range(1, n + 1):
+        starts = np.arange(max(0, end - model.longest), end)
+        ids = model.look(pre[:, [end]] - pre[:, starts] * power[end - starts])
+        ids[:, -1] = np.where(ids[:, -1] < 0, unknown, ids[:, -1])
+        may = ids >= 0
+        r, k = np.nonzero(may & (starts > 0))
+        may[r, k] = model.follows(last[r, starts[k]], ids[r, k])
+        pick = may.argmax(1)
+        last[:, end], back[:, end] = ids[rows, pick], starts[pick]
+    # all words go back together, a piece a round
+    out: list[list[int]] = [[] for _ in words]
+    at, live = np.full(len(words), n), rows
+    while len(live):
+        one, start = last[live, at], back[live, at]
+        for w, i, b in zip(live.tolist(), one.tolist(), start.tolist(), strict=True):
+            out[w] += [i] if i != unknown else fallback(words[w][b], model)[::-1]
+        live, at = live[start > 0], start[start > 0]
+    return [x[::-1] for x in out]
+
+
+def merges(words: list[str], n: int, model: Pieces, cuts: np.ndarray | None = None) -> list[list[int]]:
+    """Rounds of merges: in every word the adjacent pair that makes the piece of the highest score, the left of equals.
+
+    The definition of BPE; it tells how pieces are made. cuts: takes the place of each word's last merge.
+    """
     pre, power = prefixes(words, n)
     rows = np.arange(len(words))
     nxt = np.tile(np.arange(1, n + 2), (len(words), 1))  # where the symbol that starts here ends
@@ -188,6 +287,8 @@ def merges(words: list[str], n: int, model: Pieces) -> list[list[int]]:
         if not len(live):
             break
         mid = nxt[live, at]
+        if cuts is not None:
+            cuts[live] = mid
         nxt[live, at] = nxt[live, mid]
         alive[live, mid], score[live, mid] = False, -np.inf
         score[live, at] = pair(live, at)
@@ -228,7 +329,7 @@ class Codec:
         sizes: dict[int, list[str]] = {}
         for p in fresh:
             sizes.setdefault(len(p), []).append(p)
-        solve = viterbi if self.model.kind == "unigram" else merges
+        solve = viterbi if self.model.kind == "unigram" else linked
         for n, words in sizes.items():
             step = max(1, (1 << 20) // n)
             for at in range(0, len(words), step):
