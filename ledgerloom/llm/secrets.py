@@ -29,7 +29,7 @@ KINDS = ["assign", "access", "hex", "markov"]
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-="
 CANDIDATE = r"[A-Za-z0-9+/_=-]{16,}"
 #: A candidate is a secret if its ratio exceeds this many nats in all, and this many for each pair.
-LEAST_TOTAL, LEAST_MEAN = 10.0, 0.35
+LEAST_TOTAL, LEAST_MEAN = 16.0, 0.35
 #: A stretch of a candidate ends at "=" and where its sum falls so many nats below its highest; it is widened up to one of
 #: "=/_-" or the candidate's ends, padding of "=" included, and then has this many characters at least.
 DROP, LEAST_LENGTH = 8.0, 16
@@ -69,6 +69,12 @@ def labelled_samples(seed: int = 11, n: int = 4000) -> list[tuple[str, int]]:
             "".join(words),
         ][style]
         out.append((joined + (str(r.randint(0, 2030)) if r.random() < 0.2 else ""), 0))
+    for _ in range(n // 4):  # rulers and padding
+        out.append((r.choice("-_=/+0") * r.randint(4, 40), 0))
+    for _ in range(n // 3):  # abbreviations among the words
+        short, words = "".join(r.choices("BCDFGHKLMNPRSTVXAEIO", k=r.randint(2, 4))), r.choices(WORDS, k=r.randint(1, 3))
+        joined = ["_".join([short, *words]).upper(), words[0].title() + short + "".join(w.title() for w in words[1:]), "-".join(words) + f"-{r.randint(0, 99)}", "/".join([*words, short])]
+        out.append((r.choice(joined), 0))
     return out
 
 
