@@ -38,6 +38,8 @@ _SIGNS = b"\x1c\x1d\x1e\x1f\xc2\xe1\xe2\xe3\xef"
 _LATIN = bytes(b for b in range(192) if not 28 <= b <= 31) + b"\xc3"
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 KNOWN_PARTS, IDLE_S = 1_200_000, 8
+#: Shuffle partitions at most; beyond, a task makes several files or shards, one after the other.
+MOST_TASKS = 20_000
 #: A to Z, a to z, and the letters from À to ÿ.
 LETTERS = [chr(c) for c in range(65, 256) if chr(c).isalpha() and c not in (170, 181, 186)]
 BARE_WORD, WORD = re.compile(f"[{''.join(LETTERS)}]+").fullmatch, re.compile(f" ?[{''.join(LETTERS)}]+").fullmatch
@@ -248,7 +250,9 @@ def read_file(body: bytes, id_of: np.ndarray) -> tuple[list, np.ndarray, np.ndar
 def written(docs: DataFrame, path: str, end_id: int, file_tokens: int = 8_000_000, id_col: str = "doc_id", text_col: str = "text") -> tuple[str, list[int]]:
     """Write docs' ids in ascending doc_id order; the folder of files, and the ids in order of frequency.
 
-    Ids that never occur come last; ties go to the smaller id. Each file is a range of doc_ids of about file_tokens.
+    Ids that never occur come last; ties go to the smaller id. Each file is a range of doc_ids of about file_tokens, or of
+    rows of one doc_id where that has more. Null ids come first; rows that repeat an id are in order of their ids' hash;
+    a null text is the end id alone; an empty table gives no files.
     """
     table, counted = token_table(docs, path, end_id, id_col, text_col)
     spark = docs.sparkSession
@@ -261,23 +265,34 @@ def written(docs: DataFrame, path: str, end_id: int, file_tokens: int = 8_000_00
     rank[np.array(order, np.int64)] = np.arange(len(order))
 
     def filed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own, sizes, ids = [], [], []
+        own, sizes, ids, held = [], [], [], 0
+        file = lambda: pd.DataFrame({"body": [write_file(own, np.concatenate(sizes), np.concatenate(ids), rank)]})
         for x in batches:
-            own += [None if pd.isna(d) else int(d) for d in x["doc_id"].astype("Int64")]
-            sizes.append(x["n"].to_numpy(np.int64))
-            ids.append(np.frombuffer(b"".join(x["ids"]), "<u2"))
+            for at in range(0, len(x), 256):
+                part = x.iloc[at : at + 256]
+                own += [None if pd.isna(d) else int(d) for d in part["doc_id"].astype("Int64")]
+                sizes.append(part["n"].to_numpy(np.int64))
+                ids.append(np.frombuffer(b"".join(part["ids"]), "<u2"))
+                held += len(ids[-1])
+                if 2 * held > 3 * file_tokens:
+                    yield file()
+                    own, sizes, ids, held = [], [], [], 0
         if own:
-            yield pd.DataFrame({"body": [write_file(own, np.concatenate(sizes), np.concatenate(ids), rank)]})
+            yield file()
 
     folder = made(f"{shared_folder(spark)}/ledgerloom-files-{os.urandom(8).hex()}")
-    ordered = table.repartitionByRange(files, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("ids"))
-    # The text writer stores the bytes of a string as they are and ends the row with one byte, which read_file ignores.
-    ordered.mapInPandas(filed, "body binary").select(F.col("body").cast("string").alias("value")).write.text(folder, lineSep="\0")
+    ordered = table.repartitionByRange(min(files, MOST_TASKS), F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("ids"))
+    # The text writer stores the bytes of a string as they are and ends the row with one byte, which read_file ignores. A
+    # file is one row; the names of a task's files go on in order.
+    ordered.mapInPandas(filed, "body binary").select(F.col("body").cast("string").alias("value")).write.option("maxRecordsPerFile", 1).text(folder, lineSep="\0")
     return folder, order
 
 
 def read_back(spark, folder: str, order: list[int]) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32) from the files alone; start counts the ids of all documents before."""
+    """(doc_id, start, n_tokens, ids_crc32) from the files alone; start counts the ids of all documents before.
+
+    One row per document written, null ids included; a folder without files gives no rows.
+    """
     id_of = np.array([*order, 0], np.uint32)
 
     def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -446,9 +461,10 @@ def packed(docs: DataFrame, path: str, end_id: int, length: int = 2048, unit: in
             }
         )
 
-    salt = F.when(F.col("doc_id").isNull(), F.xxhash64("ids")).otherwise(F.xxhash64("doc_id"))
+    # by rows, not by ids, so that neither null nor repeated ones gather; the table is written, so a row keeps its number
+    salt = F.xxhash64(F.monotonically_increasing_id())
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, shard long, own long, offset long"
-    pieces = stored(table.withColumn("shard", F.pmod(salt, F.lit(shards)).cast("long")).repartition(shards, "shard").groupBy("shard").applyInPandas(of, schema), "pieces")
+    pieces = stored(table.withColumn("shard", F.pmod(salt, F.lit(shards)).cast("long")).repartition(min(shards, MOST_TASKS), "shard").groupBy("shard").applyInPandas(of, schema), "pieces")
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     first = pieces.groupBy("shard").agg((F.max("own") + 1).alias("n")).select("shard", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
     return pieces.join(first, "shard").select("doc_id", "start", "length", "ids_crc32", "doc_tokens", (F.col("first") + F.col("own")).alias("sequence_id"), "offset")
