@@ -473,6 +473,18 @@ def test_pieces(docs):
         assert list(r.ids) == sp.encode(t) and r.decoded == t
 
 
+def test_bpe_by_what_may_follow_equals_merging(spark, sf_dir):
+    model = pieces.Pieces.load(tokenizer("piece_bpe_32k.model"))
+    r = __import__("random").Random(8)
+    words = {w for x in spark.read.parquet(f"{sf_dir}/documents.parquet").select("text").collect() if x.text for w in x.text.split()}
+    words |= {"".join(r.choices("aab▁é漢 1e", k=r.randint(1, 40))) for _ in range(3000)} | {"a" * n for n in range(1, 70)} | {" " * n for n in range(1, 40)}
+    sizes = {}
+    for w in words:
+        sizes.setdefault(len(w), []).append(w)
+    for n, own in sizes.items():
+        assert pieces.linked(own, n, model) == pieces.merges(own, n, model)
+
+
 def test_viterbi_is_the_best_segmentation():
     names = ["a", "b", "c", "ab", "bc", "abc", "ca"]
     score = dict(zip(names, [-1.0, -1.5, -1.2, -1.7, -2.0, -2.9, -2.0], strict=True))
