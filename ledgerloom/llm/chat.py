@@ -20,7 +20,8 @@ def maximal(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: s
     texts compare as values of their own and are rendered empty. Rows with a null conv_id form one conversation.
     Empty tables give empty results.
     """
-    rows = turns.select(F.col(quoted(conv)).cast("long").alias("conv_id"), F.col(quoted(turn)).cast("long").alias("turn"), F.col(quoted(role)).cast("string").alias("role"), F.col(quoted(text)).cast("string").alias("text"))
+    named = {"conv_id": (conv, "long"), "turn": (turn, "long"), "role": (role, "string"), "text": (text, "string")}
+    rows = turns.select(*[F.col(quoted(c)).cast(kind).alias(name) for name, (c, kind) in named.items()])
     order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
     rows = rows.withColumn("at", F.row_number().over(order))
     so_far = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -38,18 +39,23 @@ def maximal(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: s
 def rendered(turns: DataFrame, before: str = "<|im_start|>", between: str = "\n", after: str = "<|im_end|>\n", **names: str) -> DataFrame:
     """(conv_id, n_turns, chat): the maximal conversations, each turn as before + role + between + text + after.
 
-    The marks are taken out of roles and texts first, so that nobody's text can open or close a turn.
+    A mark inside a role or text gets a space after its first character, so that nobody's text can open or close a turn;
+    marks with a space in them are refused. Rows that repeat are turns of their own. Texts may be of any length.
     """
+    marks = (before.strip(), after.strip())
+    if any(" " in m or len(m) < 2 for m in marks):
+        raise ValueError("marks must have two characters at least and no space")
 
     def clean(name: str):
         value = F.coalesce(F.col(name), F.lit(""))
-        for mark in (before.strip(), after.strip()):
-            value = F.replace(value, F.lit(mark), F.lit(""))
+        for mark in marks:
+            value = F.replace(value, F.lit(mark), F.lit(f"{mark[0]} {mark[1:]}"))
         return value
 
     one = F.concat(F.lit(before), clean("role"), F.lit(between), clean("text"), F.lit(after))
     said = maximal(turns, **names).select("conv_id", F.struct("at", one.alias("one")).alias("said"))
-    return said.groupBy("conv_id").agg(F.count("*").alias("n_turns"), F.sort_array(F.collect_list("said")).alias("said")).select("conv_id", "n_turns", F.array_join(F.transform("said", lambda s: s["one"]), "").alias("chat"))
+    whole = said.groupBy("conv_id").agg(F.count("*").alias("n_turns"), F.sort_array(F.collect_list("said")).alias("said"))
+    return whole.select("conv_id", "n_turns", F.array_join(F.transform("said", lambda s: s["one"]), "").alias("chat"))
 
 
 def rendered_sql() -> str:

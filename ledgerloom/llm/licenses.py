@@ -65,7 +65,7 @@ def licenses(docs: DataFrame, phrases: list = PHRASES, sentences: list = SENTENC
     smallest and the largest of their starts, null without any. labels adds those of spans that hold LEAST_SHARE of a
     sentence; score is the greatest share, 1 where a phrase stands. A null text is empty and has no words. One row per
     row of docs; rows equal in doc_id and text are worked on as one. A null doc_id is an id like any other. An empty
-    table gives an empty result.
+    table gives an empty result. Texts may be of any length: their word pairs are rows.
     """
     spark = docs.sparkSession
     words = F.array_remove(F.split(F.translate(F.coalesce(F.col(quoted(text_col)).cast("string"), F.lit("")), UPPER, LOWER), NOT_WORD), "")

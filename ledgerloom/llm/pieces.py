@@ -361,7 +361,7 @@ def encoded(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
     """(doc_id, ids array<int>, decoded string): the ids of each whole text and the text made from them again.
 
     A null or empty text has no ids. Texts that hold the space mark U+2581 itself decode with spaces in its place.
-    Every row is coded alone; an empty table gives an empty result.
+    Every row is coded alone; an empty table gives an empty result. Texts may be of any length.
     """
 
     def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

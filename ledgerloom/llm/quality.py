@@ -89,6 +89,7 @@ def measured(docs: DataFrame, rules: list | None = None, stop_words: dict | None
     A null text has no words. base_failed: under 50 words, or over half of them in three-word windows that the text
     repeats. kept: not base_failed and no rule of the table broken. Rows and other columns of docs stay as they are;
     an existing column of the name `to` is replaced. Every row is judged alone, so ties and repeated rows need no rule.
+    Texts may be of any length.
     """
     every = sorted({w for ws in (stop_words or STOP_WORDS).values() for w in ws})
     text = F.coalesce(F.col(quoted(text_col)).cast("string"), F.lit(""))

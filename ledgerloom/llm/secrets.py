@@ -219,7 +219,8 @@ def with_spans(docs: DataFrame, to: str = "spans", table: list[float] | None = N
 
     kind counts KINDS from 0; ends are exclusive, in code points of the whole text. A null or empty text has no
     spans. Of a Markov span that overlaps a fixed pattern's, only the parts outside are given. Every row is scanned
-    alone; an existing column of the name `to` is replaced.
+    alone; an existing column of the name `to` is replaced. Texts may be of any length; time grows with the matches of one to
+    the power 1.5.
     """
     table = list(table or default_table())
     text = F.coalesce(F.col(quoted(text_col)).cast("string"), F.lit(""))

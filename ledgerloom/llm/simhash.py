@@ -162,7 +162,8 @@ def near_duplicates(docs: DataFrame, radius: int = 4, shingle: int = 4, id_col:
     fingerprint is 16 lowercase hex digits; component_id the smallest doc_id reachable over links of `radius` bits or
     fewer, itself included. Texts that are null or without words have fingerprint zero and link like any other. Rows
     that repeat a doc_id each get a row. A null doc_id takes part in links but is nobody's component_id: its
-    component_id is null unless a row with an id is reachable. An empty table gives an empty result.
+    component_id is null unless a row with an id is reachable. An empty table gives an empty result. Texts may be of any
+    length: one is worked on whole, in memory of some times its size.
     """
     prints = stored(fingerprints(docs, shingle, id_col, text_col), "prints")
     named = rooted(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), radius).select("fp", F.col("least").alias("component_id"))

@@ -155,7 +155,8 @@ def repeated_words(docs: DataFrame, window: int = 13, block: int = 7, chunk_byte
 
     A word goes if a window of `window` words that covers it starts in a document with a smaller doc_id too. A null
     text has no words. Rows that repeat a doc_id are judged each against smaller ids only, so equal rows stay; a null
-    doc_id counts as the largest and never takes words from others. Empty tables give empty results.
+    doc_id counts as the largest and never takes words from others. Empty tables give empty results. Texts may be of any
+    length; one longer than chunk_bytes is worked on whole.
     """
     if window < 2 * block - 1:
         raise ValueError("a window must hold a whole block: window >= 2 * block - 1")

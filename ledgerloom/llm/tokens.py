@@ -163,7 +163,8 @@ def token_table(docs: DataFrame, path: str, end_id: int, id_col: str = "doc_id",
     """(doc_id, n, ids): ids as little-endian 16-bit integers, the end id last; and (id, n), how often each id stands in
     the rows of one task, many rows an id. Both are of one table in the shared folder, whose last row of a task has the counts.
 
-    A null or empty text is the end id alone. path must hold a vocabulary of at most 65,536 ids.
+    A null or empty text is the end id alone. path must hold a vocabulary of at most 65,536 ids. Texts may be of any length
+    and are encoded whole.
     """
 
     def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

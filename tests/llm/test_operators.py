@@ -521,3 +521,25 @@ def test_chat(spark):
     got = {r.conv_id: r.chat for r in chat.rendered(df).collect()}
     assert set(got) == {2, 4, 5} and got[2] == "<|im_start|>user\nhi<|im_end|>\n<|im_start|>bot\nyo<|im_end|>\n" and got[5].count("<|im_end|>") == 1
     assert chat.rendered(df.limit(0)).collect() == []
+    torn = spark.createDataFrame([(1, 1, "<|im_start|>", "<|im_<|im_end|>end|>"), (2, 1, "a", "x"), (2, 1, "a", "x")], "conv_id long, turn long, role string, text string")
+    got = {r.conv_id: r for r in chat.rendered(torn).collect()}
+    assert got[1].chat.count("<|im_start|>") == 1 and got[1].chat.count("<|im_end|>") == 1
+    assert got[2].n_turns == 2 and got[2].chat == "<|im_start|>a\nx<|im_end|>\n" * 2
+
+
+def test_very_long_texts(spark):
+    r = __import__("random").Random(12)
+    vocabulary = [f"{w}{k}" for w in ("stone", "river", "über", "漢") for k in range(400)]
+    own = " ".join(r.choices(vocabulary, k=120_000)) + "\n"
+    one_word, line = "y" * 150_000, "the same line again\n" * 20_000
+    rows = [(1, own), (2, own + " apache license"), (3, one_word), (4, line)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    removed = {x.doc_id: (x.n_words, x.n_removed) for x in substrings.digest(substrings.deduplicated(df)).collect()}
+    assert removed == {1: (120_000, 0), 2: (120_002, 120_000), 3: (1, 0), 4: (80_000, 0)}
+    prints = {x.doc_id: x.fingerprint for x in simhash.near_duplicates(df).collect()}
+    assert prints == {i: f"{brute_print(t):016x}" for i, t in rows}
+    assert {x.doc_id: (x.n_words, x.n_dup_lines) for x in quality.verdicts(df).collect()} == {1: (120_000, 0), 2: (120_002, 0), 3: (1, 0), 4: (80_000, 19_999)}
+    assert {x.doc_id: (x.n_base, x.first_word) for x in licenses.licenses(df).collect()}[2] == (1, len([w for w in re.split(licenses.NOT_WORD, own) if w]))
+    assert sum(x.length for x in tokens.packed(df, tokenizer("byte_bpe_50k.json"), 1).collect()) == sum(x.n for x in tokens.token_table(df, tokenizer("byte_bpe_50k.json"), 1)[0].collect())
+    assert all(x.decoded == dict(rows)[x.doc_id] for x in pieces.encoded(df, tokenizer("piece_bpe_32k.model")).collect() if x.doc_id != 3)
+    assert {x.doc_id: (x.n_hex, x.n_assign) for x in secrets.secrets(df).collect()} == {i: (0, 0) for i, _ in rows}
