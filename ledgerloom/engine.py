@@ -7,13 +7,17 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerloom.functions.text import diagnostic_line
 from ledgerloom.operators.detect import detected
 from ledgerloom.operators.mixed import flat_mixed
-from ledgerloom.operators.reader import STATUS, VALUE, flat, quoted, to_fields, to_hub, to_items
+from ledgerloom.operators.reader import NOTES, STATUS, VALUE, flat, quoted, to_fields, to_hub, to_items
 from ledgerloom.operators.writer import from_hub, labels, written
 from ledgerloom.plans.mapping import HERE, compile_all
 
 
+HUB, XML, TOLD = (f"_ledgerloom_{x}" for x in ("hub", "xml", "told"))
+
+
 def has_error(diagnostics: Column) -> Column:
     return F.exists(diagnostics, lambda d: d["severity"] == "error")
 
@@ -60,11 +64,12 @@ class Engine:
 
     def _written(self, read: DataFrame, fields: list[str], target: str, names: list[str]) -> DataFrame:
         hub, ok = {f: F.col(VALUE + f) for f in fields}, F.col(STATUS) == "ok"
-        record = F.when(ok, F.struct(*[c.alias(f) for f, c in hub.items()])).alias("hub")
+        record = F.when(ok, F.struct(*[c.alias(f) for f, c in hub.items()])).alias(HUB)
         names = [c for c in names if c not in {"hub", "diagnostics", "status", "xml_out", "accepted"}]
-        columns = labels(read.select(record).schema["hub"].dataType)
-        out = written(read.select("*", record), self.compiled[target], hub, columns, ok, [*names, "hub", STATUS, "_diagnostics"], "xml_out", "_told")
-        out = out.select(*[F.col(quoted(c)) for c in names], "hub", F.concat("_diagnostics", "_told").alias("diagnostics"), F.col(STATUS).alias("status"), "xml_out")
+        columns = labels(read.select(record).schema[HUB].dataType)
+        out = written(read.select("*", record), self.compiled[target], hub, columns, ok, [*names, HUB, STATUS, NOTES], XML, TOLD)
+        notes = F.concat(NOTES, TOLD).alias("diagnostics")
+        out = out.select(*[F.col(quoted(c)) for c in names], F.col(HUB).alias("hub"), notes, F.col(STATUS).alias("status"), F.col(XML).alias("xml_out"))
         return out.withColumn("accepted", (F.col("status") == "ok") & ~has_error(F.col("diagnostics")))
 
     def replies(self, docs: DataFrame, target: str, source: str | None = None, xml: str = "xml") -> DataFrame:
@@ -73,7 +78,7 @@ class Engine:
         200 and the new document, with its diagnostics in one line; 400 where the format can't be told or the document
         can't be read; 422 and the diagnostics where there are errors. Without a source, formats are detected.
         """
-        notes = lambda sep: F.array_join(F.transform("diagnostics", lambda d: F.format_string("%s [%s] %s: %s", d["severity"], d["code"], d["source_node"], d["message"])), sep)
+        notes = lambda sep: F.array_join(F.transform("diagnostics", diagnostic_line), sep)
         names = [F.col(quoted(c)) for c in docs.columns]
         if source:
             done, lost = self.transform(docs, source, target, xml), F.lit(None).cast("string")
@@ -85,4 +90,5 @@ class Engine:
         failed = F.concat(F.lit("transformation failed with errors:\n"), notes("\n"))
         unread = F.coalesce(lost, F.concat(F.lit("source deserialization failed: the document is "), F.col("status")))
         status = F.when(accepted, 200).when(read, 422).otherwise(400)
-        return done.select(*names, status.alias("http_status"), F.when(accepted, F.col("xml_out")).when(read, failed).otherwise(unread).alias("body"), F.when(accepted, notes("; ")).otherwise("").alias("warnings"))
+        body = F.when(accepted, F.col("xml_out")).when(read, failed).otherwise(unread)
+        return done.select(*names, status.alias("http_status"), body.alias("body"), F.when(accepted, notes("; ")).otherwise("").alias("warnings"))

@@ -91,7 +91,9 @@ class Told:
     entry: Column
 
 
-def diagnostic(when: Column, severity: str, code: str, node: str, key: str | None, path: str | None, message: Column | str, index: Column | None = None, fallbacks: list[str] | None = None) -> Told:
+def diagnostic(
+    when: Column, severity: str, code: str, node: str, key: str | None, path: str | None, message: Column | str, index: Column | None = None, fallbacks: list[str] | None = None
+) -> Told:
     text = lambda x: F.lit(x).cast("string")
     entry = F.struct(
         text(severity).alias("severity"),
@@ -106,6 +108,11 @@ def diagnostic(when: Column, severity: str, code: str, node: str, key: str | Non
     return Told(when, entry)
 
 
+def diagnostic_line(d: Column) -> Column:
+    """`level [CODE] node: message`."""
+    return F.format_string("%s [%s] %s: %s", d["severity"], d["code"], d["source_node"], d["message"])
+
+
 def diagnostics(entries: list[Told]) -> Column:
     """The entries that are told, in their order. Most rows have none, and for them only the conditions are looked at."""
     none = F.array().cast(f"array<{DIAGNOSTIC}>")

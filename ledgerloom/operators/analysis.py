@@ -57,7 +57,8 @@ def conversions(spark: SparkSession, c: Compiled) -> DataFrame:
     """
     rows = [(s.id, s.covered(), s.required()) for s in c.spokes]
     one = spark.createDataFrame(rows, "source string, covered array<string>, required array<string>")
-    targets = F.array(*[F.struct(F.lit(t.id).alias("target"), F.array(*[F.lit(x) for x in t.covered()]).alias("has"), F.array(*[F.lit(x) for x in t.required()]).cast("array<string>").alias("needs")) for t in c.spokes])
+    texts = lambda xs: F.array(*[F.lit(x) for x in xs]).cast("array<string>")
+    targets = F.array(*[F.struct(F.lit(t.id).alias("target"), texts(t.covered()).alias("has"), texts(t.required()).alias("needs")) for t in c.spokes])
     pair = one.withColumn("t", F.explode(targets)).select("source", "covered", "t.*")
     pair = pair.withColumns({"missing": F.array_sort(F.array_except("needs", "covered")), "dropped": F.array_sort(F.array_except("covered", "has"))})
     none = (F.size("needs") > 0) & (F.size("missing") == F.size("needs"))
@@ -68,7 +69,8 @@ def conversions(spark: SparkSession, c: Compiled) -> DataFrame:
         return F.concat(F.lit(head), F.array_join(F.slice(name, 1, 3), ", "), more)
 
     detail = F.when(F.size("missing") > 0, told("missing", "missing required ")).when(F.size("dropped") > 0, told("dropped", "drops ")).otherwise("—")
-    return pair.select("source", "target", state.alias("state"), F.size("missing").cast("long").alias("n_missing"), F.size("dropped").cast("long").alias("n_dropped"), detail.alias("detail"))
+    n = lambda name: F.size(name).cast("long").alias(f"n_{name}")
+    return pair.select("source", "target", state.alias("state"), n("missing"), n("dropped"), detail.alias("detail"))
 
 
 def fallbacks(spark: SparkSession, c: Compiled) -> DataFrame:

@@ -40,7 +40,8 @@ def detected(xml: Column, spokes: list[Spoke]) -> Column:
         if len(own) == 1:
             answer = F.lit(own[0].id)
         else:
-            hits = F.array_compact(F.array(*[F.when(F.coalesce(*[F.when(F.contains(mark, F.lit(m)), True) for m in s.markers]), s.id) for s in own if s.markers])) if any(s.markers for s in own) else F.array().cast("array<string>")
+            marked = lambda s: F.coalesce(*[F.when(F.contains(mark, F.lit(m)), s.id) for m in s.markers])
+            hits = F.array_compact(F.array(*[marked(s) for s in own if s.markers]).cast("array<string>"))
             rest = [s.id for s in own if not s.markers]
             fallback = F.lit(rest[0] if len(rest) == 1 else "ambiguous")
             answer = F.when(F.size(hits) == 1, F.get(hits, F.lit(0))).when(F.size(hits) > 1, F.lit("ambiguous")).otherwise(fallback)

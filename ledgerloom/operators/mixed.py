@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions import text as X
 from ledgerloom.functions.names import snake
-from ledgerloom.operators.reader import STATUS, VALUE, Element, parsed, quoted, read_notes, read_values
+from ledgerloom.operators.reader import NOTES, STATUS, VALUE, Element, parsed, quoted, read_notes, read_values
 from ledgerloom.plans.mapping import Compiled, Spoke
 
 
@@ -73,15 +73,15 @@ def whole_items(c: Compiled, label: str, spoke: Spoke, value: Column) -> Column:
 
 
 def flat_mixed(found: DataFrame, c: Compiled, xml: str = "xml", strict: bool = True, spoke_col: str = "spoke") -> tuple[DataFrame, list[str]]:
-    """found, whose `spoke_col` names each document's format, with STATUS, _diagnostics and a column VALUE + name for each
+    """found, whose `spoke_col` names each document's format, with STATUS, NOTES and a column VALUE + name for each
     canonical field at the top; and the names. The status is null where the format is none of these.
     """
     of = F.col(quoted(spoke_col))
     names, out = [F.col(quoted(x)) for x in found.columns], found
     trees = []
     for k, own in enumerate(grouped(c.spokes, lambda s: (s.root, tree(Element.of(s))))):
-        out, top = parsed(out, own[0], xml, strict, of.isin([s.id for s in own]), f"_tree{k}", f"_said{k}")
-        trees.append((own, top, F.col(f"_tree{k}"), F.col(f"_said{k}")))
+        out, top = parsed(out, own[0], xml, strict, of.isin([s.id for s in own]), f"_ledgerloom_tree{k}", f"_ledgerloom_said{k}")
+        trees.append((own, top, F.col(f"_ledgerloom_tree{k}"), F.col(f"_ledgerloom_said{k}")))
 
     def chosen(pairs: list[tuple[list[Spoke], Column]]) -> Column:
         """The value that goes with a document's format; null for formats that are none of these."""
@@ -101,5 +101,5 @@ def flat_mixed(found: DataFrame, c: Compiled, xml: str = "xml", strict: bool = T
                     value = whole_items(c, k, some[0], value)
                 values[k].append((some, filled(c, k, value)))
     fields = [F.when(ok, chosen(values[k])).alias(VALUE + snake(k)) for k in labels]
-    told = F.when(ok, chosen(notes)).otherwise(X.diagnostics([])).alias("_diagnostics")
+    told = F.when(ok, chosen(notes)).otherwise(X.diagnostics([])).alias(NOTES)
     return out.select(*names, STATUS, told, *fields), [snake(k) for k in labels]

@@ -15,7 +15,14 @@ from ledgerloom.functions import text as X
 from ledgerloom.functions.names import snake
 from ledgerloom.plans.mapping import Node, Spoke
 
-OPTIONS = {"ignoreNamespace": "true", "ignoreSurroundingSpaces": "false", "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record", "attributePrefix": "_", "valueTag": "_VALUE"}
+OPTIONS = {
+    "ignoreNamespace": "true",
+    "ignoreSurroundingSpaces": "false",
+    "mode": "PERMISSIVE",
+    "columnNameOfCorruptRecord": "_corrupt_record",
+    "attributePrefix": "_",
+    "valueTag": "_VALUE",
+}
 
 
 class Element:
@@ -91,7 +98,8 @@ def read_scalar(n: Node, spoke: Spoke, base: Column, top: Element, index: Column
     tell = lambda when, severity, code, message, p=None, chain=None: X.diagnostic(when, severity, code, n.id, key, p, message, index, chain)
     out: list[X.Told] = []
     if n.multiple:
-        items = F.coalesce(F.filter(F.transform(leaf(base, top, below(spoke, n), True), lambda v: X.normalise(v, n.normalize)), lambda v: v.isNotNull()), F.array().cast("array<string>"))
+        every = F.transform(leaf(base, top, below(spoke, n), True), lambda v: X.normalise(v, n.normalize))
+        items = F.coalesce(F.filter(every, lambda v: v.isNotNull()), F.array().cast("array<string>"))
         count = F.size(items)
         if n.multiple == "join":
             raw = F.when(count > 0, F.array_join(items, n.join_with or ""))
@@ -178,11 +186,8 @@ def read_notes(spoke: Spoke, scope: str | None, base: Column, top: Element, inde
 
 def speaks(spoke: Spoke, scope: str) -> bool:
     """Whether reading the items of a collection can tell a diagnostic at all."""
-    return any(
-        n.clone_of or n.required or n.fallbacks or n.adapter or n.least or n.multiple in ("first", "error") or n.type in X.SHAPES or (n.type == "collection" and speaks(spoke, n.id))
-        for n in spoke.inside(scope)
-        if n.canonical_key or n.clone_of
-    )
+    told = lambda n: n.clone_of or n.required or n.fallbacks or n.adapter or n.least or n.multiple in ("first", "error") or n.type in X.SHAPES
+    return any(told(n) or (n.type == "collection" and speaks(spoke, n.id)) for n in spoke.inside(scope) if n.canonical_key or n.clone_of)
 
 
 def read_twice(spoke: Spoke, scope: str | None, base: Column, top: Element) -> list[Column]:
@@ -234,7 +239,7 @@ def repeats(base: Column, top: Element) -> list[Column]:
 
 
 #: The parsed document, and what is said of it, beside the columns of docs.
-PARSED, STATUS, VALUE = "_parsed", "_status", "_value_"
+PARSED, STATUS, NOTES, VALUE = (f"_ledgerloom_{x}" for x in ("parsed", "status", "notes", "value_"))
 
 
 def parsed(docs: DataFrame, spoke: Spoke, xml: str = "xml", strict: bool = True, only: Column | None = None, to: str = PARSED, said: str = STATUS) -> tuple[DataFrame, Element]:
@@ -262,12 +267,12 @@ def quoted(name: str) -> str:
 
 
 def flat(docs: DataFrame, spoke: Spoke, xml: str = "xml", strict: bool = True, wanted: set[str] | None = None) -> tuple[DataFrame, list[str]]:
-    """docs with STATUS, _diagnostics and a column VALUE + name for each field of the record; and the names."""
+    """docs with STATUS, NOTES and a column VALUE + name for each field of the record; and the names."""
     out, top = parsed(docs, spoke, xml, strict)
     values = read_values(spoke, None, F.col(PARSED), top, wanted)
     ok = F.col(STATUS) == "ok"
     fields = [F.when(ok, c).alias(VALUE + name) for name, c in values.items()]
-    notes = F.when(ok, read_notes(spoke, None, F.col(PARSED), top, None)).otherwise(X.diagnostics([])).alias("_diagnostics")
+    notes = F.when(ok, read_notes(spoke, None, F.col(PARSED), top, None)).otherwise(X.diagnostics([])).alias(NOTES)
     return out.select(*[F.col(quoted(c)) for c in docs.columns], STATUS, notes, *fields), list(values)
 
 
@@ -280,7 +285,7 @@ def to_hub(docs: DataFrame, spoke: Spoke, xml: str = "xml", strict: bool = True)
     names = [F.col(quoted(c)) for c in docs.columns if c not in ("hub", "diagnostics", "status")]
     out, fields = flat(docs, spoke, xml, strict)
     hub = F.when(F.col(STATUS) == "ok", F.struct(*[F.col(VALUE + f).alias(f) for f in fields]))
-    return out.select(*names, hub.alias("hub"), F.col("_diagnostics").alias("diagnostics"), F.col(STATUS).alias("status"))
+    return out.select(*names, hub.alias("hub"), F.col(NOTES).alias("diagnostics"), F.col(STATUS).alias("status"))
 
 
 def to_fields(docs: DataFrame, spoke: Spoke, keys: list[str] | None = None, xml: str = "xml", strict: bool = True) -> DataFrame:
@@ -292,7 +297,7 @@ def to_fields(docs: DataFrame, spoke: Spoke, keys: list[str] | None = None, xml:
     wanted = None if keys is None else spoke.chosen(keys)
     out, fields = flat(docs, spoke, xml, strict, wanted)
     kept = [F.col(quoted(c)) for c in docs.columns if c not in {"status", "diagnostics", *fields}]
-    return out.select(*kept, F.col(STATUS).alias("status"), F.col("_diagnostics").alias("diagnostics"), *[F.col(VALUE + f).alias(f) for f in fields])
+    return out.select(*kept, F.col(STATUS).alias("status"), F.col(NOTES).alias("diagnostics"), *[F.col(VALUE + f).alias(f) for f in fields])
 
 
 def to_items(docs: DataFrame, spoke: Spoke, collection: str, keys: list[str] | None = None, xml: str = "xml", strict: bool = True) -> DataFrame:
@@ -303,7 +308,7 @@ def to_items(docs: DataFrame, spoke: Spoke, collection: str, keys: list[str] | N
     out, top = parsed(docs, spoke, xml, strict)
     raw, inner = elements(spoke, node, F.col(PARSED), top)
     names = [F.col(quoted(c)) for c in docs.columns]
-    rows = out.where(F.col(STATUS) == "ok").select(*names, F.posexplode_outer(raw).alias("_at", "_item")).where(F.col("_at").isNotNull())
-    fields = read_values(spoke, node.id, F.col("_item"), inner, wanted)
+    rows = out.where(F.col(STATUS) == "ok").select(*names, F.posexplode_outer(raw).alias("_ledgerloom_at", "_ledgerloom_item")).where(F.col("_ledgerloom_at").isNotNull())
+    fields = read_values(spoke, node.id, F.col("_ledgerloom_item"), inner, wanted)
     kept = [F.col(quoted(c)) for c in docs.columns if c not in {"position", *fields}]
-    return rows.select(*kept, F.col("_at").alias("position"), *[c.alias(name) for name, c in fields.items()])
+    return rows.select(*kept, F.col("_ledgerloom_at").alias("position"), *[c.alias(name) for name, c in fields.items()])

@@ -12,7 +12,12 @@ from ledgerloom.plans.mapping import Compiled
 #: The verdicts and one sign for each.
 SIGNS = {"lossless": "=", "lossful": "~", "partial": "!", "error": "x"}
 #: What the verdicts mean here.
-MEANING = {"lossless": "the target has every field of the source", "lossful": "the target lacks some", "partial": "some that the target must have are not in the source", "error": "none of them is"}
+MEANING = {
+    "lossless": "the target has every field of the source",
+    "lossful": "the target lacks some",
+    "partial": "some that the target must have are not in the source",
+    "error": "none of them is",
+}
 
 
 def table(rows: list[list[str]]) -> str:
@@ -43,7 +48,10 @@ def spoke_key_text(spark: SparkSession, c: Compiled, name: str) -> str:
     spoke = c[name]
     others = {r["field"]: r["defined_by"].replace(",", " ") for r in analysis.keys(spark, c).collect()}
     needed = set(spoke.required())
-    rows = [["+" if r["covered"] else "-", r["field"], "required" if r["field"] in needed else "" if r["covered"] else others[r["field"]]] for r in analysis.spoke_keys(spark, c, name).collect()]
+    rows = []
+    for r in analysis.spoke_keys(spark, c, name).collect():
+        k = r["field"]
+        rows.append(["+", k, "required" if k in needed else ""] if r["covered"] else ["-", k, others[k]])
     rows.sort(key=lambda r: (r[0] == "-", r[1]))
     has = sum(r[0] == "+" for r in rows)
     return f"{spoke.id}: {has} keys (+), {len(rows) - has} that other formats have (-)\n" + table(rows)

@@ -55,7 +55,8 @@ def read(spark: SparkSession, sf_dir: str, *keys: str) -> DataFrame:
 def told(df: DataFrame, code: str, column: str = "diagnostics") -> DataFrame:
     """A row per diagnostic of one code."""
     d = df.select("doc_id", F.explode(column).alias("d")).where(F.col("d.code") == code)
-    return d.select("doc_id", F.col("d.severity").alias("severity"), F.col("d.source_node").alias("node"), F.col("d.canonical_key").alias("key"), F.col("d.source_path").alias("path"), F.col("d.collection_index").alias("at"), F.array_join("d.fallback_chain", ",").alias("chain"), F.col("d.message").alias("message"))
+    named = {"severity": "severity", "source_node": "node", "canonical_key": "key", "source_path": "path", "collection_index": "at", "message": "message"}
+    return d.select("doc_id", F.array_join("d.fallback_chain", ",").alias("chain"), *[F.col(f"d.{k}").alias(v) for k, v in named.items()])
 
 
 def rows(severity: str, node: str, key: str, path: str, message: str, where: str, chain: str = "", at: str = "NULL::INTEGER") -> str:
@@ -221,7 +222,8 @@ def normalise_unicode(spark, sf_dir):
     t = spark.read.parquet(f"{sf_dir}/customer.parquet")
     wide = F.concat(F.lit("  \u0085\t"), F.col("c_name"), F.lit("　 \n "))
     some = F.when(F.col("c_custkey") % 2 == 0, wide).otherwise("  ")
-    return t.select(F.col("c_custkey").alias("doc_id"), X.normalise(wide, ["trim"]).alias("trimmed"), X.normalise(wide, ["uppercase", "trim"]).alias("up"), X.normalise(some, ["trim", "empty_as_missing"]).alias("present"))
+    made = {"trimmed": (wide, ["trim"]), "up": (wide, ["uppercase", "trim"]), "present": (some, ["trim", "empty_as_missing"])}
+    return t.select(F.col("c_custkey").alias("doc_id"), *[X.normalise(c, ops).alias(name) for name, (c, ops) in made.items()])
 
 
 @query("SELECT n_nationkey AS doc_id, '<Party><Name>' || n_name || '</Name></Party>' AS xml FROM nation", "")

@@ -15,15 +15,22 @@ HERE = Path(__file__).resolve().parents[1] / "mappings"
 TYPES = ("string", "identifier", "date", "datetime", "decimal", "currency", "unit_code", "boolean", "collection")
 TEXT, TEXTS, TRUTH, COUNT = "a text", "a list of texts", "true or false", "a number from 0"
 #: What a file may say, and in which form.
-META = {"doc_format": TEXT, "format_version": TEXT, "mapping_version": TEXT, "canonical_model": TEXT, "root": TEXT, "source_model": TEXT, "detect": TEXTS, "inherits": TEXT, "disabled": TRUTH, "description": TEXT}
 NEEDED = ("doc_format", "format_version", "mapping_version", "canonical_model")
+META = dict.fromkeys([*NEEDED, "root", "source_model", "inherits", "description"], TEXT) | {"detect": TEXTS, "disabled": TRUTH}
 NODE = {
     "xml": TEXT, "type": TEXT, "canonical_key": TEXT, "required": TRUTH, "fallbacks": TEXTS, "description": TEXT, "min_items": COUNT, "multiple": TEXT, "join_with": TEXT,
     "normalize": TEXTS, "adapter": TEXT, "constant": TEXT, "clone_of": TEXT, "disabled": TRUTH,
 }
 WORDS = {"type": TYPES, "multiple": ("error", "first", "join"), "normalize": tuple(NORMALISERS)}
 #: Literals that a constant may be, by type; other types take any text that is not blank.
-LITERALS = {"decimal": r"[+-]?\d+(\.\d+)?", "date": r"\d{4}-\d{2}-\d{2}", "datetime": r"\d{4}-\d{2}-\d{2}T.+", "currency": r"[A-Z]{3}", "boolean": r"true|false", "unit_code": r"[0-9A-Za-z]{1,3}"}
+LITERALS = {
+    "decimal": r"[+-]?\d+(\.\d+)?",
+    "date": r"\d{4}-\d{2}-\d{2}",
+    "datetime": r"\d{4}-\d{2}-\d{2}T.+",
+    "currency": r"[A-Z]{3}",
+    "boolean": r"true|false",
+    "unit_code": r"[0-9A-Za-z]{1,3}",
+}
 
 
 class MappingError(Exception):

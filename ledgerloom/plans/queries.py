@@ -99,13 +99,15 @@ def whole_model(spark, sf_dir):
 @query(" SELECT k AS doc_id, CASE WHEN k % 29 <> 0 THEN amount END AS amount, tag AS currency FROM h WHERE good")
 def read_attribute(spark, sf_dir):
     """An element's text and its attribute; decimals keep their digits."""
-    return ok(read(spark, sf_dir, "PayableAmount", "PayableAmountCurrency")).select("doc_id", F.col("payable_amount").alias("amount"), F.col("payable_amount_currency").alias("currency"))
+    rows = ok(read(spark, sf_dir, "PayableAmount", "PayableAmountCurrency"))
+    return rows.select("doc_id", F.col("payable_amount").alias("amount"), F.col("payable_amount_currency").alias("currency"))
 
 
 @query(" SELECT k AS doc_id, CAST(i - 1 AS INTEGER) AS line, CAST(i AS VARCHAR) AS line_id, CAST(CAST(l_quantity AS DECIMAL(18, 2)) AS VARCHAR) AS quantity, 'part-' || l_partkey AS item FROM h JOIN l ON k = l_orderkey WHERE good")
 def read_lines(spark, sf_dir):
     """A collection's items in their order."""
-    return items(spark, sf_dir, "InvoiceLines", "LineId", "Quantity", "ItemName").select("doc_id", F.col("position").alias("line"), "line_id", "quantity", F.col("item_name").alias("item"))
+    rows = items(spark, sf_dir, "InvoiceLines", "LineId", "Quantity", "ItemName")
+    return rows.select("doc_id", F.col("position").alias("line"), "line_id", "quantity", F.col("item_name").alias("item"))
 
 
 @query(" SELECT k AS doc_id, CAST(i AS VARCHAR) AS line_id, CAST(CAST(l_discount AS DECIMAL(18, 2)) AS VARCHAR) AS amount, false AS is_charge FROM h JOIN l ON k = l_orderkey WHERE good AND l_discount > 0")
@@ -117,7 +119,8 @@ def read_nested_lines(spark, sf_dir):
 
 @query(" SELECT k AS doc_id, CAST(CAST(round(l_tax * 100) AS INTEGER) AS VARCHAR) AS rate, 'S' AS category FROM h JOIN l ON k = l_orderkey WHERE good GROUP BY ALL")
 def collection_in_container(spark, sf_dir):
-    return items(spark, sf_dir, "VatBreakdown", "VatCategoryRate", "VatCategoryCode").select("doc_id", F.col("vat_category_rate").alias("rate"), F.col("vat_category_code").alias("category"))
+    rows = items(spark, sf_dir, "VatBreakdown", "VatCategoryRate", "VatCategoryCode")
+    return rows.select("doc_id", F.col("vat_category_rate").alias("rate"), F.col("vat_category_code").alias("category"))
 
 
 @query(" SELECT k AS doc_id, count(l_orderkey) AS n_lines, CAST(coalesce(sum(CAST(l_extendedprice AS DECIMAL(18, 2))), 0) AS DOUBLE) AS total FROM h LEFT JOIN l ON k = l_orderkey WHERE good GROUP BY k")
@@ -187,7 +190,8 @@ def transform_roundtrip(spark, sf_dir):
     out = ok(engine().transform(from_orders(spark, sf_dir), "ubl-invoice", "facturx-invoice")).select("doc_id", "xml_out")
     # a record without any value has no document; these all have lines or amounts
     back = engine().fields(out, "facturx-invoice", ["InvoiceNumber", "IssueDate", "PayableAmount", "InvoiceLines/LineId"], "xml_out")
-    return back.select("doc_id", F.col("invoice_number").alias("invoice"), F.col("issue_date").alias("issued"), F.col("payable_amount").alias("amount"), F.size("invoice_lines").cast("long").alias("n_lines"))
+    named = {"invoice_number": "invoice", "issue_date": "issued", "payable_amount": "amount"}
+    return back.select("doc_id", *[F.col(k).alias(v) for k, v in named.items()], F.size("invoice_lines").cast("long").alias("n_lines"))
 
 
 @query(" SELECT k AS doc_id, invoice, CASE WHEN k % 29 <> 0 THEN amount END AS amount, NULL::VARCHAR AS note FROM h WHERE good")
@@ -205,7 +209,8 @@ def write_prunes_empty(spark, sf_dir):
     out = ok(engine().from_hub(engine().to_hub(from_orders(spark, sf_dir), "ubl-invoice"), "ubl-invoice"))
     has = lambda name: F.contains("xml_out", F.lit(f"<{name}>"))
     top = F.regexp_replace("xml_out", "(?s)<InvoiceLine>.*?</InvoiceLine>|<TaxTotal>.*?</TaxTotal>", "")
-    return out.select("doc_id", F.contains(top, F.lit("<ID>")).alias("has_number"), has("Note").alias("has_note"), has("InvoiceLine").alias("has_line"), has("AccountingSupplierParty").alias("has_supplier"))
+    elements = {"has_note": "Note", "has_line": "InvoiceLine", "has_supplier": "AccountingSupplierParty"}
+    return out.select("doc_id", F.contains(top, F.lit("<ID>")).alias("has_number"), *[has(e).alias(name) for name, e in elements.items()])
 
 
 @query(footprints() + PAIRS + "SELECT source, target, state, len(missing) AS n_missing, len(dropped) AS n_dropped FROM r")
@@ -272,7 +277,8 @@ def normalise_chain(spark, sf_dir):
     s = F.concat(F.lit("  "), F.col("c_mktsegment"), F.lit(" "))
     other = F.when(F.col("c_mktsegment") == "BUILDING", " ").otherwise(s)
     t = spark.read.parquet(f"{sf_dir}/customer.parquet")
-    return t.select("c_custkey", X.normalise(s, ["trim", "lowercase"]).alias("low"), X.normalise(s, ["trim", "uppercase"]).alias("up"), X.normalise(other, ["trim", "empty_as_missing"]).alias("other"))
+    made = {"low": (s, ["trim", "lowercase"]), "up": (s, ["trim", "uppercase"]), "other": (other, ["trim", "empty_as_missing"])}
+    return t.select("c_custkey", *[X.normalise(c, ops).alias(name) for name, (c, ops) in made.items()])
 
 
 @query("""WITH d AS (SELECT event_id, event_id % 6 AS m FROM events) SELECT event_id, m IN (0, 4) AS is_date, m = 1 AS is_datetime, m IN (2, 5) AS is_decimal, m = 3 AS is_boolean FROM d""")

@@ -35,7 +35,13 @@ def placed(node_id: str, kind: str, xml: str | None, multiple: str | None, steps
     """The fields from the scope's shape down to a node, or why the node can't be placed. inner: other nodes stand below it."""
     way = [(xml_snake(s), Field(s, shape_name(s), optional=False)) for s in steps[:-1]]
     last, name = steps[-1], xml_snake(steps[-1])
-    held = "a collection" if kind == "collection" else "an attribute" if (xml or "").startswith("@") else "element text" if xml == "$text" else "an element with others inside" if inner else None
+    held = "an element with others inside" if inner else None
+    if kind == "collection":
+        held = "a collection"
+    elif (xml or "").startswith("@"):
+        held = "an attribute"
+    elif xml == "$text":
+        held = "element text"
     if multiple and held:
         return [], f"{held} can't be multiple"
     if kind == "collection":

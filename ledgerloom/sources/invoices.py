@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.functions.text import DIAGNOSTIC, trim
+from ledgerloom.functions.text import DIAGNOSTIC, diagnostic_line, trim
 
 
 def files(spark: SparkSession, path: str) -> DataFrame:
@@ -26,7 +26,7 @@ def lines(spark: SparkSession, path: str) -> DataFrame:
 def diagnostic_lines(df: DataFrame, column: str = "diagnostics") -> DataFrame:
     """(doc_id, position, line): `level [CODE] node: message`."""
     one = df.select("doc_id", F.posexplode(F.col(column).cast(f"array<{DIAGNOSTIC}>")).alias("position", "d"))
-    return one.select("doc_id", "position", F.format_string("%s [%s] %s: %s", "d.severity", "d.code", "d.source_node", "d.message").alias("line"))
+    return one.select("doc_id", "position", diagnostic_line(F.col("d")).alias("line"))
 
 
 def from_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,7 +42,8 @@ def from_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     # otherwise be gathered from; the grouping and the join need this partitioning anyway.
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
     lines = t("lineitem").repartition(n, "l_orderkey").groupBy("l_orderkey").agg(F.sort_array(F.collect_list(line)).alias("lines"))
-    o = t("orders").join(t("customer"), F.col("o_custkey") == F.col("c_custkey"), "left").repartition(n, "o_orderkey").join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left")
+    o = t("orders").join(t("customer"), F.col("o_custkey") == F.col("c_custkey"), "left")
+    o = o.repartition(n, "o_orderkey").join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left")
     k = F.col("o_orderkey")
     every = lambda n: k % n == 0
     tag = lambda name, body: F.concat(F.lit(f"<{name}>"), body, F.lit(f"</{name}>"))
@@ -55,12 +56,15 @@ def from_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     amount = F.when(every(29), F.replace(money("o_totalprice"), F.lit("."), F.lit(","))).otherwise(money("o_totalprice"))
     total = F.concat(F.lit('<LegalMonetaryTotal><PayableAmount currencyID="'), F.upper(code), F.lit('">'), amount, F.lit("</PayableAmount></LegalMonetaryTotal>"))
     rates = F.array_sort(F.array_distinct(F.transform(F.coalesce("lines", F.array().cast(lines.schema["lines"].dataType)), lambda x: F.round(x["l_tax"] * 100).cast("int"))))
-    taxes = F.when(F.size(rates) > 0, tag("TaxTotal", F.array_join(F.transform(rates, lambda r: tag("TaxSubtotal", tag("TaxCategory", F.concat(F.lit("<ID>s</ID><Percent>"), r, F.lit("</Percent>"))))), ""))).otherwise("")
+    subtotal = lambda r: tag("TaxSubtotal", tag("TaxCategory", F.concat(F.lit("<ID>s</ID><Percent>"), r, F.lit("</Percent>"))))
+    taxes = F.when(F.size(rates) > 0, tag("TaxTotal", F.array_join(F.transform(rates, subtotal), ""))).otherwise("")
 
     def item(x, i):
         dec = lambda f: x[f].cast("decimal(18,2)").cast("string")
         less = F.when(x["l_discount"] > 0, tag("AllowanceCharge", F.concat(F.lit("<ChargeIndicator>false</ChargeIndicator>"), tag("Amount", dec("l_discount"))))).otherwise("")
-        return tag("InvoiceLine", F.concat(tag("ID", (i + 1).cast("string")), tag("InvoicedQuantity", dec("l_quantity")), tag("LineExtensionAmount", dec("l_extendedprice")), less, tag("Item", tag("Name", F.concat(F.lit("part-"), x["l_partkey"].cast("string"))))))
+        name = tag("Item", tag("Name", F.concat(F.lit("part-"), x["l_partkey"].cast("string"))))
+        amounts = [tag("InvoicedQuantity", dec("l_quantity")), tag("LineExtensionAmount", dec("l_extendedprice"))]
+        return tag("InvoiceLine", F.concat(tag("ID", (i + 1).cast("string")), *amounts, less, name))
 
     body = F.coalesce(F.array_join(F.transform("lines", item), ""), F.lit(""))
     currency = tag("DocumentCurrencyCode", F.when(every(23), "euro").otherwise(code))

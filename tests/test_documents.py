@@ -89,3 +89,19 @@ def test_conversions(spark):
     assert len(rows) == 25
     assert rows["fatturapa", "xrechnung-invoice"] == ("partial", 1, 0)
     assert rows["ubl-invoice", "facturx-invoice"] == ("lossful", 0, 2)
+
+
+def test_columns_of_documents_stay_whatever_their_names(spark, engine):
+    names = ["doc_id", "xml", "_parsed", "status", "invoice_number", "position", "hub", "a.b"]
+    df = spark.createDataFrame([(1, GOOD, 2, 3, 4, 5, 6, 7)], " long, ".join(f"`{n}`" for n in names).replace("`xml` long", "xml string") + " long")
+    r = engine.to_hub(df, "ubl-invoice").first()
+    assert r["_parsed"] == 2 and r["invoice_number"] == 4 and r["a.b"] == 7 and r.hub.invoice_number == "A1" and r.status == "ok"
+    r = engine.fields(df, "ubl-invoice", ["InvoiceNumber"]).first()
+    assert r.invoice_number == "A1" and r.hub == 6 and r["a.b"] == 7
+    r = engine.items(df, "ubl-invoice", "InvoiceLines", ["LineId"]).first()
+    assert r.position == 0 and r.line_id == "1" and r["a.b"] == 7
+    r = engine.transform(df, "ubl-invoice", "ubl-invoice").first()
+    assert r["a.b"] == 7 and r["_parsed"] == 2 and r.accepted
+    assert engine.transform_mixed(df, "ubl-invoice").first().accepted
+    none = df.limit(0)
+    assert engine.transform_mixed(none, "ubl-invoice").collect() == [] == engine.to_hub(none, "ubl-invoice").collect()
