@@ -33,6 +33,8 @@ class Engine:
         self.compiled = compile_all(folder)
         if keys:
             self.compiled.spokes = [s.only(keys) for s in self.compiled.spokes]
+            left = {label for s in self.compiled.spokes for label in s.covered()}
+            self.compiled.fields = {k: v for k, v in self.compiled.fields.items() if k in left}
 
     def detect(self, docs: DataFrame, xml: str = "xml") -> DataFrame:
         return docs.withColumn("spoke", detected(F.col(xml), self.compiled.spokes))
