@@ -381,3 +381,48 @@ def mapping_faults(spark, sf_dir):
         return ",".join(sorted({f.code for f in made.findings}))
 
     return spark.createDataFrame([(k, codes(k, v)) for k, v in FAULTS.items()], "fault string, codes string")
+
+
+#: A parent, a child that takes a node with all below it away and replaces another, and a parent that is no format itself.
+FAMILY = [
+    META + A + '[R.A.X]\ntype="string"\nxml="@x"\ncanonical_key="X"\n' + B + LIST + '[R.L.Y]\ntype="string"\ncanonical_key="Y"\n',
+    META.replace('"f"', '"g"') + 'inherits="f:1"\n[R.A]\ndisabled=true\n[R.B]\ntype="string"\ncanonical_key="B2"\nrequired=true\n',
+    META.replace('"f"', '"base"') + "disabled=true\n" + A,
+    META.replace('"f"', '"h"') + 'inherits="base:1"\n' + B,
+]
+
+
+@query(
+    """SELECT * FROM (VALUES ('f:1', 'A', false), ('f:1', 'X', false), ('f:1', 'B', false), ('f:1', 'L', false), ('f:1', 'L/Y', false), ('g:1', 'B2', true), ('g:1', 'L', false), ('g:1', 'L/Y', false),
+    ('h:1', 'A', false), ('h:1', 'B', false)) AS t(spoke, field, required)""",
+    "",
+)
+def inherited(spark, sf_dir):
+    """What formats cover that inherit from others: whole nodes are replaced, disabled ones go with what is below them."""
+    return analysis.coverage(spark, mapping.compiled(mapping.loaded(FAMILY)))
+
+
+LOADED = {
+    "nothing wrong": [META + A],
+    "twice": [META + A, META + B],
+    "unknown parent": [META + 'inherits="g:1"\n' + A],
+    "circle": [META + 'inherits="g:1"\n' + A, META.replace('"f"', '"g"') + 'inherits="f:1"\n' + B],
+    "no meta": [A],
+    "meta without a version": [META.replace('format_version="1"\n', "") + A],
+    "value outside of tables": ["x=1\n" + META + A],
+    "not TOML": ["[meta\n"],
+}
+
+
+@query("SELECT * FROM (VALUES ('nothing wrong', true), ('twice', false), ('unknown parent', false), ('circle', false), ('no meta', false), ('meta without a version', false), ('value outside of tables', false), ('not TOML', false)) AS t(files, loads)", "")
+def mapping_files_that_load(spark, sf_dir):
+    """Sets of mapping files that can't be loaded at all."""
+
+    def loads(texts: list[str]) -> bool:
+        try:
+            mapping.compiled(mapping.loaded(texts))
+        except mapping.MappingError:
+            return False
+        return True
+
+    return spark.createDataFrame([(k, loads(v)) for k, v in LOADED.items()], "files string, loads boolean")
