@@ -14,16 +14,17 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterator
 from itertools import compress
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import id_and_text, shares, trim
+from .common import quoted, shares, trim
 
 ODD, MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 STEP = 0x5851F42D4C957F2D
@@ -150,46 +151,51 @@ def twice(x: np.ndarray) -> np.ndarray:
     return distinct(s[1:][s[1:] == s[:-1]])
 
 
-def repeated_words(docs: DataFrame, window: int = 13, block: int = 7, chunk_bytes: int = CHUNK_BYTES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, text, n_words, drop): drop is empty, or holds one bit a word (numpy packbits), set for words that go.
+def cut(docs: DataFrame, window: int, block: int, chunk_bytes: int, id_col: str, text_col: str, carried: list[str], join_all: bool) -> DataFrame:
+    """(doc_id, n_words, n_removed, text, and the carried columns of docs as c0, c1, ...), a row per row of docs.
 
-    A word goes if a window of `window` words that covers it starts in a document with a smaller doc_id too. A null
-    text has no words. Rows that repeat a doc_id are judged each against smaller ids only, so equal rows stay; a null
-    doc_id counts as the largest and never takes words from others. Empty tables give empty results. Texts may be of any
-    length; one longer than chunk_bytes is worked on whole.
+    A word goes if a window of `window` words that covers it starts in a document with a smaller doc_id too. text: the
+    words that stay, joined by single spaces, of every row; else of those that lose a word, and the others' as it is. A
+    null text has no words. Rows that repeat a doc_id are judged each against smaller ids only, so equal rows stay; a
+    null doc_id counts as the largest and never takes words from others. Empty tables give empty results. Texts may be
+    of any length; one longer than chunk_bytes is worked on whole. Carried columns travel in Arrow's types.
     """
     if window < 2 * block - 1:
         raise ValueError("a window must hold a whole block: window >= 2 * block - 1")
-    base = id_and_text(docs, id_col, text_col)
+    others = [F.col(quoted(c)).alias(f"c{k}") for k, c in enumerate(carried)]
+    base = docs.select(F.col(quoted(id_col)).cast("long").alias("doc_id"), F.col(quoted(text_col)).cast("string").alias("text"), *others)
     total = base.agg(F.sum(F.octet_length("text"))).first()[0]
     chunks = shares(total, chunk_bytes)
     # a null or repeated id must not gather its rows in one chunk
     dealt = base.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).cast("long")).repartition(min(chunks, MOST_TASKS), "chunk")
     buckets = chunks
 
-    def ids(x: pd.DataFrame) -> np.ndarray:
-        return x["doc_id"].astype("Int64").fillna(LAST).to_numpy(np.int64)
+    def texts(x: pa.Table) -> list[str]:
+        return ["" if t is None else t for t in x["text"].to_pylist()]
+
+    def ids(x: pa.Table) -> np.ndarray:
+        return x["doc_id"].fill_null(LAST).to_numpy()
 
     def split(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The bucket of a block's hash, and the 32 bits that stand for it there; both rise with the hash."""
         scaled = (h >> np.uint64(20)) * np.uint64(buckets)
         return (scaled >> np.uint64(44)).astype(np.int64), (scaled >> np.uint64(12)).astype(np.uint32)
 
-    def probes(key: tuple, x: pd.DataFrame) -> pd.DataFrame:
+    def probes(key: tuple, x: pa.Table) -> pa.Table:
         """Per bucket: the chunk's distinct rolling blocks, and of those the ones that stand at an indexed place."""
-        c = Chunk(x["text"].tolist())
+        c = Chunk(texts(x))
         h, ok = c.rolling(block, 1), c.fits(block)
         rolling, index = distinct(h[ok]), distinct(h[ok & c.aligned(block)])
         to, short = split(rolling)
         indexed = member(rolling, index)
-        cut = np.flatnonzero(np.diff(to, prepend=-1))
-        ends = np.append(cut[1:], len(to))
-        return pd.DataFrame(
+        at = np.flatnonzero(np.diff(to, prepend=-1))
+        ends = np.append(at[1:], len(to))
+        return pa.table(
             {
-                "bucket": to[cut],
-                "chunk": int(key[0]),
-                "probes": [squeezed(short[a:b]) for a, b in zip(cut, ends, strict=True)],
-                "index": [squeezed(short[a:b][indexed[a:b]]) for a, b in zip(cut, ends, strict=True)],
+                "bucket": to[at],
+                "chunk": pa.array([key[0].as_py()] * len(at), pa.int64()),
+                "probes": pa.array([squeezed(short[a:b]) for a, b in zip(at, ends, strict=True)], pa.binary()),
+                "index": pa.array([squeezed(short[a:b][indexed[a:b]]) for a, b in zip(at, ends, strict=True)], pa.binary()),
             }
         )
 
@@ -203,12 +209,12 @@ def repeated_words(docs: DataFrame, window: int = 13, block: int = 7, chunk_byte
         keep = [k for k, s in enumerate(own) if len(s)]
         return pd.DataFrame({"chunk": x["chunk"].iloc[keep].to_numpy(np.int64), "bucket": int(key[0]), "hits": [squeezed(own[k]) for k in keep]})
 
-    def candidates(c: Chunk, y: pd.DataFrame) -> np.ndarray:
+    def candidates(c: Chunk, y: pa.Table) -> np.ndarray:
         """Where a full window starts that holds a block found in another document."""
         h, ok = c.rolling(block, 1), c.fits(block)
         to, short = split(h)
         code = to.astype(np.uint64) << np.uint64(32) | short.astype(np.uint64)
-        known = [unsqueezed(v).astype(np.uint64) | np.uint64(int(k)) << np.uint64(32) for k, v in zip(y["bucket"], y["hits"], strict=True)]
+        known = [unsqueezed(v).astype(np.uint64) | np.uint64(int(k)) << np.uint64(32) for k, v in zip(y["bucket"].to_pylist(), y["hits"].to_pylist(), strict=True)]
         hit = ok & (member(h, twice(h[ok])) | member(code, np.sort(np.concatenate(known)) if known else np.empty(0, np.uint64)))
         ahead = np.concatenate(([0], np.cumsum(hit)))
         at = np.flatnonzero(c.fits(window))
@@ -227,18 +233,24 @@ def repeated_words(docs: DataFrame, window: int = 13, block: int = 7, chunk_byte
         first[1:] = (k["h"][1:] != k["h"][:-1]) | (k["g"][1:] != k["g"][:-1])
         return k[first], d[first]
 
-    def windows(key: tuple, x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+    def windows(key: tuple, x: pa.Table, y: pa.Table) -> pa.Table:
         """Per bucket: the chunk's candidate windows and the smallest document that holds each."""
-        c = Chunk(x["text"].tolist())
+        c = Chunk(texts(x))
         at = candidates(c, y)
         k, d = smallest(keyed(c, at), ids(x)[c.doc[at]])
         to = (k["h"] % np.uint64(buckets)).astype(np.int64)
         order = np.argsort(to, kind="stable")
         k, d, to = k[order], d[order], to[order]
-        cut = np.flatnonzero(np.diff(to, prepend=-1))
-        ends = np.append(cut[1:], len(to))
-        chunk = int((x if len(x) else y)["chunk"].iloc[0])
-        return pd.DataFrame({"bucket": to[cut], "chunk": chunk, "keys": [k[a:b].tobytes() for a, b in zip(cut, ends, strict=True)], "docs": [d[a:b].tobytes() for a, b in zip(cut, ends, strict=True)]})
+        first = np.flatnonzero(np.diff(to, prepend=-1))
+        parts = list(zip(first, np.append(first[1:], len(to)), strict=True))
+        return pa.table(
+            {
+                "bucket": to[first],
+                "chunk": pa.array([key[0].as_py()] * len(first), pa.int64()),
+                "keys": pa.array([k[a:b].tobytes() for a, b in parts], pa.binary()),
+                "docs": pa.array([d[a:b].tobytes() for a, b in parts], pa.binary()),
+            }
+        )
 
     def owners(key: tuple, x: pd.DataFrame) -> pd.DataFrame:
         """Per chunk: its windows that a smaller document of another chunk holds, with that document."""
@@ -264,11 +276,12 @@ def repeated_words(docs: DataFrame, window: int = 13, block: int = 7, chunk_byte
                 out["docs"].append(best[less].tobytes())
         return pd.DataFrame(out)
 
-    def judged(key: tuple, x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
-        c, own = Chunk(x["text"].tolist()), ids(x)
+    def judged(key: tuple, x: pa.Table, y: pa.Table) -> pa.Table:
+        whole = texts(x)
+        c, own = Chunk(whole), ids(x)
         kind = [("h", "<u8"), ("g", "<u4")]
-        far = np.concatenate([np.frombuffer(v, kind) for v in y["keys"]]) if len(y) else np.empty(0, kind)
-        far_doc = np.concatenate([np.frombuffer(v, np.int64) for v in y["docs"]]) if len(y) else np.empty(0, np.int64)
+        far = np.concatenate([np.empty(0, kind), *(np.frombuffer(v, kind) for v in y["keys"].to_pylist())])
+        far_doc = np.concatenate([np.empty(0, np.int64), *(np.frombuffer(v, np.int64) for v in y["docs"].to_pylist())])
         # a window that another document holds is twice in the chunk, or among the owners' keys
         h, fits = c.rolling(window, 2), c.fits(window)
         at = np.flatnonzero(fits & (member(h, twice(h[fits])) | member(h, np.sort(far["h"]))))
@@ -287,71 +300,50 @@ def repeated_words(docs: DataFrame, window: int = 13, block: int = 7, chunk_byte
         np.add.at(cover, taken, 1)
         np.add.at(cover, taken + window, -1)
         drop = np.cumsum(cover)[:-1] > 0
-        some = np.add.reduceat(np.append(drop, False), c.starts) * (c.sizes > 0) if len(c.sizes) else c.sizes
-        bits = [np.packbits(drop[a : a + n]).tobytes() if has else b"" for a, n, has in zip(c.starts, c.sizes, some, strict=True)]
+        gone = np.concatenate(([0], np.cumsum(drop)))
+        gone = gone[c.starts + c.sizes] - gone[c.starts]
+        kept = x["text"].to_pylist()
+        for k in range(len(kept)) if join_all else np.flatnonzero(gone).tolist():
+            kept[k] = left_over(whole[k], drop[c.starts[k] : c.starts[k] + c.sizes[k]] if gone[k] else None)
         trim()
-        return pd.DataFrame({"doc_id": x["doc_id"].astype("Int64"), "text": x["text"], "n_words": c.sizes, "drop": bits})
+        own = {"doc_id": x["doc_id"], "n_words": c.sizes.astype(np.int64), "n_removed": gone.astype(np.int64), "text": pa.array(kept, pa.string())}
+        return pa.table(own | {f"c{k}": x[f"c{k}"] for k in range(len(carried))})
 
-    first = dealt.groupBy("chunk").applyInPandas(probes, "bucket long, chunk long, probes binary, index binary")
+    made = T.StructType([T.StructField(n, T.LongType()) for n in ("doc_id", "n_words", "n_removed")] + [T.StructField("text", T.StringType())] + [T.StructField(f"c{k}", docs.schema[c].dataType) for k, c in enumerate(carried)])
+    first = dealt.groupBy("chunk").applyInArrow(probes, "bucket long, chunk long, probes binary, index binary")
     found = first.groupBy("bucket").applyInPandas(hits, "chunk long, bucket long, hits binary")
-    second = dealt.groupBy("chunk").cogroup(found.groupBy("chunk")).applyInPandas(windows, "bucket long, chunk long, keys binary, docs binary")
+    second = dealt.groupBy("chunk").cogroup(found.groupBy("chunk")).applyInArrow(windows, "bucket long, chunk long, keys binary, docs binary")
     owned = second.groupBy("bucket").applyInPandas(owners, "chunk long, keys binary, docs binary")
-    return dealt.groupBy("chunk").cogroup(owned.groupBy("chunk")).applyInPandas(judged, "doc_id long, text string, n_words long, drop binary")
+    return dealt.groupBy("chunk").cogroup(owned.groupBy("chunk")).applyInArrow(judged, made)
 
 
-def left_over(text: str, bits: bytes) -> tuple[str, int]:
-    """The words that stay, joined by single spaces, and the number of those that go."""
+def left_over(text: str, drop: np.ndarray | None) -> str:
+    """The words that stay, joined by single spaces."""
     # bytes.split() splits at exactly the six separators
     words = text.encode("utf-8", "surrogatepass").split()
-    if not bits:
-        return b" ".join(words).decode("utf-8", "surrogatepass"), 0
-    stay = ~np.unpackbits(np.frombuffer(bits, np.uint8), count=len(words)).astype(bool)
-    return b" ".join(compress(words, stay.tolist())).decode("utf-8", "surrogatepass"), len(words) - int(stay.sum())
+    return b" ".join(words if drop is None else compress(words, (~drop).tolist())).decode("utf-8", "surrogatepass")
 
 
 def deduplicated(docs: DataFrame, window: int = 13, block: int = 7, chunk_bytes: int = CHUNK_BYTES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_words, n_removed, text): the text's remaining words joined by single spaces; see repeated_words."""
-
-    def rest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for x in batches:
-            texts, gone = zip(*map(left_over, x["text"], x["drop"]), strict=True) if len(x) else ((), ())
-            yield pd.DataFrame({"doc_id": x["doc_id"].astype("Int64"), "n_words": x["n_words"], "n_removed": list(gone), "text": list(texts)})
-
-    return repeated_words(docs, window, block, chunk_bytes, id_col, text_col).mapInPandas(rest, "doc_id long, n_words long, n_removed long, text string")
+    """(doc_id, n_words, n_removed, text): the text's remaining words joined by single spaces; see cut."""
+    return cut(docs, window, block, chunk_bytes, id_col, text_col, [], True)
 
 
-def digest(cut: DataFrame) -> DataFrame:
+def digest(df: DataFrame) -> DataFrame:
     """The contract's columns of what deduplicated() returns."""
-    return cut.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+    return df.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
 
 
-def without_repeats(docs: DataFrame, window: int = 13, block: int = 7, n_chars: str = "n_chars") -> DataFrame:
+def without_repeats(docs: DataFrame, window: int = 13, block: int = 7, chunk_bytes: int = CHUNK_BYTES, n_chars: str = "n_chars") -> DataFrame:
     """docs (doc_id, text and any other columns) with the repeated words taken out of the text.
 
     A text that loses no word stays as it is, blanks included; a text that loses some is its other words joined by
     single spaces, and n_chars, where there is such a column, its new length. A document that loses all its words goes.
     """
-    cut = repeated_words(docs, window, block)
-    own_id, own_hash, left = "_ledgerloom_id", "_ledgerloom_hash", "_ledgerloom_left"
-
-    def rest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for x in batches:
-            x = x[x["drop"].map(len) > 0]
-            texts = [left_over(text, bits)[0] for text, bits in zip(x["text"], x["drop"], strict=True)]
-            yield pd.DataFrame({own_id: x["doc_id"].astype("Int64"), own_hash: x["hash"], left: texts})
-
-    changed = cut.withColumn("hash", F.xxhash64("text")).mapInPandas(rest, f"{own_id} long, {own_hash} long, {left} string")
-    # only changed texts travel, and a row is known by its id and its old text
-    once = changed.dropDuplicates([own_id, own_hash])
-    text = F.coalesce(docs["text"].cast("string"), F.lit(""))
-    joined = docs.join(once, docs["doc_id"].cast("long").eqNullSafe(F.col(own_id)) & (F.xxhash64(text) == F.col(own_hash)), "left")
-    joined = joined.where(F.col(left).isNull() | (F.col(left) != ""))
-    columns = []
-    for c in docs.columns:
-        if c == "text":
-            columns.append(F.coalesce(left, docs["text"]).alias(c))
-        elif c == n_chars:
-            columns.append(F.when(F.col(left).isNull(), docs[c]).otherwise(F.length(left)).cast(docs.schema[c].dataType).alias(c))
-        else:
-            columns.append(docs[c])
-    return joined.select(*columns)
+    others = [c for c in docs.columns if c != "text"]
+    done = cut(docs, window, block, chunk_bytes, "doc_id", "text", others, False)
+    done = done.where((F.col("n_removed") == 0) | (F.col("text") != ""))
+    of = {c: F.col(f"c{k}") for k, c in enumerate(others)} | {"text": F.col("text").cast(docs.schema["text"].dataType)}
+    if n_chars in others:
+        of[n_chars] = F.when(F.col("n_removed") == 0, of[n_chars]).otherwise(F.length("text")).cast(docs.schema[n_chars].dataType)
+    return done.select(*[of[c].alias(c) for c in docs.columns])
