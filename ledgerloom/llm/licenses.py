@@ -102,3 +102,22 @@ def licenses(docs: DataFrame, phrases: list = PHRASES, sentences: list = SENTENC
         .withColumn("rows", F.explode(F.sequence(F.lit(1), "rows")))
         .drop("key", "rows")
     )
+
+
+def licenses_sql() -> str:
+    """The same for tables without null or repeated ids, in DuckDB's SQL: pairs of words compared, no hashes."""
+    every = [(t, lab, True) for t, lab in PHRASES] + [(t, lab, False) for lab, t in SENTENCES]
+    values = ", ".join(f"({k}, '{label}', {base}, '{text}')" for k, (text, label, base) in enumerate(every))
+    return f"""
+    WITH t AS (SELECT template, label, base, string_split(words, ' ') AS ws FROM (VALUES {values}) AS v(template, label, base, words)),
+    tp AS (SELECT template, label, base, len(ws) - 1 AS pairs, i AS tpos, ws[i + 1] AS t1, ws[i + 2] AS t2 FROM (SELECT *, unnest(range(len(ws) - 1)) AS i FROM t)),
+    d AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{NOT_WORD}'), lambda x: x <> '') AS ws FROM documents),
+    p AS (SELECT doc_id, place, ws[place + 1] AS w1, ws[place + 2] AS w2 FROM (SELECT *, unnest(range(greatest(len(ws) - 1, 0))) AS place FROM d)),
+    h AS (SELECT DISTINCT doc_id, template, label, base, pairs, place - tpos AS diagonal, tpos FROM p JOIN tp ON w1 = t1 AND w2 = t2),
+    g AS (SELECT a.doc_id, a.template, a.label, a.base, a.pairs, a.diagonal, count(DISTINCT b.tpos) AS n FROM (SELECT DISTINCT doc_id, template, label, base, pairs, diagonal FROM h) AS a
+          JOIN h AS b ON a.doc_id = b.doc_id AND a.template = b.template AND b.diagonal BETWEEN a.diagonal AND a.diagonal + CASE WHEN a.base THEN 0 ELSE {DRIFT} END GROUP BY ALL),
+    s AS (SELECT *, base AND n = pairs AS whole, CASE WHEN NOT base THEN n / pairs WHEN n = pairs THEN 1.0::DOUBLE END AS share FROM g),
+    r AS (SELECT doc_id, count(*) FILTER (whole) AS n_base, min(diagonal) FILTER (whole) AS first_word, max(diagonal) FILTER (whole) AS last_word, max(share) AS score,
+                 string_agg(DISTINCT label, ',' ORDER BY label) FILTER (whole) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) FILTER (share >= {LEAST_SHARE}) AS labels FROM s GROUP BY doc_id)
+    SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word, coalesce(base_labels, '') AS base_labels,
+           coalesce(labels, '') AS labels, coalesce(score, 0)::DOUBLE AS score FROM d LEFT JOIN r USING (doc_id)"""

@@ -78,4 +78,10 @@ SUBSTRINGS_SQL = """
     SELECT d.doc_id, len(ws)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
     FROM d LEFT JOIN k USING (doc_id)"""
 
-SQL: dict[str, str] = {"op3_chat": chat.rendered_sql(), "op6_substrings": SUBSTRINGS_SQL, "op10_quality": quality.verdicts_sql()}
+SQL: dict[str, str] = {
+    "op3_chat": chat.rendered_sql(),
+    "op5_embeddings": embeddings.near_vectors_sql(),
+    "op6_substrings": SUBSTRINGS_SQL,
+    "op7_licenses": licenses.licenses_sql(),
+    "op10_quality": quality.verdicts_sql(),
+}

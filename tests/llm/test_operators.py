@@ -5,13 +5,15 @@ import re
 import time
 import zlib
 from collections import Counter
+from pathlib import Path
 
+import duckdb
 import numpy as np
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import chat, common, components, embeddings, licenses, pieces, quality, secrets, simhash, substrings, tokens
+from ledgerloom.llm import chat, common, components, embeddings, licenses, pieces, quality, queries, secrets, simhash, substrings, tokens
 from ledgerloom.llm.queries import tokenizer
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -543,3 +545,16 @@ def test_very_long_texts(spark):
     assert sum(x.length for x in tokens.packed(df, tokenizer("byte_bpe_50k.json"), 1).collect()) == sum(x.n for x in tokens.token_table(df, tokenizer("byte_bpe_50k.json"), 1)[0].collect())
     assert all(x.decoded == dict(rows)[x.doc_id] for x in pieces.encoded(df, tokenizer("piece_bpe_32k.model")).collect() if x.doc_id != 3)
     assert {x.doc_id: (x.n_hex, x.n_assign) for x in secrets.secrets(df).collect()} == {i: (0, 0) for i, _ in rows}
+
+
+@pytest.mark.parametrize("name", list(queries.SQL))
+def test_query_equals_sql(spark, sf_dir, name):
+    c = duckdb.connect()
+    for t in Path(sf_dir).glob("*.parquet"):
+        c.execute(f"CREATE VIEW {t.stem} AS SELECT * FROM '{t}'")
+    found = c.execute(queries.SQL[name])
+    names = [x[0] for x in found.description]
+    df = queries.QUERIES[name](spark, sf_dir)
+    assert sorted(names) == sorted(df.columns)
+    rounded = lambda rows: sorted((tuple(round(x, 9) if isinstance(x, float) else x for x in r) for r in rows), key=str)
+    assert rounded(df.select(*names).collect()) == rounded(found.fetchall())
