@@ -363,6 +363,35 @@ def test_embeddings_components(spark):
     assert embeddings.near_vectors(df.limit(0)).collect() == []
 
 
+def test_embeddings_many(spark):
+    """More vectors than blocks can be paired of: what is shuffled stays in proportion, links are found, none twice."""
+    r = np.random.default_rng(8)
+    v = r.standard_normal((4000, 32))
+    v[:600] = np.repeat(v[:60], 10, 0) + 0.02 * v[:600]  # groups
+    v[600:1000] = v[600] + 0.02 * v[600:1000]  # one larger than a block
+    v[1000:1300] = v[2000:2300] + v[1000:1300] * r.uniform(0.1, 0.5, (300, 1))  # pairs about the threshold
+    v = v.astype(np.float32)
+    v[3000, 0] = 0
+    rows = [(k, x.tolist()) for k, x in enumerate(v)] + [(5000, [-0.0, *v[3000, 1:].tolist()]), (5001, [1.0]), (5002, [2.0]), (5003, None)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(4).persist()
+    df.count()
+    written = lambda: spark.sparkContext._jsc.sc().statusStore().executorList(True).apply(0).totalShuffleWrite()
+    before = written()
+    got = {x.vec_id: x for x in embeddings.near_vectors(df, block=64).collect()}
+    assert written() - before < 60 * v.nbytes
+    assert len(got) == len(rows)
+    u = v.astype(np.float64) / np.linalg.norm(v.astype(np.float64), axis=1)[:, None]
+    near = u @ u.T >= 0.9
+    np.fill_diagonal(near, False)
+    links = near.sum(1)
+    links[3000] += 1
+    n = np.array([got[k].n_links for k in range(len(v))])
+    assert (n <= links).all() and n.sum() >= 0.99 * links.sum() and (n[:1000] == links[:1000]).all()
+    assert n[1000:1300].sum() >= 0.95 * links[1000:1300].sum()
+    assert [got[k].component_id for k in range(1000)] == [k // 10 * 10 for k in range(600)] + [600] * 400
+    assert [(got[k].n_links, got[k].component_id) for k in (5000, 5001, 5002, 5003)] == [(1, 3000), (1, 5001), (1, 5001), (0, 5003)]
+
+
 def test_token_files_of_any_number(spark, docs, none):
     path = tokenizer("word_bpe_49k.json")
     for size in (1, 50, 8_000_000):
